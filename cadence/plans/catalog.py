@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import metrics
+from ..operators import listing, metrics, views
 from ..sources import testdata
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +55,35 @@ METRIC_QUERIES: dict[str, QueryFn] = {
 }
 
 
+LOOKUP_KEY = "europe"  # resolved case-insensitively
+
+LISTING_QUERIES: dict[str, QueryFn] = {
+    "project_list": _metric(listing.project_list),
+    "project_lookup": _metric(listing.project_lookup, key=LOOKUP_KEY),
+    "default_project": _metric(listing.default_project),
+    "sprint_list": _metric(listing.sprint_list),
+    "project_sync_meta": _metric(listing.project_sync_meta),
+}
+
+VIEW_QUERIES: dict[str, QueryFn] = {
+    "sprint_predictability": _metric(views.sprint_predictability, window=views.CHART_WINDOW),
+    "velocity_rag": _metric(views.velocity_rag, window=views.CHART_WINDOW),
+    "sprint_short_name": _metric(views.sprint_short_name),
+    "scope_creep_totals": _metric(views.scope_creep_totals, limit=DEFAULT_LIMIT),
+    "worst_scope_sprint": _metric(views.worst_scope_sprint, limit=DEFAULT_LIMIT),
+    "scope_creep_band": _metric(views.scope_creep_band, limit=DEFAULT_LIMIT),
+    "cycle_time_scatter": _metric(views.cycle_time_scatter),
+    "sprint_progress_share": _metric(views.sprint_progress_share, limit=DEFAULT_LIMIT),
+    "completion_rag": _metric(views.completion_rag, limit=DEFAULT_LIMIT),
+    "distribution_pivot": _metric(views.distribution_pivot),
+    "distribution_type_share": _metric(views.distribution_type_share),
+    "kpi_rows": _metric(views.kpi_rows, velocity_window=DEFAULT_WINDOW),
+}
+
+
 def queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
     out.update(METRIC_QUERIES)
+    out.update(LISTING_QUERIES)
+    out.update(VIEW_QUERIES)
     return out

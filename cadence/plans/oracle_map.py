@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from . import oracle as o
-from .catalog import DEFAULT_LIMIT, DEFAULT_WINDOW
+from ..operators.listing import PREFERRED_PROJECT_KEY
+from ..operators.views import CHART_WINDOW
+from .catalog import DEFAULT_LIMIT, DEFAULT_WINDOW, LOOKUP_KEY
 
 
 def oracle_sql() -> dict[str, str]:
@@ -21,4 +23,21 @@ def oracle_sql() -> dict[str, str]:
         "distribution_by_status": o.distribution_by_status(),
         "delivery_health": o.delivery_health(DEFAULT_WINDOW),
         "time_tracking": o.time_tracking(DEFAULT_LIMIT),
+        "project_list": o.project_list(),
+        "project_lookup": o.project_lookup(LOOKUP_KEY),
+        "default_project": o.default_project(PREFERRED_PROJECT_KEY),
+        "sprint_list": o.sprint_list(),
+        "project_sync_meta": o.project_sync_meta(),
+        "sprint_predictability": o.sprint_predictability(CHART_WINDOW),
+        "velocity_rag": o.velocity_rag(CHART_WINDOW),
+        "sprint_short_name": o.sprint_short_name(),
+        "scope_creep_totals": o.scope_creep_totals(DEFAULT_LIMIT),
+        "worst_scope_sprint": o.worst_scope_sprint(DEFAULT_LIMIT),
+        "scope_creep_band": o.scope_creep_band(DEFAULT_LIMIT),
+        "cycle_time_scatter": o.cycle_time_scatter(),
+        "sprint_progress_share": o.sprint_progress_share(DEFAULT_LIMIT),
+        "completion_rag": o.completion_rag(DEFAULT_LIMIT),
+        "distribution_pivot": o.distribution_pivot(),
+        "distribution_type_share": o.distribution_type_share(),
+        "kpi_rows": o.kpi_rows(DEFAULT_WINDOW),
     }

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import listing, metrics, views
 from ..sources import testdata
+from .ingest_queries import INGEST_QUERIES
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -86,4 +87,5 @@ def queries() -> dict[str, QueryFn]:
     out.update(METRIC_QUERIES)
     out.update(LISTING_QUERIES)
     out.update(VIEW_QUERIES)
+    out.update(INGEST_QUERIES)
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracle as o
 from ..operators.listing import PREFERRED_PROJECT_KEY
 from ..operators.views import CHART_WINDOW
+from .ingest_queries import DOC_AC_MARKERS
 from .catalog import DEFAULT_LIMIT, DEFAULT_WINDOW, LOOKUP_KEY
 
 
@@ -40,4 +41,20 @@ def oracle_sql() -> dict[str, str]:
         "distribution_pivot": o.distribution_pivot(),
         "distribution_type_share": o.distribution_type_share(),
         "kpi_rows": o.kpi_rows(DEFAULT_WINDOW),
+        "has_ac_flag": o.has_ac_flag(),
+        "added_mid_sprint": o.added_mid_sprint(),
+        "parse_timestamps": o.parse_timestamps(),
+        "story_points_parse": o.story_points_parse(),
+        "story_point_impute": o.story_point_impute(),
+        "acceptance_criteria": o.acceptance_criteria(DOC_AC_MARKERS),
+        "rich_text_extract": o.rich_text_extract(),
+        "transition_dates": o.transition_dates(),
+        "status_history": o.status_history(),
+        "project_upsert": o.project_upsert(),
+        "sprint_upsert": o.sprint_upsert(),
+        "issue_upsert": o.issue_upsert(),
+        "issue_batch_collapse": o.issue_batch_collapse(),
+        "sync_run_summary": o.sync_run_summary(),
+        "constraint_audit": o.constraint_audit(),
+        "incremental_ingest": o.incremental_ingest(),
     }

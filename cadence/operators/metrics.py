@@ -99,12 +99,10 @@ _ZERO_POINTS = (
 
 def _ranked_with_counts(t: Tables, ranked: DataFrame) -> DataFrame:
     agg = _sprint_issue_agg(t.issues, ranked.select(F.col("id").alias("sprint_id")))
-    joined = ranked.join(agg, ranked["id"] == agg["sprint_id"], "left").drop("sprint_id")
-    for c in _ZERO_COUNTS:
-        joined = joined.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("long"))
-    for c in _ZERO_POINTS:
-        joined = joined.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
-    return joined
+    joined = ranked.join(agg, ranked["id"] == agg["sprint_id"], "left")
+    filled = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in _ZERO_COUNTS]
+    filled += [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in _ZERO_POINTS]
+    return joined.select(*[ranked[c] for c in ranked.columns], *filled)
 
 
 def closed_sprints_ranked(t: Tables, project_id: int | None, window: int | None) -> DataFrame:

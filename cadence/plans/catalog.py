@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import listing, metrics, views
-from ..sources import testdata
 from .ingest_queries import INGEST_QUERIES
+from .inputs import SILVER_CONF, build_silver, tables  # noqa: F401
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +20,6 @@ DEFAULT_WINDOW = 3
 DEFAULT_LIMIT = 5
 
 
-def tables(spark: SparkSession, sf_dir: str):
-    return testdata.delivery_tables(spark, sf_dir)
-
-
 def _metric(fn, **params) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(tables(spark, sf_dir), **params)
@@ -32,13 +28,6 @@ def _metric(fn, **params) -> QueryFn:
     return run
 
 
-def _without(fn: QueryFn, *cols: str) -> QueryFn:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(spark, sf_dir).drop(*cols)
-
-    return run
-
-
 METRIC_QUERIES: dict[str, QueryFn] = {
     "velocity_trend": _metric(metrics.velocity_trend, window=DEFAULT_WINDOW),
     "velocity_summary": _metric(metrics.velocity, window=DEFAULT_WINDOW),

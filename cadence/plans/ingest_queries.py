@@ -18,6 +18,7 @@ from ..operators import quality, silver, upsert
 from ..session import ensure_checkpoint_dir
 from ..sources import landed, testdata
 from ..streaming import ingest
+from .inputs import tables
 
 # Fixed values of the ingest fixtures.
 DOC_AC_MARKERS = ("license", "the ")
@@ -87,7 +88,7 @@ def story_points_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def story_point_impute(spark: SparkSession, d: str) -> DataFrame:
-    i = testdata.delivery_tables(spark, d).issues
+    i = tables(spark, d).issues
     return silver.impute_story_points(i).select("id", F.col("story_points").cast("double").alias("story_points"))
 
 
@@ -146,7 +147,7 @@ def sync_run_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def project_upsert(spark: SparkSession, d: str) -> DataFrame:
-    p = testdata.delivery_tables(spark, d).projects
+    p = tables(spark, d).projects
     existing = p.filter(F.col("id") % 3 != 0).withColumn("board_id", F.col("id") * 10)
     incoming = (
         p.filter(F.col("id") % 2 == 0)
@@ -159,7 +160,7 @@ def project_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sprint_upsert(spark: SparkSession, d: str) -> DataFrame:
-    s = testdata.delivery_tables(spark, d).sprints
+    s = tables(spark, d).sprints
     existing = s.filter(F.col("id") % 3 != 0)
     incoming = (
         s.filter(F.col("id") % 2 == 0)
@@ -175,7 +176,7 @@ def sprint_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def issue_upsert(spark: SparkSession, d: str) -> DataFrame:
-    i = testdata.delivery_tables(spark, d).issues
+    i = tables(spark, d).issues
     existing = i.filter(F.col("id") % 3 != 0)
     day = F.make_dt_interval(F.lit(1))
     incoming = (
@@ -200,7 +201,7 @@ def issue_upsert(spark: SparkSession, d: str) -> DataFrame:
 def constraint_audit(spark: SparkSession, d: str) -> DataFrame:
     r = lambda n: testdata.read(spark, d, n)
     orders, lineitem, customer = r("orders"), r("lineitem"), r("customer")
-    t = testdata.delivery_tables(spark, d)
+    t = tables(spark, d)
     return quality.report([
         quality.unique(orders, ["o_orderkey"], "orders"),
         quality.unique(lineitem, ["l_orderkey", "l_linenumber"], "lineitem"),

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from . import schemas
 from .testdata import EVENT_TO_STATUS, STATUS_TO_CATEGORY, _map, prior_status, read
 
-PAGE_SIZE = 64
+PAGE_SIZE = 4096  # upper bound of history entries per landed document
 
 
 def render_ts(ts: Column, variant: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
-
 from pyspark.sql import DataFrame, SparkSession
 
 from . import schemas
@@ -17,35 +15,49 @@ TABLE_SCHEMAS = {
 }
 
 
-@dataclass(frozen=True)
 class Tables:
-    """Lazily planned delivery tables; nothing is materialised by holding one."""
+    """The delivery tables, planned lazily.
+
+    Each table may be given as a ``DataFrame`` or a zero-argument callable
+    returning one; a callable runs on first access, so a metric that uses
+    two tables never lists or plans the other three.
+    """
+
+    NAMES = ("projects", "sprints", "issues", "status_history", "sync_log")
+
+    def __init__(self, projects=None, sprints=None, issues=None, status_history=None, sync_log=None):
+        self._src = {
+            "projects": projects, "sprints": sprints, "issues": issues,
+            "status_history": status_history, "sync_log": sync_log,
+        }
+        self._cache: dict[str, DataFrame | None] = {}
+
+    def _get(self, name: str) -> DataFrame | None:
+        if name not in self._cache:
+            v = self._src[name]
+            self._cache[name] = v() if callable(v) and not isinstance(v, DataFrame) else v
+        return self._cache[name]
 
-    projects: DataFrame
-    sprints: DataFrame
-    issues: DataFrame
-    status_history: DataFrame | None = None
-    sync_log: DataFrame | None = None
+    projects = property(lambda self: self._get("projects"))
+    sprints = property(lambda self: self._get("sprints"))
+    issues = property(lambda self: self._get("issues"))
+    status_history = property(lambda self: self._get("status_history"))
+    sync_log = property(lambda self: self._get("sync_log"))
 
-    def with_(self, **changes: DataFrame) -> "Tables":
-        return replace(self, **changes)
+    def with_(self, **changes) -> "Tables":
+        return Tables(**{**self._src, **changes})
 
     def names(self) -> list[str]:
-        return [f.name for f in fields(self) if getattr(self, f.name) is not None]
+        return [n for n in self.NAMES if self._src[n] is not None]
 
 
 def load_tables(spark: SparkSession, root: str) -> Tables:
     """Read a silver layer written by :func:`write_tables` (one folder per table)."""
 
-    def read(name: str) -> DataFrame | None:
-        try:
-            return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{root}/{name}")
-        except Exception:  # a table that was never written
-            if name in ("status_history", "sync_log"):
-                return None
-            raise
+    def reader(name: str):
+        return lambda: spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{root}/{name}")
 
-    return Tables(**{name: read(name) for name in TABLE_SCHEMAS})
+    return Tables(**{name: reader(name) for name in TABLE_SCHEMAS})
 
 
 def write_tables(tables: Tables, root: str, mode: str = "overwrite") -> None:

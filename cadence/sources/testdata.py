@@ -201,13 +201,19 @@ def prior_status(event_id: Column) -> Column:
     return F.when(r == 0, "To Do").when(r == 1, "In Progress").otherwise("Done")
 
 
-def delivery_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    facts = _order_facts(spark, sf_dir)
-    hist = status_events(spark, sf_dir).filter(F.col("field") == "status").drop("seq", "field")
+def delivery_tables(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> Tables:
+    """The five delivery tables, each planned only when first used."""
+    cache: dict[str, DataFrame] = {}
+
+    def f() -> DataFrame:
+        if "facts" not in cache:
+            cache["facts"] = facts if facts is not None else _order_facts(spark, sf_dir)
+        return cache["facts"]
+
     return Tables(
-        projects=projects(spark, sf_dir),
-        sprints=sprints_from(facts),
-        issues=issues_from(facts),
-        status_history=hist,
-        sync_log=sync_log_from(facts),
+        projects=lambda: projects(spark, sf_dir),
+        sprints=lambda: sprints_from(f()),
+        issues=lambda: issues_from(f()),
+        status_history=lambda: status_events(spark, sf_dir).filter(F.col("field") == "status").drop("seq", "field"),
+        sync_log=lambda: sync_log_from(f()),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import as_double, fmt_number, rag
+from ..functions.ranking import row_number_by_group
 from ..sources.tables import Tables
 from . import metrics
 
@@ -88,8 +89,10 @@ def scope_creep_band(t: Tables, project_id: int | None = None, limit: int = 5) -
 def cycle_time_scatter(t: Tables, project_id: int | None = None) -> DataFrame:
     """Scatter index ``i+1`` in result order (newest done first, then id)."""
     d = metrics.cycle_time_distribution(t, project_id).filter(F.col("cycle_days").isNotNull())
-    w = Window.partitionBy("project_id").orderBy(F.col("done_at").desc_nulls_first(), F.col("id"))
-    return d.select("project_id", "id", "cycle_days", F.row_number().over(w).cast("long").alias("idx"))
+    d = d.select("project_id", "id", "cycle_days", "done_at")
+    # A hot project is split over many tasks (see functions.ranking).
+    ranked = row_number_by_group(d, "project_id", [F.col("done_at").desc_nulls_first(), F.col("id").asc()])
+    return ranked.select("project_id", "id", "cycle_days", "idx")
 
 
 # ── sprint completion ────────────────────────────────────────────────────────

@@ -150,3 +150,20 @@ def test_history_dedupe_and_append(spark):
     h = silver.status_history(df)
     assert h.count() == 1
     assert silver.append_history(h, h).count() == 0
+
+
+def test_row_number_by_group_splits_hot_group(spark):
+    from pyspark.sql import Window
+
+    from cadence.functions.ranking import row_number_by_group
+
+    # Group 0 holds most rows; numbering must equal a plain window row_number.
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 10 < 8, F.lit(0)).otherwise(F.col("id") % 3).alias("g"),
+        (F.col("id") * 7919 % 1000).alias("v"),
+        F.col("id"),
+    )
+    order = [F.col("v").desc(), F.col("id").asc()]
+    got = row_number_by_group(df, "g", order, partitions=16).select("id", "idx")
+    want = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy(*order)).alias("idx"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

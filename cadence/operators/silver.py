@@ -111,7 +111,9 @@ def normalize(
     ip, done = transition_dates(F.col("changelog"))
     created = X.parse_ts(f["created"])
     ac = X.acceptance_criteria(f[ac_field], description, ac_markers)
+    source_id = [F.col("id")] if "id" in docs.columns else []
     return docs.select(
+        *source_id,
         F.col("key").alias("jira_issue_id"),
         "project_id",
         "sprint_id",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.expr import has_ac, iso
-from ..operators import quality, silver, upsert
+from ..operators import quality, silver, sync, upsert
 from ..session import ensure_checkpoint_dir
 from ..sources import landed, testdata
 from ..streaming import ingest
@@ -240,7 +240,21 @@ def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def sync_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Delivery tables → landed JSON documents → batch sync → silver issues."""
+    root = os.path.join(ensure_checkpoint_dir(spark), "sync-" + uuid.uuid4().hex)
+    sync.land_tables(tables(spark, d), os.path.join(root, "landing"))
+    out = sync.sync_batch(spark, os.path.join(root, "landing"))
+    return out.issues.select(
+        "id", "jira_issue_id", "project_id", "sprint_id", "issue_type", "status", "status_category",
+        F.col("story_points").cast("double").alias("story_points"), "has_ac", "added_mid_sprint",
+        iso("in_progress_at").alias("in_progress_at"), iso("done_at").alias("done_at"),
+        "original_estimate", "time_spent",
+    )
+
+
 INGEST_QUERIES = {
+    "sync_roundtrip": sync_roundtrip,
     "has_ac_flag": has_ac_flag,
     "added_mid_sprint": added_mid_sprint,
     "parse_timestamps": parse_timestamps,

@@ -94,6 +94,7 @@ def changelog_pages(spark: SparkSession, sf_dir: str, page_size: int = PAGE_SIZE
         F.transform("h", lambda x: F.struct(x["created"].alias("created"), x["author"].alias("author"), x["items"].alias("items"))).alias("histories"),
     )
     return g.select(
+        F.col("issue_id").cast("string").alias("id"),
         F.concat(F.lit("EV-"), F.col("issue_id").cast("string")).alias("key"),
         "issue_id",
         "page",
@@ -114,7 +115,11 @@ def envelope_schema(item: T.StructType) -> T.StructType:
         T.StructField("nextPageToken", T.StringType()),
         T.StructField("issues", T.ArrayType(item)),
         T.StructField("values", T.ArrayType(item)),
+        # Landing context written by the puller: landing sequence of the page,
+        # the project it was pulled for, and the sprint (NULL for backlog).
         T.StructField("page", T.LongType()),
+        T.StructField("projectKey", T.StringType()),
+        T.StructField("sprintId", T.LongType()),
     ])
 
 
@@ -136,17 +141,26 @@ def read_pages(spark: SparkSession, path: str, item: T.StructType | None = None)
 
 def flatten_pages(pages: DataFrame) -> DataFrame:
     items = F.coalesce(F.col("issues"), F.col("values"))
-    flat = pages.select("seq_file", F.col("page").alias("seq_page"), F.posexplode_outer(items).alias("seq_pos", "doc"))
-    return flat.filter(F.col("doc").isNotNull()).select("seq_file", "seq_page", "seq_pos", "doc.*")
+    ctx = [c for c in ("projectKey", "sprintId") if c in pages.columns]
+    flat = pages.select(
+        "seq_file", F.col("page").alias("seq_page"), *ctx, F.posexplode_outer(items).alias("seq_pos", "doc")
+    )
+    return flat.filter(F.col("doc").isNotNull()).select("seq_file", "seq_page", "seq_pos", *ctx, "doc.*")
 
 
 def as_envelopes(docs: DataFrame, style: Column | None = None) -> DataFrame:
-    """Wrap issue documents one per page in one of the three envelope styles (for landing)."""
+    """Wrap issue documents one per page in one of the three envelope styles (for landing).
+
+    ``docs`` needs ``page`` (landing sequence) and may carry ``projectKey`` /
+    ``sprintId`` context columns.
+    """
     style = style if style is not None else (F.col("page") % 3)
-    doc = F.struct("key", "fields", "changelog")
+    doc = F.struct(*[c for c in ("id", "key", "fields", "changelog") if c in docs.columns])
     arr = F.array(doc)
+    ctx = [F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("projectKey", "string"), ("sprintId", "long"))]
     return docs.select(
         F.col("page"),
+        *ctx,
         F.when(style == 0, F.col("page")).alias("startAt"),
         F.lit(1).cast("long").alias("maxResults"),
         F.when(style == 0, F.col("page") + 1).alias("total"),

@@ -81,12 +81,16 @@ def issue_fields(story_points_field: str = "story_points", ac_field: str = "acce
 def issue_doc(story_points_field: str = "story_points", ac_field: str = "acceptance_criteria") -> T.StructType:
     """One landed issue document. ``seq`` is the landing order (file, page, position)."""
     return _struct(
+        ("id", _S),
         ("key", _S),
         ("fields", issue_fields(story_points_field, ac_field)),
         ("changelog", CHANGELOG),
     )
 
 
+BOARD_DOC = _struct(("id", _L), ("name", _S), ("type", _S))
+
+
 SPRINT_DOC = _struct(
     ("id", _L), ("name", _S), ("state", _S), ("goal", _S),
     ("startDate", _S), ("endDate", _S), ("completeDate", _S),

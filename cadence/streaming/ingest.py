@@ -52,7 +52,7 @@ def batch_to_issues(flat: DataFrame, project_id: int = 0) -> DataFrame:
     """Flattened page items → silver issue rows with a landing sequence."""
     seq = F.col("seq_page") * F.lit(1_000_000) + F.col("seq_pos")
     docs = flat.select(
-        "key", "fields", "changelog",
+        F.col("id").cast("long").alias("id"), "key", "fields", "changelog",
         F.lit(project_id).cast("long").alias("project_id"),
         F.lit(None).cast("long").alias("sprint_id"),
         F.lit(None).cast("timestamp").alias("sprint_start"),

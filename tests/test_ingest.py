@@ -71,6 +71,30 @@ def test_pages_round_trip_three_envelopes(spark):
     assert flat.select("key").distinct().count() == pages.select("key").distinct().count()
 
 
+def test_sync_batch_roundtrip_on_seed(spark, seed):
+    from cadence.operators import metrics, sync
+
+    root = tempfile.mkdtemp(prefix="cadence-sync-")
+    seeded = seed.with_(projects=seed.projects.withColumn("board_id", F.lit(42).cast("long")))
+    sync.land_tables(seeded, os.path.join(root, "landing"))
+    out = sync.sync_batch(spark, os.path.join(root, "landing"), impute=False)
+    assert out.projects.collect()[0].board_id == 42
+    assert out.issues.count() == 20
+    # The sync recomputes added_mid_sprint from creation time vs sprint start;
+    # every seed issue was created 60 days ago (no later than any sprint
+    # start), so none is mid-sprint and committed = all points.
+    assert out.issues.filter("added_mid_sprint").count() == 0
+    v = metrics.velocity(out, 1, 3).collect()[0]
+    assert (v.average_completed_points, v.average_committed_points, v.predictability_pct) == (16.33, 20.33, 80.33)
+    log = out.sync_log.collect()
+    assert [(r.issues_synced, r.sprints_synced, r.status) for r in log] == [(20, 4, "success")]
+    # A second sync of the same landing changes no issue and appends no history.
+    again = sync.sync_batch(spark, os.path.join(root, "landing"), current=out, impute=False)
+    cols = ["jira_issue_id", "sprint_id", "status", "story_points", "in_progress_at", "done_at"]
+    assert sorted(map(tuple, again.issues.select(cols).collect())) == sorted(map(tuple, out.issues.select(cols).collect()))
+    assert again.status_history.count() == out.status_history.count()
+
+
 def test_stream_replay_is_safe(spark):
     root = tempfile.mkdtemp(prefix="cadence-stream-")
     landing, table, ckpt = (os.path.join(root, x) for x in ("landing", "silver", "ckpt"))

@@ -152,6 +152,24 @@ def test_listing(seed):
     assert sorted(r.name for r in s) == ["Sprint 1", "Sprint 2", "Sprint 3"]
 
 
+def test_api_facade(seed):
+    from cadence.api import DeliveryAnalytics, to_json_rows
+
+    api = DeliveryAnalytics(seed)
+    v = api.velocity("test", 3).collect()[0]
+    assert v.average_completed_points == 16.33 and [t.sprint_name for t in v.trend] == ["Sprint 1", "Sprint 2", "Sprint 3"]
+    assert [r.sprint_name for r in api.scope_creep("TEST").collect()] == ["Sprint 4", "Sprint 3", "Sprint 2", "Sprint 1"]
+    assert api.health("Test").collect()[0].backlog.total == 4
+    b = api.backlog("test").collect()[0]
+    assert sorted((x.issue_type, x["count"]) for x in b.by_issue_type) == [("Bug", 1), ("Story", 3)]
+    with pytest.raises(ValueError):
+        api.velocity("test", 25)
+    with pytest.raises(metrics.ProjectNotFound):
+        api.health("missing")
+    js = to_json_rows(api.cycle_time("test")).collect()[0].json
+    assert '"sample_size":10' in js
+
+
 def test_bounds():
     assert metrics.check_bound("window", 3) == 3
     with pytest.raises(ValueError):

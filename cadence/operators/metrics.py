@@ -97,8 +97,11 @@ _ZERO_POINTS = (
 )
 
 
-def _ranked_with_counts(t: Tables, ranked: DataFrame) -> DataFrame:
-    agg = _sprint_issue_agg(t.issues, ranked.select(F.col("id").alias("sprint_id")))
+def _ranked_with_counts(t: Tables, ranked: DataFrame, project_id: int | None = None) -> DataFrame:
+    # The project filter on issues is static, so it prunes the project_id=
+    # partitions of the issues table; the semi-join then keeps ranked sprints.
+    issues = _for_project(t.issues, project_id)
+    agg = _sprint_issue_agg(issues, ranked.select(F.col("id").alias("sprint_id")))
     joined = ranked.join(agg, ranked["id"] == agg["sprint_id"], "left")
     filled = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in _ZERO_COUNTS]
     filled += [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in _ZERO_POINTS]
@@ -124,7 +127,7 @@ def started_sprints_ranked(t: Tables, project_id: int | None, limit: int | None)
 def velocity_trend(t: Tables, project_id: int | None = None, window: int = 3) -> DataFrame:
     """Per closed sprint: completed/committed points and issue counts, last ``window``."""
     ranked = closed_sprints_ranked(t, project_id, window)
-    j = _ranked_with_counts(t, ranked)
+    j = _ranked_with_counts(t, ranked, project_id)
     return j.select(
         "project_id",
         F.col("id").alias("sprint_id"),
@@ -180,7 +183,7 @@ def velocity(t: Tables, project_id: int | None = None, window: int = 3, nested:
 
 def scope_creep(t: Tables, project_id: int | None = None, limit: int = 5) -> DataFrame:
     ranked = started_sprints_ranked(t, project_id, limit)
-    j = _ranked_with_counts(t, ranked)
+    j = _ranked_with_counts(t, ranked, project_id)
     return j.select(
         "project_id",
         F.col("id").alias("sprint_id"),
@@ -204,7 +207,7 @@ def scope_creep_detail(t: Tables, project_id: int | None = None, limit: int = 5)
     ranked = started_sprints_ranked(t, project_id, limit).select(
         F.col("id").alias("sprint_id"), F.col("rank").alias("recency_rank")
     )
-    i = t.issues.filter(F.col("sprint_id").isNotNull() & (F.col("added_mid_sprint") == F.lit(True)))
+    i = _for_project(t.issues, project_id).filter(F.col("sprint_id").isNotNull() & (F.col("added_mid_sprint") == F.lit(True)))
     return i.join(ranked, "sprint_id").select(
         "project_id",
         "sprint_id",
@@ -314,7 +317,7 @@ def cycle_time(
 
 def sprint_completion(t: Tables, project_id: int | None = None, limit: int = 5) -> DataFrame:
     ranked = started_sprints_ranked(t, project_id, limit)
-    j = _ranked_with_counts(t, ranked)
+    j = _ranked_with_counts(t, ranked, project_id)
     return j.select(
         "project_id",
         F.col("id").alias("sprint_id"),
@@ -452,7 +455,7 @@ def delivery_health(t: Tables, project_id: int | None = None, velocity_window: i
     # Completion and creep share one ranking (start_date desc, id desc), so
     # the latest started sprint gets both numbers from one aggregate.
     ranked = started_sprints_ranked(t, project_id, 1)
-    cur = _ranked_with_counts(t, ranked).select(
+    cur = _ranked_with_counts(t, ranked, project_id).select(
         "project_id",
         F.col("name").alias("current_sprint_name"),
         pct("completed_points", "total_points").alias("current_sprint_completion_pct_points"),
@@ -505,7 +508,7 @@ def _hours(c: Column) -> Column:
 
 def time_tracking(t: Tables, project_id: int | None = None, limit: int = 5) -> DataFrame:
     """Estimated vs spent hours for the latest ``limit`` non-future sprints that have issues."""
-    per = t.issues.filter(F.col("sprint_id").isNotNull()).groupBy("sprint_id").agg(
+    per = _for_project(t.issues, project_id).filter(F.col("sprint_id").isNotNull()).groupBy("sprint_id").agg(
         _hours(F.col("original_estimate")).alias("estimated_hours"),
         _hours(F.col("time_spent")).alias("spent_hours"),
     )

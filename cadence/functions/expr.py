@@ -86,8 +86,9 @@ def latest_n(
     w = Window.partitionBy(partition).orderBy(*order)
     ranked = df.withColumn(rank_col, F.row_number().over(w))
     if n is not None:
+        # Filter on the raw row_number so the planner can infer WindowGroupLimit.
         ranked = ranked.filter(F.col(rank_col) <= F.lit(int(n)))
-    return ranked
+    return ranked.withColumn(rank_col, F.col(rank_col).cast("long"))
 
 
 def rag(c: str | Column, green: float = 80.0, amber: float = 60.0, null_band: str | None = "grey") -> Column:

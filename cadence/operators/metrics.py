@@ -21,11 +21,10 @@ shuffle join otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import (
-    as_double,
     count_if,
     cycle_days,
     iso,
@@ -414,9 +413,8 @@ def distribution_by_status(t: Tables, project_id: int | None = None, sprint_id:
         .groupBy("project_id", "status_category")
         .agg(F.count(F.lit(1)).alias("issue_count"), F.coalesce(F.sum("story_points"), F.lit(0)).alias("_pts"))
     )
-    # Grand total per project via a window over the few status rows of a project.
-    from pyspark.sql import Window
-
+    # Grand total per project via a window over the (≤ a few) status rows of
+    # each project — after the aggregate, so the window never sees issues.
     total = F.sum("_pts").over(Window.partitionBy("project_id"))
     return per.select(
         "project_id",

@@ -96,17 +96,32 @@ _ZERO_POINTS = (
 )
 
 
-def _ranked_with_counts(t: Tables, ranked: DataFrame, project_id: int | None = None) -> DataFrame:
-    # The project filter on issues is static, so it prunes the project_id=
-    # partitions of the issues table; the semi-join then keeps ranked sprints.
-    issues = _for_project(t.issues, project_id)
-    agg = _sprint_issue_agg(issues, ranked.select(F.col("id").alias("sprint_id")))
+def _counts_for(t: Tables, project_id: int | None, *rankings: DataFrame) -> DataFrame:
+    """One per-sprint aggregate covering the sprints of every given ranking.
+
+    The project filter on issues is static, so it prunes the ``project_id=``
+    partitions of the issues table; the semi-join then keeps only ranked
+    sprints before the (partial + final) aggregate.
+    """
+    keys = None
+    for r in rankings:
+        k = r.select(F.col("id").alias("sprint_id"))
+        keys = k if keys is None else keys.unionByName(k)
+    return _sprint_issue_agg(_for_project(t.issues, project_id), keys)
+
+
+def _attach(ranked: DataFrame, agg: DataFrame) -> DataFrame:
+    """Ranked sprints left-joined to their counters; sprints without issues get zeros."""
     joined = ranked.join(agg, ranked["id"] == agg["sprint_id"], "left")
     filled = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in _ZERO_COUNTS]
     filled += [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in _ZERO_POINTS]
     return joined.select(*[ranked[c] for c in ranked.columns], *filled)
 
 
+def _ranked_with_counts(t: Tables, ranked: DataFrame, project_id: int | None = None) -> DataFrame:
+    return _attach(ranked, _counts_for(t, project_id, ranked))
+
+
 def closed_sprints_ranked(t: Tables, project_id: int | None, window: int | None) -> DataFrame:
     """Last ``window`` closed sprints by completion (NULL completion first, as in PostgreSQL)."""
     s = _for_project(t.sprints, project_id).filter(F.col("state") == "closed")
@@ -126,7 +141,10 @@ def started_sprints_ranked(t: Tables, project_id: int | None, limit: int | None)
 def velocity_trend(t: Tables, project_id: int | None = None, window: int = 3) -> DataFrame:
     """Per closed sprint: completed/committed points and issue counts, last ``window``."""
     ranked = closed_sprints_ranked(t, project_id, window)
-    j = _ranked_with_counts(t, ranked, project_id)
+    return _trend_columns(_ranked_with_counts(t, ranked, project_id))
+
+
+def _trend_columns(j: DataFrame) -> DataFrame:
     return j.select(
         "project_id",
         F.col("id").alias("sprint_id"),
@@ -145,7 +163,10 @@ def velocity_trend(t: Tables, project_id: int | None = None, window: int = 3) ->
 
 def velocity(t: Tables, project_id: int | None = None, window: int = 3, nested: bool = False) -> DataFrame:
     """Averages over the trend; projects without closed sprints report NULLs and 0."""
-    trend = velocity_trend(t, project_id, window)
+    return _velocity_from_trend(t, project_id, window, velocity_trend(t, project_id, window), nested)
+
+
+def _velocity_from_trend(t: Tables, project_id: int | None, window: int, trend: DataFrame, nested: bool = False) -> DataFrame:
     aggs = [
         F.avg("completed_points").alias("_avg_c"),
         F.avg("committed_points").alias("_avg_k"),
@@ -430,8 +451,16 @@ def distribution_by_status(t: Tables, project_id: int | None = None, sprint_id:
 # ─────────────────────────────────────────────────────────────────────────────
 
 def delivery_health(t: Tables, project_id: int | None = None, velocity_window: int = 3) -> DataFrame:
-    """One row per project: velocity, Story cycle time, backlog and latest started sprint."""
-    vel = velocity(t, project_id, velocity_window).select(
+    """One row per project: velocity, Story cycle time, backlog and latest started sprint.
+
+    The velocity window and the latest started sprint read their counters from
+    one shared per-sprint aggregate (one issues scan, reused exchange).
+    """
+    closed = closed_sprints_ranked(t, project_id, velocity_window)
+    started = started_sprints_ranked(t, project_id, 1)
+    counts = _counts_for(t, project_id, closed, started)
+    trend = _trend_columns(_attach(closed, counts))
+    vel = _velocity_from_trend(t, project_id, velocity_window, trend).select(
         "project_id",
         F.col("average_completed_points").alias("velocity_average_completed_points"),
         F.col("predictability_pct").alias("velocity_predictability_pct"),
@@ -451,9 +480,8 @@ def delivery_health(t: Tables, project_id: int | None = None, velocity_window: i
         F.col("ac_readiness_pct").alias("backlog_ac_readiness_pct"),
     )
     # Completion and creep share one ranking (start_date desc, id desc), so
-    # the latest started sprint gets both numbers from one aggregate.
-    ranked = started_sprints_ranked(t, project_id, 1)
-    cur = _ranked_with_counts(t, ranked, project_id).select(
+    # the latest started sprint gets both numbers from the same counters.
+    cur = _attach(started, counts).select(
         "project_id",
         F.col("name").alias("current_sprint_name"),
         pct("completed_points", "total_points").alias("current_sprint_completion_pct_points"),

@@ -60,15 +60,19 @@ def load_tables(spark: SparkSession, root: str) -> Tables:
     return Tables(**{name: reader(name) for name in TABLE_SCHEMAS})
 
 
-def write_tables(tables: Tables, root: str, mode: str = "overwrite") -> None:
-    """Write each table to ``root/<name>``.
+def write_tables(tables: Tables, root: str, mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
+    """Write each table to ``root/<name>`` (a new version folder; Parquet has no MERGE).
 
     ``issues`` is partitioned by ``project_id`` so per-project metrics prune
     files instead of scanning every project (the reference used an index).
+    The data is deliberately *not* repartitioned by ``project_id`` first:
+    each task writes its own files into the partition folders, so a project
+    holding a third of all issues is written by many tasks, and
+    ``maxRecordsPerFile`` bounds file size.
     """
     for name in tables.names():
         df: DataFrame = getattr(tables, name)
-        writer = df.write.mode(mode)
+        writer = df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
         if name == "issues":
             writer = writer.partitionBy("project_id")
         writer.parquet(f"{root}/{name}")

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,10 +64,23 @@ def sync_batch(
     story_points_field: str = "story_points",
     ac_field: str = "acceptance_criteria",
     impute: bool = True,
+    observation: Observation | None = None,
 ) -> Tables:
-    """Merge everything landed under ``landing`` into ``current`` (or an empty silver layer)."""
+    """Merge everything landed under ``landing`` into ``current`` (or an empty silver layer).
+
+    Pass an ``Observation`` to get the run's totals (issue documents upserted
+    and how many came from sprint pages) from the first job that writes the
+    result, without a separate counting job. Per-project counts go to the
+    run log.
+    """
     as_of = as_of if as_of is not None else F.current_timestamp()
     src = read_landing(spark, landing, story_points_field, ac_field)
+    if observation is not None:
+        src["issues"] = src["issues"].observe(
+            observation,
+            F.count(F.lit(1)).alias("issue_documents"),
+            F.count("sprintId").alias("sprint_issue_documents"),
+        )
     cur = current or Tables(
         projects=_empty(spark, schemas.PROJECTS), sprints=_empty(spark, schemas.SPRINTS),
         issues=_empty(spark, schemas.ISSUES), status_history=_empty(spark, schemas.STATUS_HISTORY),

@@ -76,12 +76,24 @@ def make_batch_writer(table_dir: str, project_id: int = 0):
     return write_batch
 
 
-def run_available(spark: SparkSession, landing_dir: str, table_dir: str, checkpoint_dir: str, project_id: int = 0) -> None:
-    """Drain everything landed so far into the silver table, then stop."""
+def run_available(
+    spark: SparkSession,
+    landing_dir: str,
+    table_dir: str,
+    checkpoint_dir: str,
+    project_id: int = 0,
+    max_files_per_trigger: int = 1000,
+) -> None:
+    """Drain everything landed so far into the silver table, then stop.
+
+    ``max_files_per_trigger`` bounds each micro-batch, so a large backlog of
+    landed pages is merged in several bounded batches, not one huge one.
+    """
     schema = landed.envelope_schema(schemas.issue_doc())
     stream = (
         spark.readStream.schema(schema)
         .option("mode", "PERMISSIVE")
+        .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(landing_dir)
         .withColumn("seq_file", F.input_file_name())
     )

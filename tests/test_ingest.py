@@ -74,12 +74,16 @@ def test_pages_round_trip_three_envelopes(spark):
 def test_sync_batch_roundtrip_on_seed(spark, seed):
     from cadence.operators import metrics, sync
 
+    from pyspark.sql import Observation
+
     root = tempfile.mkdtemp(prefix="cadence-sync-")
     seeded = seed.with_(projects=seed.projects.withColumn("board_id", F.lit(42).cast("long")))
     sync.land_tables(seeded, os.path.join(root, "landing"))
-    out = sync.sync_batch(spark, os.path.join(root, "landing"), impute=False)
+    obs = Observation("sync")
+    out = sync.sync_batch(spark, os.path.join(root, "landing"), impute=False, observation=obs)
     assert out.projects.collect()[0].board_id == 42
     assert out.issues.count() == 20
+    assert obs.get == {"issue_documents": 20, "sprint_issue_documents": 16}
     # The sync recomputes added_mid_sprint from creation time vs sprint start;
     # every seed issue was created 60 days ago (no later than any sprint
     # start), so none is mid-sprint and committed = all points.

@@ -87,10 +87,12 @@ def added_mid_sprint(created: str | Column, sprint_start: str | Column) -> Colum
 
 
 def impute_points(points: str | Column, time_spent: str | Column, estimate: str | Column) -> Column:
-    """``GREATEST(ROUND(COALESCE(NULLIF(spent,0), NULLIF(est,0), 9600) / 28800.0 * 3, 1), 1)``.
+    """Points from logged time: three points per 8 h, one decimal, at least 1.
 
-    Applied where points are NULL or time was logged. Decimal arithmetic in
-    the same order as the original keeps ties such as 13 920 s → 1.4.
+    The seconds used are time spent, else the original estimate (zeros count
+    as missing), else the default. Applied where points are NULL or time was
+    logged. Exact decimal arithmetic (divide, then multiply, then round half
+    up) keeps ties such as 13 920 s → 1.4 that binary doubles would flip.
     """
     sp, ts, est = col_(points), col_(time_spent), col_(estimate)
     seconds = F.coalesce(F.nullif(ts, F.lit(0)), F.nullif(est, F.lit(0)), F.lit(IMPUTE_DEFAULT_SECONDS))

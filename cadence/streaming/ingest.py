@@ -1,51 +1,57 @@
 """Incremental ingest of landed issue pages into the silver issue table.
 
 ``readStream`` over the landing folder → per micro-batch: flatten pages,
-normalise documents, collapse the batch by key, merge into the previous
-silver version → write version ``v=<batch_id>``. The trigger is
-``availableNow`` so a scheduled job drains whatever has landed and stops.
-
-Replays are safe: batch ``b`` always merges version ``b-1`` and overwrites
-version ``b`` whole, and the checkpoint records finished batches. There is
-no watermark: "latest wins" is decided by landing sequence, not event time,
-and no state grows with the stream (the table itself is the state).
+normalise documents, collapse the batch by key, then merge it into only the
+parts of the table its keys live in. The trigger is ``availableNow``, so a
+scheduled job drains whatever has landed and stops.
+
+The table is partitioned by ``bucket = pmod(xxhash64(jira_issue_id), B)``.
+A batch reads just the buckets its keys hash to (partition pruning), merges
+them, and overwrites just those buckets (dynamic partition overwrite): the
+cost of a batch follows the buckets it touches, not the table size. Files
+are sorted by ``project_id`` so project filters skip row groups.
+
+Replays are safe: the merge is idempotent (overwrite columns take the same
+values again, insert-only columns keep the first, sticky columns keep the
+first non-NULL), and the stream checkpoint records finished batches. The
+merged buckets are cut from their lineage with a reliable ``checkpoint()``
+into the shared checkpoint folder before the same paths are overwritten.
+There is no watermark: "latest wins" is decided by landing sequence, not
+event time, and no streaming state grows (the table itself is the state).
 """
 
 from __future__ import annotations
 
-import os
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import silver, upsert
+from ..session import ensure_checkpoint_dir
 from ..sources import landed, schemas
 
-VERSION_DIR = "v={}"
+# A batch of k keys rewrites about min(k, BUCKETS) buckets of size
+# table / BUCKETS; raise it for very large tables with small batches.
+BUCKETS = 256
+TABLE_SCHEMA = T.StructType(schemas.ISSUES.fields + [T.StructField("bucket", T.IntegerType())])
+
+
+def key_bucket(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _versions(spark: SparkSession, table_dir: str) -> list[int]:
-    """Finished versions under ``table_dir`` (via the Hadoop file system, so any shared store works)."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system, so any shared store works."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        m = re.fullmatch(r"v=(\d+)", st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(m.group(1)))
-    return sorted(out)
-
-
-def latest_version(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    v = _versions(spark, table_dir)
-    if not v:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_table(spark: SparkSession, table_dir: str) -> DataFrame | None:
+    """The silver issue table written by the stream (``bucket`` included), or None."""
+    if not _exists(spark, table_dir):
         return None
-    return spark.read.parquet(os.path.join(table_dir, VERSION_DIR.format(v[-1])))
+    return spark.read.schema(TABLE_SCHEMA).parquet(table_dir)
 
 
 def batch_to_issues(flat: DataFrame, project_id: int = 0) -> DataFrame:
@@ -61,21 +67,63 @@ def batch_to_issues(flat: DataFrame, project_id: int = 0) -> DataFrame:
     return silver.normalize(docs)
 
 
-def make_batch_writer(table_dir: str, project_id: int = 0):
+def _conform(df: DataFrame) -> DataFrame:
+    """Columns and types of the table, missing ones as NULL."""
+    have = set(df.columns)
+    return df.select(*[
+        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLE_SCHEMA.fields
+    ])
+
+
+def make_batch_writer(table_dir: str, project_id: int = 0, buckets: int = BUCKETS):
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch_to_issues(landed.flatten_pages(batch), project_id)
-        prev_versions = [v for v in _versions(spark, table_dir) if v < batch_id]
-        if prev_versions:
-            prev = spark.read.parquet(os.path.join(table_dir, VERSION_DIR.format(prev_versions[-1])))
-            out = upsert.upsert(prev, rows, upsert.ISSUE_SPEC, seq="seq")
-        else:
-            out = upsert.collapse_batch(rows, upsert.ISSUE_SPEC, seq="seq").drop("seq")
-        out.write.mode("overwrite").parquet(os.path.join(table_dir, VERSION_DIR.format(batch_id)))
+        incoming = upsert.collapse_batch(rows, upsert.ISSUE_SPEC, seq="seq").drop("seq")
+        # The collapsed batch feeds several actions; keep it (recomputable).
+        incoming = incoming.withColumn("bucket", key_bucket(F.col("jira_issue_id"), buckets)).persist()
+        kept = [incoming]
+        try:
+            # At most ``buckets`` small ints reach the driver: the partition filter.
+            touched = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]
+            if not touched:
+                return
+            current = read_table(spark, table_dir)
+            if current is None:
+                merged = incoming
+            else:
+                existing = current.filter(F.col("bucket").isin(touched)).drop("bucket")
+                merged = upsert.merge(existing, incoming.drop("bucket"), upsert.ISSUE_SPEC)
+                merged = merged.withColumn("bucket", key_bucket(F.col("jira_issue_id"), buckets))
+                # Reliable checkpoint: the buckets are read and overwritten in
+                # one job. Persist first so the checkpoint write does not
+                # recompute the merge.
+                kept.append(merged.persist())
+                merged = kept[-1].checkpoint(eager=True)
+            _write_buckets(merged, table_dir)
+        finally:
+            for df in kept:
+                df.unpersist()
 
     return write_batch
 
 
+def _write_buckets(merged: DataFrame, table_dir: str) -> None:
+    """Overwrite only the bucket folders present in ``merged``.
+
+    No repartition by bucket: every task writes its own files into the
+    bucket folders, so no bucket is funnelled through one task.
+    """
+    (
+        _conform(merged)
+        .sortWithinPartitions("bucket", "project_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(table_dir)
+    )
+
+
 def run_available(
     spark: SparkSession,
     landing_dir: str,
@@ -83,12 +131,14 @@ def run_available(
     checkpoint_dir: str,
     project_id: int = 0,
     max_files_per_trigger: int = 1000,
+    buckets: int = BUCKETS,
 ) -> None:
     """Drain everything landed so far into the silver table, then stop.
 
     ``max_files_per_trigger`` bounds each micro-batch, so a large backlog of
     landed pages is merged in several bounded batches, not one huge one.
     """
+    ensure_checkpoint_dir(spark)
     schema = landed.envelope_schema(schemas.issue_doc())
     stream = (
         spark.readStream.schema(schema)
@@ -98,7 +148,7 @@ def run_available(
         .withColumn("seq_file", F.input_file_name())
     )
     q = (
-        stream.writeStream.foreachBatch(make_batch_writer(table_dir, project_id))
+        stream.writeStream.foreachBatch(make_batch_writer(table_dir, project_id, buckets))
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
         .start()

@@ -136,10 +136,17 @@ def sync_batch(
     new_hist = silver.append_history(cur.status_history, silver.status_history(ids))
     history = cur.status_history.unionByName(new_hist)
 
-    # 5. run log: one row per project in this batch
-    per_proj = flat.groupBy(F.col("projectKey").alias("jira_key")).agg(
-        F.count(F.lit(1)).alias("issues_synced"),  # upsert calls, not distinct issues
-        F.count_distinct("sprintId").alias("sprints_synced"),
+    # 5. run log: one row per project in this batch. Issues count upsert
+    # calls (a document seen twice counts twice); sprints count the sprint
+    # documents upserted, including sprints without issues.
+    issue_calls = flat.groupBy(F.col("projectKey").alias("jira_key")).agg(
+        F.count(F.lit(1)).alias("issues_synced")
+    )
+    sprint_calls = sd.groupBy(F.col("projectKey").alias("jira_key")).agg(F.count(F.lit(1)).alias("sprints_synced"))
+    per_proj = issue_calls.join(sprint_calls, "jira_key", "full_outer").select(
+        "jira_key",
+        F.coalesce(F.col("issues_synced"), F.lit(0)).alias("issues_synced"),
+        F.coalesce(F.col("sprints_synced"), F.lit(0)).alias("sprints_synced"),
     )
     run = per_proj.join(keys, "jira_key").select(
         (F.xxhash64("project_id", as_of.cast("string"))).alias("id"), "project_id",

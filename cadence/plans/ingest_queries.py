@@ -138,6 +138,11 @@ def rich_text_extract(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("conv_id", "turn", X.extract_text(F.col("doc")).alias("text"))
 
 
+def rich_text_exact(spark: SparkSession, d: str) -> DataFrame:
+    docs = rich_text_docs(spark, d)
+    return docs.select("conv_id", "turn", X.extract_text_exact(F.col("doc")).alias("text"))
+
+
 def sync_run_summary(spark: SparkSession, d: str) -> DataFrame:
     e = testdata.read(spark, d, "events")
     day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
@@ -265,6 +270,7 @@ INGEST_QUERIES = {
     "story_point_impute": story_point_impute,
     "acceptance_criteria": acceptance_criteria,
     "rich_text_extract": rich_text_extract,
+    "rich_text_exact": rich_text_exact,
     "transition_dates": transition_dates,
     "status_history": status_history,
     "project_upsert": project_upsert,

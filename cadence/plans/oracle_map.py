@@ -49,6 +49,7 @@ def oracle_sql() -> dict[str, str]:
         "story_point_impute": o.story_point_impute(),
         "acceptance_criteria": o.acceptance_criteria(DOC_AC_MARKERS),
         "rich_text_extract": o.rich_text_extract(),
+        "rich_text_exact": o.rich_text_exact(),
         "transition_dates": o.transition_dates(),
         "status_history": o.status_history(),
         "project_upsert": o.project_upsert(),

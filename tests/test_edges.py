@@ -123,6 +123,27 @@ def test_extract_text_nested_json(spark):
     assert got == ['Hello "you" world deep line', "plain text", ""]
 
 
+def test_extract_text_exact_keeps_reference_spacing(spark):
+    import json
+
+    docs = [
+        {"type": "doc", "content": [
+            {"type": "paragraph", "content": [{"type": "text", "text": "  Hello "}, {"type": "text", "text": "world"}]},
+            {"type": "paragraph", "content": []},
+            {"type": "paragraph", "content": [{"type": "text", "text": "end"}]}]},
+        [{"text": "a"}, {"text": ""}, {"text": "b"}],
+        {"type": "doc", "content": [{"content": [{"content": [{"content": [{"text": "deep"}]}]}]}]},
+        {},
+    ]
+    rows = [(json.dumps(d),) for d in docs] + [("plain  text",), (None,), ("{bad json",)]
+    df = spark.createDataFrame(rows, "d string")
+    got = [r.t for r in df.select(X.extract_text_exact("d").alias("t")).collect()]
+    assert got == ["Hello world  end", "a  b", "deep", "", "plain  text", "", "{bad json"]
+    # Past the unrolled depth the native extraction takes over.
+    shallow = [r.t for r in df.select(X.extract_text_exact("d", max_depth=1).alias("t")).collect()]
+    assert shallow[2] == "deep"
+
+
 def _changelog(spark, histories):
     from cadence.sources.schemas import CHANGELOG
 

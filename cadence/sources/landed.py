@@ -66,10 +66,18 @@ def changelog_pages(spark: SparkSession, sf_dir: str, page_size: int = PAGE_SIZE
     ``collect_list`` is bounded however hot one issue is.
     """
     ch = event_changes(spark, sf_dir).withColumn("page", F.floor(F.col("seq") / page_size).cast("long"))
-    entry = F.struct("seq", "created", "author", "items", "event_type", "value", "ts")
-    g = ch.groupBy("issue_id", "page").agg(F.sort_array(F.collect_list(entry)).alias("h"))
-    last = F.element_at("h", -1)
-    first = F.element_at("h", 1)
+    entry = F.struct("seq", "created", "author", "items")
+    seq = F.col("seq")
+    # Only the history entries travel in the list; the page's first/last
+    # values come from min_by/max_by, which aggregate partially.
+    g = ch.groupBy("issue_id", "page").agg(
+        F.sort_array(F.collect_list(entry)).alias("h"),
+        F.struct(F.max_by("event_type", seq).alias("event_type"), F.max_by("value", seq).alias("value"),
+                 F.max_by("created", seq).alias("created"), F.max_by("author", seq).alias("author")).alias("last"),
+        F.struct(F.min_by("created", seq).alias("created"), F.min_by("author", seq).alias("author")).alias("first"),
+    )
+    last = F.col("last")
+    first = F.col("first")
     status = _map(last["event_type"], {**EVENT_TO_STATUS, "signup": "To Do"})
     category = _map(status, {"In Progress": "In Progress", "To Do": "To Do", "Done": "Done", "Resolved": "Done"})
     fields = F.struct(

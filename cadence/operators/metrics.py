@@ -466,18 +466,43 @@ def delivery_health(t: Tables, project_id: int | None = None, velocity_window: i
         F.col("predictability_pct").alias("velocity_predictability_pct"),
         F.col("sprints_analysed").alias("velocity_sprints_analysed"),
     )
-    ct = cycle_time(t, project_id, issue_type="Story").select(
-        "project_id",
-        F.col("mean_days").alias("cycle_mean_days"),
-        F.col("p50_days").alias("cycle_p50_days"),
-        F.col("p95_days").alias("cycle_p95_days"),
-        F.col("sample_size").alias("cycle_sample_size"),
+    # Story cycle time and backlog readiness in ONE pass over issues: both
+    # group by project, so each becomes conditional aggregates (NULLs are
+    # ignored by percentile/avg/stddev/count) instead of a second scan.
+    i = _for_project(t.issues, project_id)
+    ip, done = F.col("in_progress_at"), F.col("done_at")
+    story_obs = F.when(
+        ip.isNotNull() & done.isNotNull() & (done > ip) & (F.col("issue_type") == "Story"), cycle_days(ip, done)
+    )
+    in_backlog = (
+        (F.col("status_category") != DONE) & F.col("sprint_id").isNull() & F.col("issue_type").isin(*BACKLOG_TYPES)
     )
-    bl = backlog_readiness(t, project_id).select(
+    stats = i.select("project_id", story_obs.alias("x"), in_backlog.alias("b"), F.col("has_ac").alias("ac"),
+                     F.col("story_points").isNotNull().alias("pts")).groupBy("project_id").agg(
+        F.avg("x").alias("_mean"),
+        F.percentile(F.col("x"), F.array(F.lit(0.5), F.lit(0.95))).alias("_q"),
+        F.count("x").alias("_n"),
+        count_if(F.col("b")).alias("_bt"),
+        count_if(F.col("b") & F.col("ac")).alias("_bac"),
+        count_if(F.col("b") & F.col("ac") & F.col("pts")).alias("_bfull"),
+    )
+    none = F.lit(None).cast("double")
+    per = stats.select(
         "project_id",
-        F.col("total_backlog").alias("backlog_total"),
-        F.col("full_readiness_pct").alias("backlog_full_readiness_pct"),
-        F.col("ac_readiness_pct").alias("backlog_ac_readiness_pct"),
+        F.round("_mean", 2).alias("cycle_mean_days"),
+        F.round(F.col("_q")[0], 2).alias("cycle_p50_days"),
+        F.round(F.col("_q")[1], 2).alias("cycle_p95_days"),
+        F.col("_n").cast("long").alias("cycle_sample_size"),
+        F.col("_bt").cast("long").alias("backlog_total"),
+        pct("_bfull", "_bt", none).alias("backlog_full_readiness_pct"),
+        pct("_bac", "_bt", none).alias("backlog_ac_readiness_pct"),
+    )
+    proj = _projects(t, project_id).join(per, "project_id", "left")
+    issue_stats = proj.select(
+        "project_id", "cycle_mean_days", "cycle_p50_days", "cycle_p95_days",
+        F.coalesce(F.col("cycle_sample_size"), F.lit(0)).cast("long").alias("cycle_sample_size"),
+        F.coalesce(F.col("backlog_total"), F.lit(0)).cast("long").alias("backlog_total"),
+        "backlog_full_readiness_pct", "backlog_ac_readiness_pct",
     )
     # Completion and creep share one ranking (start_date desc, id desc), so
     # the latest started sprint gets both numbers from the same counters.
@@ -488,7 +513,7 @@ def delivery_health(t: Tables, project_id: int | None = None, velocity_window: i
         pct("added_points", "total_points").alias("current_sprint_scope_creep_pct"),
     )
     out = _projects(t, project_id)
-    for part in (vel, ct, bl, cur):
+    for part in (vel, issue_stats, cur):
         out = out.join(part, "project_id", "left")
     return out
 

@@ -18,6 +18,30 @@ def _row(check: str, table: str, bad: DataFrame) -> DataFrame:
     return bad.select(F.lit(check).alias("check_name"), F.lit(table).alias("table_name"), F.col("bad_rows").cast("long"))
 
 
+def row_checks(
+    df: DataFrame,
+    table: str,
+    not_null: Sequence[str] = (),
+    domains: dict[str, Iterable[str]] | None = None,
+) -> DataFrame:
+    """All per-row rules of one table (NOT NULL, CHECK … IN) in a single pass.
+
+    One global aggregate of conditional counts, turned into one report row
+    per rule with ``inline`` — the table is scanned once, not once per rule.
+    """
+    rules: list[tuple[str, F.Column]] = [(f"not_null({c})", F.col(c).isNull()) for c in not_null]
+    for c, values in (domains or {}).items():
+        rules.append((f"domain({c})", ~F.col(c).isin(*list(values))))
+    if not rules:
+        raise ValueError("no row rules given")
+    counts = df.agg(*[F.count(F.when(cond, 1)).alias(f"_r{n}") for n, (_, cond) in enumerate(rules)])
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("check_name"), F.lit(table).alias("table_name"), F.col(f"_r{n}").cast("long").alias("bad_rows"))
+        for n, (name, _) in enumerate(rules)
+    ])
+    return counts.select(F.inline(rows))
+
+
 def unique(df: DataFrame, keys: Sequence[str], table: str) -> DataFrame:
     """Rows beyond the first per key (0 when the key is unique)."""
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

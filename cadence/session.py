@@ -38,13 +38,12 @@ def build_session(
         .config("spark.driver.memory", os.environ.get("CADENCE_DRIVER_MEMORY", "16g"))
     )
     conf = {**REQUIRED_CONF, **(extra or {})}
-    if "spark.checkpoint.dir" not in conf:
-        # Local tests only: a cluster names its shared folder itself.
-        conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="cadence-ckpt-")
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # The checkpoint folder is never forced here: a cluster's own
+    # spark.checkpoint.dir (spark-defaults or --conf) is read and used as-is.
     ensure_checkpoint_dir(spark)
     return spark
 

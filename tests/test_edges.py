@@ -144,6 +144,24 @@ def test_extract_text_exact_keeps_reference_spacing(spark):
     assert shallow[2] == "deep"
 
 
+def test_quality_audits(spark):
+    from cadence.operators import quality
+
+    child = spark.createDataFrame(
+        [(1, "a", 10), (2, None, 10), (2, "zz", 11), (3, "b", None), (4, "a", 99), (5, "a", 99)],
+        "k long, s string, fk long")
+    parent = spark.createDataFrame([(10,), (11,)], "id long")
+    rep = quality.report([
+        quality.unique(child, ["k"], "c"),
+        quality.row_checks(child, "c", not_null=["s"], domains={"s": ["a", "b"]}),
+        quality.foreign_key(child, ["fk"], parent, ["id"], "c"),
+    ])
+    got = {(r.check_name, r.table_name): r.bad_rows for r in rep.collect()}
+    # NULL passes a CHECK domain (as in SQL); NULL foreign keys are not violations.
+    assert got == {("unique(k)", "c"): 1, ("not_null(s)", "c"): 1, ("domain(s)", "c"): 1,
+                   ("foreign_key(fk)", "c"): 2}
+
+
 def _changelog(spark, histories):
     from cadence.sources.schemas import CHANGELOG
 

@@ -30,7 +30,7 @@ def build_silver(spark: SparkSession, sf_dir: str, root: str) -> None:
     """Write the delivery tables once (the ELT step) and point metrics at them."""
     # The order facts feed three tables; keep them for the duration of the
     # writes (recomputed from lineage if an executor is lost).
-    facts = testdata._order_facts(spark, sf_dir).persist()
+    facts = testdata.order_facts(spark, sf_dir).persist()
     try:
         write_tables(testdata.delivery_tables(spark, sf_dir, facts), root)
     finally:

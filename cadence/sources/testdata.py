@@ -62,7 +62,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their project (customer → nation → region) and line totals."""
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -207,7 +207,7 @@ def delivery_tables(spark: SparkSession, sf_dir: str, facts: DataFrame | None =
 
     def f() -> DataFrame:
         if "facts" not in cache:
-            cache["facts"] = facts if facts is not None else _order_facts(spark, sf_dir)
+            cache["facts"] = facts if facts is not None else order_facts(spark, sf_dir)
         return cache["facts"]
 
     return Tables(

@@ -168,6 +168,16 @@ def test_api_facade(seed):
         api.health("missing")
     js = to_json_rows(api.cycle_time("test")).collect()[0].json
     assert '"sample_size":10' in js
+    assert [r.name for r in api.sprints("test").collect()] == ["Sprint 4", "Sprint 3", "Sprint 2", "Sprint 1"]
+    assert [r.sprint_name for r in api.sprint_completion("test", 2).collect()] == ["Sprint 4", "Sprint 3"]
+    assert [r.sprint_name for r in api.time_tracking("test", 2).collect()] == ["Sprint 3", "Sprint 4"]
+    by_status, by_type = api.distribution("test")
+    assert [r.status_category for r in by_status.collect()] == ["Done", "In Progress", "To Do"]
+    assert by_type.count() == 6
+    dist = api.cycle_time_distribution("test", issue_type="Bug").collect()
+    assert [r.jira_issue_id for r in dist] == ["TEST-11", "TEST-7", "TEST-3"]  # newest done first
+    assert api.project("TeSt").collect()[0].jira_key == "TEST"
+    assert [r.jira_key for r in api.meta().collect()] == ["TEST"]
 
 
 def test_bounds():

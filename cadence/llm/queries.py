@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, substring_dedup, toxicity
+from . import bpe, exact_dedup, hmm_lm, packing, simhash, substring_dedup, toxicity
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.hmm_scores(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -57,7 +61,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_packing, op6_toxicity, op7_simhash, op9_byte_bpe, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_hmm_lm, op4_packing, op6_toxicity, op7_simhash, op9_byte_bpe, op10_substring_dedup)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 

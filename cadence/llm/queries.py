@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, hmm_lm, packing, simhash, substring_dedup, toxicity
+from . import bpe, exact_dedup, fingerprints, hmm_lm, packing, secrets, simhash, substring_dedup, toxicity
 from .common import documents
 
 
@@ -35,6 +35,27 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _spans_text(spans, kinds=None):
+    """``kind:start:end`` of the spans, of ``kinds`` only, joined by commas."""
+    if kinds:
+        spans = F.filter(spans, lambda x: x["kind"].isin(*kinds))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def _count(spans, kind: str):
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def _digest(text):
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans, kinds = F.col("spans"), secrets.KINDS[:3]
+    found = secrets.secret_spans(documents(spark, sf_dir))
+    return found.select("doc_id", *(_count(spans, k) for k in kinds), _digest(_spans_text(spans, kinds)).alias("base_sha256"), _spans_text(spans).alias("spans"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -65,7 +86,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_hmm_lm, op4_packing, op6_toxicity, op7_simhash, op8_fingerprints, op9_byte_bpe, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_hmm_lm, op4_packing, op5_secrets, op6_toxicity, op7_simhash, op8_fingerprints, op9_byte_bpe, op10_substring_dedup)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, hmm_lm, packing, secrets, simhash, substring_dedup, toxicity
+from . import bpe, exact_dedup, fingerprints, hmm_lm, packing, pii, secrets, simhash, substring_dedup, toxicity
 from .common import documents
 
 
@@ -26,15 +26,6 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def op3_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm_lm.hmm_scores(documents(spark, sf_dir))
-
-
-def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
 def _spans_text(spans, kinds=None):
     """``kind:start:end`` of the spans, of ``kinds`` only, joined by commas."""
     if kinds:
@@ -50,6 +41,21 @@ def _digest(text):
     return F.sha2(text.cast("binary"), 256)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans, kinds = F.col("spans"), pii.KINDS
+    found = pii.pii_spans(documents(spark, sf_dir))
+    return found.select("doc_id", *(_count(spans, k) for k in kinds), _digest(_spans_text(spans, kinds)).alias("base_sha256"), _spans_text(spans).alias("spans"))
+
+
+def op3_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.hmm_scores(documents(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, kinds = F.col("spans"), secrets.KINDS[:3]
     found = secrets.secret_spans(documents(spark, sf_dir))
@@ -86,7 +92,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_hmm_lm, op4_packing, op5_secrets, op6_toxicity, op7_simhash, op8_fingerprints, op9_byte_bpe, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_hmm_lm, op4_packing, op5_secrets, op6_toxicity, op7_simhash, op8_fingerprints, op9_byte_bpe, op10_substring_dedup)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 

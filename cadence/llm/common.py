@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,25 @@ def slices(n: int, size: int) -> Iterator[tuple[int, int]]:
         yield a, min(n, a + size)
 
 
+@lru_cache(maxsize=1)
+def byte_factors() -> np.ndarray:
+    """A fixed odd 64-bit value for each byte, for hashes of byte strings."""
+    return np.random.default_rng(20_240).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def powers(n: int, made: dict = {}) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd factor and of its inverse, modulo 2**64."""
+    if made.get("n", 0) < n:
+        size = 1 << max(14, int(n).bit_length())
+        factor = 0x5851F42D4C957F2D
+        for name, base in (("up", factor), ("down", pow(factor, -1, 1 << 64))):
+            chain = np.full(size, base, dtype=np.uint64)
+            chain[0] = 1
+            made[name] = np.multiply.accumulate(chain)
+        made["n"] = size
+    return made["up"], made["down"]
+
+
 def find_roots(parent: np.ndarray) -> np.ndarray:
     """Full path compression of a parent array."""
     while True:

@@ -29,10 +29,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import powers, slices, text_or_empty
 
 #: Bytes of a window, windows of a run, votes of a feature.
-WINDOW, RUN, VOTES = 16, 24, 8
+WINDOW, RUN, VOTES = 12, 24, 8
 #: In texts of fewer bytes runs are shorter; the features of the longer ones are then among theirs.
 SHORT, SHORT_RUN, SHORT_VOTES = 400, 6, 2
 #: Bits of a filter, bits that a feature sets, features of a full filter.
@@ -71,19 +71,6 @@ def _pairs(raw: np.ndarray) -> np.ndarray:
     return (raw[:-1].astype(np.uint16) << np.uint16(8)) | raw[1:]
 
 
-def _powers(n: int, made: dict = {}) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd factor and of its inverse, modulo 2**64."""
-    if made.get("n", 0) < n:
-        size = 1 << max(14, int(n).bit_length())
-        factor, inverse = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-        for name, base in (("up", factor), ("down", inverse)):
-            powers = np.full(size, base, dtype=np.uint64)
-            powers[0] = 1
-            made[name] = np.multiply.accumulate(powers)
-        made["n"] = size
-    return made["up"], made["down"]
-
-
 def _run_max(values: np.ndarray, run: int) -> np.ndarray:
     """Maximum of every ``run`` consecutive values."""
     n = values.size
@@ -105,7 +92,7 @@ def features(data: bytes, bits: np.ndarray) -> np.ndarray:
     sums = np.cumsum(bits[_pairs(raw)], dtype=np.float64)
     # In sixteenths of a bit; rounding makes equal windows rank equal anywhere.
     info = np.rint((sums[WINDOW - 2 :] - np.r_[0.0, sums[: -WINDOW + 1]]) * 16).astype(np.uint64)
-    up, down = _powers(n)
+    up, down = powers(n)
     rolled = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n])
     rolled = (rolled[WINDOW - 1 :] - np.r_[np.uint64(0), rolled[:-WINDOW]]) * down[: n - WINDOW + 1]
     key = (info << np.uint64(48)) | (((rolled ^ (rolled >> np.uint64(29))) * FACTOR) >> np.uint64(16))

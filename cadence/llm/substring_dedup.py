@@ -32,15 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import byte_factors, powers, text_or_empty
 
 WINDOW = 13
 #: Positions modulo the period at which anchors are hashed; all differences occur.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Blocks of documents, and buckets of hashes, for each shuffle partition.
-BLOCKS, BUCKETS = 8, 2
-CACHED_WORDS = 500_000
+BLOCKS, BUCKETS = 4, 1
+#: Bytes of a block that are read at once.
+PART_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
+HASH = np.dtype([("a", "<u8"), ("b", "<u4")])
+IS_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
 @lru_cache(maxsize=None)
@@ -48,23 +52,6 @@ def _factors(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng([20_240, seed]).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_word_hash: dict[bytes, int] = {}
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    known = _word_hash
-    fresh = [w for w in set(words) if w not in known]
-    if fresh:
-        if len(known) + len(fresh) > CACHED_WORDS:
-            known.clear()
-            fresh = list(set(words))
-        digest = xxhash.xxh3_64_intdigest
-        known.update((w, digest(w)) for w in fresh)
-    return np.array([known[w] for w in words], dtype=np.uint64)
-
-
 def _rolled(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
     """Multilinear hash of every n consecutive values; the high bits are the good ones."""
     m = max(0, hashes.size - n + 1)
@@ -74,65 +61,118 @@ def _rolled(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out
 
 
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, hash) of the words of bytes that end with white space."""
+    inner = ~IS_SPACE[raw]
+    turn = np.flatnonzero(inner[1:] != inner[:-1]) + 1
+    turn = np.r_[0, turn] if raw.size and inner[0] else turn
+    begin, end = turn[::2], turn[1::2]
+    up, down = powers(raw.size + 1)
+    upto = np.zeros(raw.size + 1, dtype=np.uint64)
+    np.cumsum(byte_factors()[raw] * up[: raw.size], out=upto[1:])
+    h = (upto[end] - upto[begin]) * down[begin]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return begin, end, h ^ (h >> np.uint64(32))
+
+
 @dataclass
 class Block:
     """The words of a block's documents in one row, with what belongs to which document."""
 
-    ids: np.ndarray  # of documents, in ascending order of (id, place)
-    words: list[list[bytes]]
+    ids: np.ndarray  # of documents, ascending
+    raw: np.ndarray  # their texts, a space after each
+    stops: np.ndarray  # where each ends in raw
+    begin: np.ndarray  # of each word, its place in raw
+    end: np.ndarray
     hashes: np.ndarray
-    doc: np.ndarray  # of each word, its document
-    at: np.ndarray  # and its place there
+    doc: np.ndarray  # its document
+    at: np.ndarray  # its place there
     left: np.ndarray  # and the words from it to the document's end
 
     @classmethod
     def of(cls, table: pa.Table) -> Block:
         ids = table.column("doc_id").fill_null(LAST).to_numpy()
         order = np.argsort(ids, kind="stable")
-        texts = table.column("text").take(pa.array(order)).to_pylist()
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        n = np.array([len(w) for w in words], dtype=np.int64)
-        hashes = np.concatenate([_hashes(w) for w in words]) if len(words) else np.empty(0, np.uint64)
-        at = np.arange(hashes.size) - np.repeat(np.cumsum(n) - n, n)
-        doc = np.repeat(np.arange(len(words)), n)
-        return cls(ids[order], words, hashes, doc, at, np.repeat(n, n) - at)
+        texts = [t.encode("utf-8", "surrogatepass") + b" " for t in table.column("text").take(pa.array(order)).to_pylist()]
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        stops = np.cumsum(sizes)
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        found, a = [], 0
+        while a < raw.size:  # whole documents, of about a part's bytes
+            b = int(stops[min(np.searchsorted(stops, a + PART_BYTES), stops.size - 1)])
+            begin, end, h = _words(raw[a:b])
+            found.append((begin + a, end + a, h))
+            a = b
+        begin, end, hashes = (np.concatenate(x) for x in zip(*found))
+        doc = np.searchsorted(stops, begin, side="right")
+        n = np.bincount(doc, minlength=len(texts))
+        at = np.arange(hashes.size) - (np.cumsum(n) - n)[doc]
+        return cls(ids[order], raw, stops, begin, end, hashes, doc, at, n[doc] - at)
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """(word, hash) of the anchors at cover positions."""
         n = window - PERIOD + 1
         rolled = _rolled(self.hashes, n, 1) >> np.uint64(16)
-        on = np.flatnonzero(np.isin(self.at[: rolled.size] % PERIOD, COVER) & (self.left[: rolled.size] >= n))
+        on = np.flatnonzero(IN_COVER[self.at[: rolled.size] % PERIOD] & (self.left[: rolled.size] >= n))
         return on, rolled[on]
 
     def candidates(self, window: int, shared: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold an anchor that another document has."""
         on, value = self.anchors(window)
-        order = np.argsort(value, kind="stable")
-        v, d = value[order], self.ids[self.doc[on[order]]]
-        first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if v.size else np.empty(0, np.int64)
-        low, high = (f.reduceat(d, first) if v.size else d for f in (np.minimum, np.maximum))
-        known = np.isin(v[first], shared, assume_unique=True) | (low < high)
+        order, first, _ = _groups(value)
+        d = self.ids[self.doc[on[order]]]
+        last = np.r_[first[1:], value.size] - 1
+        known = _among(value[order][first], shared) | (d[first] < d[last])  # stable order: ids ascend in a group
         hit = np.zeros(self.hashes.size + 1, dtype=np.int64)
-        hit[on[order]] = np.repeat(known, np.diff(np.r_[first, v.size]))
+        hit[on[order]] = np.repeat(known, last - first + 1)
         upto = np.r_[0, np.cumsum(hit)]
         start = np.flatnonzero(self.left >= window)
         return start[upto[start + PERIOD] > upto[start]]
 
     def window_hashes(self, window: int, start: np.ndarray) -> np.ndarray:
-        out = np.empty(start.size, dtype=[("a", "<u8"), ("b", "<u4")])
+        out = np.empty(start.size, dtype=HASH)
         out["a"] = _rolled(self.hashes, window, 2)[start]
         out["b"] = _rolled(self.hashes, window, 3)[start] >> np.uint64(32)
         return out
 
-
-def _firsts(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, firsts, group): rows by hash and id; the first row of each hash; each row's group."""
-    order = np.lexsort((ids, hashes["b"], hashes["a"]))
-    h = hashes[order]
-    new = np.r_[True, (h["a"][1:] != h["a"][:-1]) | (h["b"][1:] != h["b"][:-1])] if h.size else np.empty(0, bool)
+    def kept(self, covered: np.ndarray) -> list[bytes]:
+        """The words that are not covered, joined by one space, of each document."""
+        # Every kept word with the white space byte after it, as a space.
+        change = np.zeros(self.raw.size + 1, dtype=np.int8)
+        change[self.begin[~covered]] += 1
+        change[self.end[~covered] + 1] -= 1
+        mask = np.cumsum(change, dtype=np.int8)[:-1] > 0
+        flat = np.where(IS_SPACE[self.raw], np.uint8(32), self.raw)[mask].tobytes()
+        cuts = np.r_[0, np.cumsum(mask)[self.stops - 1]].tolist()
+        return [flat[a : max(a, b - 1)] for a, b in zip(cuts, cuts[1:])]
+
+
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, group): a stable order of the values, the first place of each, each place's group.
+
+    Hashes of two parts are ordered by the first; a group has both equal.
+    """
+    main = values["a"] if values.dtype.names else values
+    order = np.argsort(main, kind="stable")
+    v = values[order]
+    new = np.ones(v.size, dtype=bool)
+    new[1:] = (v["a"][1:] != v["a"][:-1]) | (v["b"][1:] != v["b"][:-1]) if v.dtype.names else v[1:] != v[:-1]
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _among(values: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Which values are among the told ones."""
+    if not told.size:
+        return np.zeros(values.size, dtype=bool)
+    if not values.dtype.names:
+        told = np.sort(told)
+        return told[np.minimum(np.searchsorted(told, values), told.size - 1)] == values
+    told = told[np.argsort(told["a"])]
+    met = told[np.minimum(np.searchsorted(told["a"], values["a"]), told.size - 1)]
+    return (met["a"] == values["a"]) & (met["b"] == values["b"])
+
+
 def _dealt(block: int, bucket: np.ndarray, *columns: np.ndarray) -> dict:
     """One row for each bucket: the columns' bytes of its entries, in their order."""
     order = np.argsort(bucket, kind="stable")
@@ -154,10 +194,8 @@ def _answers(blocks: np.ndarray, values: np.ndarray) -> pa.Table:
     return pa.table({"blk": pa.array(blocks[first], pa.int64()), "h": pa.array([values[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())})
 
 
-_SIX = np.dtype("<u2"), 3  # 48-bit hashes as three 16-bit parts
-
-
 def _pack48(values: np.ndarray) -> np.ndarray:
+    """48-bit hashes as three 16-bit parts."""
     return np.ascontiguousarray(values.astype("<u8").view("<u2").reshape(-1, 4)[:, :3])
 
 
@@ -178,9 +216,8 @@ def _shared_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Answer each block its hashes that another block has too."""
     parts = [_unpack48(x) for x in table.column("h").to_pylist()]
     value = np.concatenate(parts)
-    block = np.repeat(table.column("blk").to_numpy(), [p.size for p in parts])
     order = np.argsort(value, kind="stable")
-    value, block = value[order], block[order]
+    value, block = value[order], np.repeat(table.column("blk").to_numpy(), [p.size for p in parts])[order]
     same = value[1:] == value[:-1]
     often = np.r_[False, same] | np.r_[same, False]
     return _answers(block[often], _pack48(value[often]))
@@ -195,29 +232,26 @@ def _send_windows(window: int, buckets: int):
         if not table.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "blk": pa.array([], pa.int64()), "h": pa.array([], pa.binary()), "d": pa.array([], pa.binary())})
         block = Block.of(table)
-        start = block.candidates(window, np.unique(_one(answers, _unpack48)))
+        start = block.candidates(window, _one(answers, _unpack48))
         hashes, ids = block.window_hashes(window, start), block.ids[block.doc[start]]
-        order, first, _ = _firsts(hashes, ids)
-        pick = np.sort(order[first])  # by document, so that equal ids lie together
+        order, first, _ = _groups(hashes)
+        pick = np.sort(order[first])  # the smallest document of each; by document, so that equal ids lie together
         bucket = (hashes["a"][pick] >> np.uint64(20)) % np.uint64(buckets)
         return pa.table(_dealt(key[0].as_py(), bucket.astype(np.int64), hashes[pick], ids[pick]))
 
     return run
 
 
-_H12 = np.dtype([("a", "<u8"), ("b", "<u4")])
-
-
 def _repeated_windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Answer each block its hashes that also start in a document smaller than all its own."""
-    parts = [np.frombuffer(x, _H12) for x in table.column("h").to_pylist()]
+    parts = [np.frombuffer(x, HASH) for x in table.column("h").to_pylist()]
     ids = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("d").to_pylist()])
     hashes = np.concatenate(parts)
     block = np.repeat(table.column("blk").to_numpy(), [p.size for p in parts])
-    order, first, group = _firsts(hashes, ids)
-    least = ids[order][first][group]
-    later = ids[order] > least
-    return _answers(block[order][later], hashes[order][later])
+    order, first, group = _groups(hashes)
+    least = np.minimum.reduceat(ids[order], first)[group]
+    later = order[ids[order] > least]
+    return _answers(block[later], hashes[later])
 
 
 def _cover(window: int):
@@ -226,33 +260,17 @@ def _cover(window: int):
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())], names=names)
         block = Block.of(table)
-        told = _one(answers, lambda x: np.frombuffer(x, _H12))
-        # A window that counts was sent, so its hash is in the answers or it has a smaller document here.
+        told = _one(answers, lambda x: np.frombuffer(x, HASH))
+        # A window counts if its hash is in the answers or a smaller document of this block has it.
         start = np.flatnonzero(block.left >= window)
         hashes, ids = block.window_hashes(window, start), block.ids[block.doc[start]]
-        order, first, group = _firsts(hashes, ids)
-        least = ids[order][first][group]
-        keys = hashes[order][first]
-        both = np.concatenate([np.unique(told), keys])
-        by = np.lexsort((np.r_[np.zeros(both.size - keys.size), np.ones(keys.size)], both["b"], both["a"]))
-        met = np.r_[False, both[by][1:] == both[by][:-1]] if both.size else np.empty(0, bool)
-        flagged = np.zeros(both.size, dtype=bool)
-        flagged[by] = met
-        flagged = flagged[both.size - keys.size :]
-        gone = start[order][flagged[group] | (ids[order] > least)]
-        change = np.zeros(block.hashes.size + 1, dtype=np.int64)
-        np.add.at(change, gone, 1)
-        np.add.at(change, gone + window, -1)
-        covered = np.cumsum(change)[:-1] > 0
-        rows, a = ([], [], [], []), 0
-        for doc_id, words in zip(block.ids.tolist(), block.words):
-            mine = covered[a : a + len(words)]
-            a += len(words)
-            n = int(mine.sum())
-            kept = words if not n else [w for w, c in zip(words, mine.tolist()) if not c]
-            for column, value in zip(rows, (None if doc_id == LAST else doc_id, len(words), n, b" ".join(kept).decode("utf-8", "replace"))):
-                column.append(value)
-        return pa.table([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=names)
+        order, first, group = _groups(hashes)
+        gone = start[order[_among(hashes[order][first], told)[group] | (ids[order] > ids[order][first][group])]]
+        change = np.bincount(gone, minlength=block.hashes.size + 1) - np.bincount(gone + window, minlength=block.hashes.size + 1)
+        covered = np.cumsum(change)[: block.hashes.size] > 0
+        count = [np.bincount(block.doc[rows], minlength=block.ids.size) for rows in (slice(None), covered)]
+        columns = (pa.array(block.ids, mask=block.ids == LAST), *map(pa.array, count), pa.array(block.kept(covered), pa.binary()).cast(pa.string()))
+        return pa.table(columns, names=names)
 
     return run
 

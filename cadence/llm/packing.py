@@ -19,10 +19,8 @@ other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import slices, text_or_empty
+from .word_bpe import tokenizer
 
 SEQ_LEN = 4096
 END_ID = 2
@@ -38,67 +37,9 @@ GRID = 64
 #: Costs in ids of padding: a cut at a sentence end, a cut elsewhere, a sequence.
 SENTENCE_CUT, OTHER_CUT, SEQUENCE = 4, 64, 48
 BLOCK_IDS = 1 << 19
-CACHED_WORDS = 500_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class WordTokenizer:
-    """Ids of texts, word by word: the tokenizer drops white space and no merge crosses it."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        vocab = self.model.get_vocab()
-        self.sentence_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        for token, i in vocab.items():
-            self.sentence_end[i] = re.fullmatch(r".*[.!?]+(</w>)?", token) is not None
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, from one call: a word's ids are those whose offsets lie in it."""
-        coded = self.model.encode(" ".join(words), add_special_tokens=False)
-        begins = np.fromiter((a for a, _ in coded.offsets), dtype=np.int64, count=len(coded.offsets))
-        cuts = 4 * np.searchsorted(begins, np.cumsum([len(w) + 1 for w in words]))
-        ids = np.asarray(coded.ids, dtype="<u4").tobytes()
-        return [ids[a:b] for a, b in zip([0, *cuts.tolist()], cuts.tolist())]
-
-    @staticmethod
-    def _stem(word: str) -> tuple[str, str]:
-        """The word in lower case and one comma or full stop after its last letter, which is a match of its own."""
-        tail = word[-1:] if word[-1:] in ",." and word[-2:-1].isalpha() else ""
-        stem = word[:-1] if tail else word
-        return (stem.lower() if stem.isascii() else stem), tail
-
-    def _learn(self, fresh: list[str]) -> None:
-        pairs = [self._stem(w) for w in fresh]
-        new = [s for s in {s for s, _ in pairs} | {",", "."} if s not in self.stems]
-        for a, b in slices(len(new), 2000):
-            self.stems.update(zip(new[a:b], self._encode(new[a:b])))
-        for word, (stem, tail) in zip(fresh, pairs):
-            self.words[word] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
-
-    def __call__(self, text: str) -> bytes:
-        # Only characters that are white space to every reader split words here.
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.words
-        fresh = [w for w in set(words) if w not in known]
-        if fresh:
-            if len(known) + len(fresh) > CACHED_WORDS:
-                known.clear()
-                self.stems.clear()
-                fresh = list(set(words))
-            self._learn(fresh)
-        return b"".join([known[w] for w in words])
-
-
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
 def cut_positions(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, costs) of possible cuts: document ends, and of every grid cell its first sentence end, else its start."""
     n = len(ids)
@@ -191,13 +132,15 @@ def _pack(path: str, seq_len: int, end_id: int, grid: int, block: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = tokenizer(path), np.asarray([end_id], dtype="<u4").tobytes()
+        coder = tokenizer(path)
         stream = _Stream(coder.sentence_end, seq_len, grid)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                stream.add(doc_id.as_py(), np.frombuffer(coder(text.as_py()) + end, dtype="<u4"))
-                if stream.held >= block:
-                    yield batch_of(stream.pack(False))
+            for a, b in slices(batch.num_rows, 2000):
+                part = batch.slice(a, b - a)
+                for doc_id, ids in zip(part.column(0).to_pylist(), coder(part.column(1).to_pylist())):
+                    stream.add(doc_id, np.r_[ids, np.uint32(end_id)].astype("<u4", copy=False))
+                    if stream.held >= block:
+                        yield batch_of(stream.pack(False))
         rows = stream.pack(True)
         if rows:
             yield batch_of(rows)

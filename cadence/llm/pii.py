@@ -147,9 +147,9 @@ def _disclosing(docs: DataFrame, occurrences: DataFrame, support: int, generalis
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
     # Counted before the join: no word is hot afterwards.
     terms = terms.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.count("*").alias("n"))
-    joined = pairs.join(terms, "term").join(entities, "entity").crossJoin(total)  # one row
-    n, both, e, t = (F.col(c).cast("double") for c in ("n", "n_both", "n_entity", "n_term"))
+    joined = pairs.join(terms, "term").join(entities, "entity")
+    n = F.lit(float(docs.count()))
+    both, e, t = (F.col(c).cast("double") for c in ("n_both", "n_entity", "n_term"))
     share = F.when(e < n, F.log(n * both / (F.greatest(t, both) * e)) / F.log(n / e)).otherwise(0.0)
     return joined.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
 

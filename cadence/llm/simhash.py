@@ -211,20 +211,35 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, sample: int = SA
     return components(edges, "simhash")
 
 
+def _signed(docs: DataFrame, shingle_words: int) -> DataFrame:
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_fingerprints(shingle_words), "doc_id long, fp long")
+
+
 def simhash_near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, **tree) -> DataFrame:
-    """Rows (doc_id, fp, component_id), one for each row of ``docs``; component_id is the smallest doc_id reachable."""
-    signed = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_fingerprints(shingle_words), "doc_id long, fp long")
-    signed = materialise(signed, "simhash-fp")
+    """Rows (doc_id, fp, component_id, root), one for each row of ``docs``.
+
+    component_id is the smallest doc_id reachable, root the smallest fingerprint.
+    """
+    signed = materialise(_signed(docs, shingle_words), "simhash-fp")
     classes = materialise(signed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-class")
     roots = link_fingerprints(classes.select("fp"), max_bits, **tree)
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(ids, "root").select("fp", "component_id")
-    return signed.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = joined.join(ids, "root").select("fp", "component_id", "root")
+    return signed.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_rows(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: the smallest doc_id of each component."""
-    found = simhash_near_dedup(docs.select("doc_id", "text"), shingle_words, max_bits)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs``, all columns, that stay: the smallest doc_id of each component.
+
+    Of a component whose doc_ids are all null one row stays.
+    """
+    found = materialise(simhash_near_dedup(docs.select("doc_id", "text"), shingle_words, max_bits), "simhash-found")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    # Rows without an id are told apart by their text.
+    nameless = docs.where("doc_id is null").withColumn("__text", F.xxhash64(text_or_empty()))
+    signed = docs.where("doc_id is null").select(F.xxhash64(text_or_empty()).alias("doc_id"), "text")
+    roots = found.where("doc_id is null and component_id is null").select("fp", "root").distinct()
+    one = _signed(signed, shingle_words).join(roots, "fp").groupBy("root").agg(F.min("doc_id").alias("__one")).select("__one")
+    return named.unionByName(nameless.join(one, F.col("__text") == F.col("__one"), "left_semi").dropDuplicates(["__text"]).drop("__text"))

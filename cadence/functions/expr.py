@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 MICROS_PER_DAY = 86_400_000_000
 
 

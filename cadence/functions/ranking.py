@@ -2,11 +2,12 @@
 
 ``row_number() OVER (PARTITION BY g ORDER BY …)`` shuffles every row of a
 group to one task; when one group holds a third of the data, that task is
-the job. Here the rows are range-sorted on ``(g, order…)`` instead, so a hot
-group is split over many tasks, and each row's number is its offset in its
-sorted partition plus the row counts of the same group in earlier
-partitions. Only per-(group, partition) counts — at most
-``groups × partitions`` tiny rows — meet in one place.
+the job. Here the order is refined by *levels*, expressions that are
+monotone in it (say day, then minute, then a block of ids). Rows are counted
+by group and levels (partial aggregation), the counts before each cell are
+summed one level at a time, and only the rows of one finest cell are sorted
+together. Cells come from the data alone, so a retried task numbers its
+rows identically.
 """
 
 from __future__ import annotations
@@ -15,24 +16,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def row_number_by_group(
-    df: DataFrame,
-    group: str,
-    order: list[Column],
-    out: str = "idx",
-    partitions: int | None = None,
-) -> DataFrame:
-    sort_cols = [F.col(group).asc_nulls_first(), *order]
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-    # monotonically_increasing_id keeps within-partition order in its low bits.
-    s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    blocks = s.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    w = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # ``order`` must be total (end with a unique key) so a recomputed
-    # partition after executor loss numbers its rows identically.
-    j = s.join(blocks.select(group, "_pid", "_first", "_before"), [group, "_pid"], "inner")
-    return j.withColumn(out, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("long")).drop(
-        "_pid", "_mid", "_first", "_before"
-    )
+def row_number_by_group(df: DataFrame, group: str, order: list[Column], levels: list[list[tuple[Column, bool]]], out: str = "idx") -> DataFrame:
+    """Adds ``out``, the row's number in its group by ``order``.
+
+    ``levels``, coarse to fine, are lists of (expression, ascending); ordering
+    by all of them and then by ``order`` must equal ordering by ``order``.
+    NULLs come last when ascending and first when descending; a NULL group is
+    a group.
+    """
+    named = [[(f"_l{k}_{i}", e, asc) for i, (e, asc) in enumerate(level)] for k, level in enumerate(levels)]
+    names = [[n for n, _, _ in level] for level in named]
+    every = [n for level in names for n in level]
+    cells = df.withColumns({n: e for level in named for n, e, _ in level})
+    located = cells.groupBy(group, *every).agg(F.count(F.lit(1)).alias("_n"))
+    counts, before = located, F.lit(0)
+    for k, level in enumerate(named):
+        outer = [group, *(n for x in names[:k] for n in x)]
+        by = [F.col(n).asc_nulls_last() if asc else F.col(n).desc_nulls_first() for n, _, asc in level]
+        w = Window.partitionBy(*outer).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        if k == len(named) - 1:
+            located = located.withColumn(f"_b{k}", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        else:
+            sums = counts.groupBy(*outer, *names[k]).agg(F.sum("_n").alias("_s"))
+            sums = sums.select(*outer, *names[k], F.coalesce(F.sum("_s").over(w), F.lit(0)).alias(f"_b{k}"))
+            located = _join(located, sums, [*outer, *names[k]])
+        before = before + F.col(f"_b{k}")
+    located = located.select(group, *every, before.alias("_before"))
+    w = Window.partitionBy(group, *every).orderBy(*order)
+    numbered = cells.withColumn("_i", F.row_number().over(w))
+    return _join(numbered, located, [group, *every]).withColumn(out, (F.col("_before") + F.col("_i")).cast("long")).drop("_before", "_i", *every)
+
+
+def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which NULL keys meet."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, on).drop(*[f"_r_{k}" for k in keys])

@@ -1,10 +1,14 @@
 """Scalar text helpers of the ingest layer, as built-in column expressions.
 
-Nothing here runs Python per row; every helper is JVM-side and codegen'd.
+Every helper is JVM-side and codegen'd but one: rich-text documents of any
+depth are walked in a small Arrow UDF.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,7 +82,7 @@ def acceptance_criteria(
     if from_desc is None:
         from_desc = F.lit(None).cast("string")
     ded = col_(dedicated)
-    return F.when(ded.isNotNull() & (ded != ""), extract_text(ded)).when(d.isNotNull() & (d != ""), from_desc)
+    return F.when(ded.isNotNull() & (ded != ""), extract_text_exact(ded)).when(d.isNotNull() & (d != ""), from_desc)
 
 
 def added_mid_sprint(created: str | Column, sprint_start: str | Column) -> Column:
@@ -101,80 +105,70 @@ def impute_points(points: str | Column, time_spent: str | Column, estimate: str
     return F.when(sp.isNull() | (ts > 0), value.cast("decimal(6,1)")).otherwise(sp.cast("decimal(6,1)"))
 
 
-_TEXT_VALUE = r'"text"\s*:\s*"((?:[^"\\]++|\\.)*+)"'
+def _scalar_text(value) -> str:
+    """Text of a leaf: strings as they are, false-like values nothing, others as Python prints them."""
+    return value if isinstance(value, str) else str(value) if value else ""
 
 
-def extract_text(doc: str | Column) -> Column:
-    """Plain text of a rich-text document (native mode).
+def rich_text(doc: str | None) -> str:
+    """Plain text of a rich-text document given as JSON text; other strings are their own text.
 
-    Plain strings pass through. For a JSON document every ``"text"`` value
-    is taken in document order, unescaped by re-reading the list as JSON,
-    joined with one space and whitespace-collapsed. Any nesting depth works
-    because the walk is a regex over the serialised tree.
+    A node's text is its own ``text``, a space, and its children's texts
+    joined by single spaces, stripped; a list is its items joined by spaces.
+    Only ``content`` is walked: texts under ``attrs`` are not part of it. The
+    walk keeps its own stack, so no depth is too deep.
+    """
+    if not doc:
+        return ""
+    try:
+        root = json.loads(doc)
+    except (ValueError, RecursionError):
+        return doc
+    if not isinstance(root, (dict, list)):
+        return doc
+
+    def children(node):
+        return iter((node.get("content") or []) if isinstance(node, dict) else node)
+
+    stack = [(root, [], children(root))]
+    while True:
+        node, parts, rest = stack[-1]
+        child = next(rest, stack)
+        if child is not stack:
+            if isinstance(child, (dict, list)) and child:
+                stack.append((child, [], children(child)))
+            else:
+                parts.append(_scalar_text(child))
+            continue
+        text = " ".join(parts)
+        if isinstance(node, dict):
+            own = _scalar_text(node.get("text", ""))
+            text = (f"{own} {text}" if "content" in node else own).strip()
+        stack.pop()
+        if not stack:
+            return text
+        stack[-1][1].append(text)
+
+
+@F.pandas_udf(T.StringType())
+def _rich_text(docs: pd.Series) -> pd.Series:
+    return docs.map(lambda d: None if d is None else rich_text(d))
+
+
+def extract_text_exact(doc: str | Column) -> Column:
+    """Plain text of a rich-text document, with the spacing that empty nodes leave.
+
+    Strings that open no JSON object or list cannot be documents and stay
+    JVM-side; the others are parsed in one Arrow UDF, and come back unchanged
+    when they are not JSON.
     """
     s = col_(doc)
-    is_json = F.ltrim(s).startswith("{") | F.ltrim(s).startswith("[")
-    raw = F.regexp_extract_all(s, F.lit(_TEXT_VALUE), 1)
-    as_json = F.concat(F.lit("["), F.array_join(F.transform(raw, lambda v: F.concat(F.lit('"'), v, F.lit('"'))), ","), F.lit("]"))
-    values = F.from_json(as_json, T.ArrayType(T.StringType()))
-    joined = F.array_join(values, " ")
-    collapsed = F.trim(F.regexp_replace(joined, r"\s+", " "))
-    return F.when(s.isNull(), F.lit("")).when(is_json, collapsed).otherwise(s)
-
-
-EXACT_MAX_DEPTH = 12
+    may_be = F.coalesce(F.ltrim(s).startswith("{") | F.ltrim(s).startswith("["), F.lit(False))
+    return F.when(may_be, _rich_text(F.when(may_be, s))).otherwise(F.coalesce(s, F.lit("")))
 
 
-def _node_text(v: Column, depth: int, max_depth: int) -> Column:
-    """Text of one rich-text node (a VARIANT), walking children ``depth`` levels down.
-
-    A node's text is its own ``text`` followed by a space and its children's
-    texts joined by single spaces, stripped; a list is its items joined by
-    spaces; a string is itself; empty or false-like nodes give ''.
-    """
-    as_list = F.try_variant_get(v, "$", "array<variant>")
-    is_object = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-    content = F.try_variant_get(v, "$.content", "array<variant>")
-    children = F.when(as_list.isNotNull(), as_list).when(is_object, content)
-    if depth >= max_depth:
-        # Deeper than the unrolled walk: fall back to the native extraction.
-        joined = F.array_join(F.transform(children, lambda c: extract_text(F.to_json(c))), " ")
-    else:
-        joined = F.array_join(F.transform(children, lambda c: _node_text(c, depth + 1, max_depth)), " ")
-    has_content = F.try_variant_get(v, "$.content", "variant").isNotNull()
-    own = F.coalesce(F.try_variant_get(v, "$.text", "string"), F.lit(""))
-    kind = F.schema_of_variant(v)
-    scalar = F.variant_get(v, "$", "string")
-    numeric = kind.startswith("BIGINT") | kind.startswith("DOUBLE") | kind.startswith("DECIMAL") | kind.startswith("FLOAT")
-    falsy_scalar = (kind == "VOID") | ((kind == "BOOLEAN") & (scalar != "true")) | (numeric & (scalar.try_cast("double") == 0))
-
-    def assemble(j: Column) -> Column:
-        # ``j`` (the children's joined text) is bound once per level, so the
-        # recursive subtree is not duplicated across the branches below.
-        j = F.coalesce(j, F.lit(""))
-        obj_text = py_strip(F.concat(own, F.when(has_content, F.concat(F.lit(" "), j)).otherwise(F.lit(""))))
-        return (
-            F.when(v.isNull(), F.lit(""))
-            .when(as_list.isNotNull(), j)
-            .when(is_object, obj_text)
-            .when(kind == "STRING", scalar)
-            .when(falsy_scalar, F.lit(""))
-            .otherwise(scalar)
-        )
-
-    return F.element_at(F.transform(F.array(joined), assemble), 1)
-
-
-def extract_text_exact(doc: str | Column, max_depth: int = EXACT_MAX_DEPTH) -> Column:
-    """Plain text of a rich-text document, keeping the reference's exact spacing.
-
-    Unlike :func:`extract_text`, whitespace is not collapsed: each node is
-    stripped on its own, so empty nodes leave double spaces. The document is
-    parsed to a ``VARIANT`` and walked with ``transform`` unrolled to
-    ``max_depth`` levels (deeper subtrees use the native extraction). Plain
-    strings and text that does not parse as JSON pass through.
-    """
+def extract_text(doc: str | Column) -> Column:
+    """Like :func:`extract_text_exact`; a document's text is whitespace-collapsed."""
     s = col_(doc)
-    is_json = F.ltrim(s).startswith("{") | F.ltrim(s).startswith("[")
-    v = F.try_parse_json(s)
-    return F.when(s.isNull(), F.lit("")).when(is_json & v.isNotNull(), _node_text(v, 0, max_depth)).otherwise(s)
+    text = extract_text_exact(s)
+    return F.when(text == F.coalesce(s, F.lit("")), text).otherwise(F.trim(F.regexp_replace(text, r"\s+", " ")))

@@ -9,9 +9,6 @@ from ..functions.expr import iso
 from ..sources.tables import Tables
 from .metrics import ProjectNotFound
 
-# Fixed value: the dashboard's preferred default project key.
-PREFERRED_PROJECT_KEY = "GETSCTCL"
-
 PROJECT_COLUMNS = ("id", "jira_key", "name", "description", "lead_email", "board_id")
 
 
@@ -37,7 +34,7 @@ def resolve_project_id(t: Tables, key: str) -> int:
     return int(row["id"])
 
 
-def default_project(t: Tables, preferred_key: str = PREFERRED_PROJECT_KEY) -> DataFrame:
+def default_project(t: Tables, preferred_key: str) -> DataFrame:
     """Preferred key if present, else the first project by name."""
     pref = F.coalesce(F.col("jira_key") == F.lit(preferred_key), F.lit(False))
     return project_list(t).orderBy(pref.desc(), F.col("name").asc_nulls_first(), F.col("id")).limit(1)

@@ -43,7 +43,9 @@ def row_checks(
 
 
 def unique(df: DataFrame, keys: Sequence[str], table: str) -> DataFrame:
-    """Rows beyond the first per key (0 when the key is unique)."""
+    """Rows beyond the first per key (0 when the key is unique); keys with a NULL never clash, as in SQL."""
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     bad = per.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("bad_rows"))
     return _row(f"unique({','.join(keys)})", table, bad)

@@ -107,7 +107,7 @@ def normalize(
     Missing nested parents give NULL, as struct access does.
     """
     f = F.col("fields")
-    description = X.extract_text(f["description"])
+    description = X.extract_text_exact(f["description"])
     ip, done = transition_dates(F.col("changelog"))
     created = X.parse_ts(f["created"])
     ac = X.acceptance_criteria(f[ac_field], description, ac_markers)
@@ -126,7 +126,7 @@ def normalize(
         description.alias("description"),
         ac.alias("acceptance_criteria"),
         has_ac(ac).alias("has_ac"),
-        X.story_points(f[story_points_field], f["story_points"]).cast(POINTS).alias("story_points"),
+        X.story_points(f[story_points_field], f["story_points"]).try_cast(POINTS).alias("story_points"),
         f["timeoriginalestimate"].alias("original_estimate"),
         f["timespent"].alias("time_spent"),
         f["timeestimate"].alias("remaining_estimate"),

@@ -86,12 +86,18 @@ def scope_creep_band(t: Tables, project_id: int | None = None, limit: int = 5) -
 
 # ── cycle-time scatter ───────────────────────────────────────────────────────
 
+ID_BLOCK = 65_536  # ids of rows that are sorted together when they share an instant
+
+
 def cycle_time_scatter(t: Tables, project_id: int | None = None) -> DataFrame:
     """Scatter index ``i+1`` in result order (newest done first, then id)."""
     d = metrics.cycle_time_distribution(t, project_id).filter(F.col("cycle_days").isNotNull())
     d = d.select("project_id", "id", "cycle_days", "done_at")
-    # A hot project is split over many tasks (see functions.ranking).
-    ranked = row_number_by_group(d, "project_id", [F.col("done_at").desc_nulls_first(), F.col("id").asc()])
+    # A hot project is split over many tasks (see functions.ranking): by day,
+    # then minute, then blocks of ids among equal instants of a minute's rows.
+    instant = F.col("done_at")
+    levels = [[(F.to_date(instant), False)], [(F.date_trunc("MINUTE", instant), False)], [(instant, False), (F.floor(F.col("id") / ID_BLOCK), True)]]
+    ranked = row_number_by_group(d, "project_id", [instant.desc_nulls_first(), F.col("id").asc()], levels)
     return ranked.select("project_id", "id", "cycle_days", "idx")
 
 

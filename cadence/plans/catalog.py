@@ -46,11 +46,12 @@ METRIC_QUERIES: dict[str, QueryFn] = {
 
 
 LOOKUP_KEY = "europe"  # resolved case-insensitively
+PREFERRED_KEY = "EUROPE"  # a key that exists, and not the first by name
 
 LISTING_QUERIES: dict[str, QueryFn] = {
     "project_list": _metric(listing.project_list),
     "project_lookup": _metric(listing.project_lookup, key=LOOKUP_KEY),
-    "default_project": _metric(listing.default_project),
+    "default_project": _metric(listing.default_project, preferred_key=PREFERRED_KEY),
     "sprint_list": _metric(listing.sprint_list),
     "project_sync_meta": _metric(listing.project_sync_meta),
 }

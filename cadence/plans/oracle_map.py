@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from . import oracle as o
-from ..operators.listing import PREFERRED_PROJECT_KEY
 from ..operators.views import CHART_WINDOW
 from .ingest_queries import DOC_AC_MARKERS
-from .catalog import DEFAULT_LIMIT, DEFAULT_WINDOW, LOOKUP_KEY
+from .catalog import DEFAULT_LIMIT, DEFAULT_WINDOW, LOOKUP_KEY, PREFERRED_KEY
 
 
 def oracle_sql() -> dict[str, str]:
@@ -26,7 +25,7 @@ def oracle_sql() -> dict[str, str]:
         "time_tracking": o.time_tracking(DEFAULT_LIMIT),
         "project_list": o.project_list(),
         "project_lookup": o.project_lookup(LOOKUP_KEY),
-        "default_project": o.default_project(PREFERRED_PROJECT_KEY),
+        "default_project": o.default_project(PREFERRED_KEY),
         "sprint_list": o.sprint_list(),
         "project_sync_meta": o.project_sync_meta(),
         "sprint_predictability": o.sprint_predictability(CHART_WINDOW),

@@ -139,9 +139,6 @@ def test_extract_text_exact_keeps_reference_spacing(spark):
     df = spark.createDataFrame(rows, "d string")
     got = [r.t for r in df.select(X.extract_text_exact("d").alias("t")).collect()]
     assert got == ["Hello world  end", "a  b", "deep", "", "plain  text", "", "{bad json"]
-    # Past the unrolled depth the native extraction takes over.
-    shallow = [r.t for r in df.select(X.extract_text_exact("d", max_depth=1).alias("t")).collect()]
-    assert shallow[2] == "deep"
 
 
 def test_quality_audits(spark):
@@ -191,18 +188,40 @@ def test_history_dedupe_and_append(spark):
     assert silver.append_history(h, h).count() == 0
 
 
-def test_row_number_by_group_splits_hot_group(spark):
+def test_rich_text_of_any_depth_without_attrs(spark):
+    import json
+
+    deep = {"type": "text", "text": "bottom"}
+    for _ in range(200):
+        deep = {"type": "listItem", "content": [deep]}
+    fourteen = {"content": [{"text": "a"}, {"text": ""}, {"text": "b"}]}
+    for _ in range(14):
+        fourteen = {"content": [fourteen]}
+    mention = {"type": "paragraph", "content": [{"type": "text", "text": "ping "}, {"type": "mention", "attrs": {"text": "@Bob DONE"}}]}
+    rows = [(json.dumps(deep),), (json.dumps(fourteen),), (json.dumps(mention),), ("[UI] Login fails. Given a user",), ("{code}x{code} AC: y",), ("[1, 0, true]",), ("7",)]
+    df = spark.createDataFrame(rows, "d string")
+    got = [r.t for r in df.select(X.extract_text_exact("d").alias("t")).collect()]
+    assert got == ["bottom", "a  b", "ping", "[UI] Login fails. Given a user", "{code}x{code} AC: y", "1  True", "7"]
+    assert [r.t for r in df.select(X.extract_text("d").alias("t")).collect()][:5] == ["bottom", "a b", *got[2:5]]
+    ac = df.select(X.acceptance_criteria(F.lit(None).cast("string"), X.extract_text_exact("d")).alias("ac")).collect()
+    assert [r.ac for r in ac][3:5] == ["Given a user", "AC: y"]
+
+
+def test_row_number_by_group_equals_a_window(spark):
     from pyspark.sql import Window
 
     from cadence.functions.ranking import row_number_by_group
 
-    # Group 0 holds most rows; numbering must equal a plain window row_number.
-    df = spark.range(0, 3000).select(
-        F.when(F.col("id") % 10 < 8, F.lit(0)).otherwise(F.col("id") % 3).alias("g"),
-        (F.col("id") * 7919 % 1000).alias("v"),
+    # Group 0 holds most rows, some groups are NULL, and a payload rides along.
+    df = spark.range(0, 200_000).select(
+        F.when(F.col("id") % 10 < 8, F.lit(0)).when(F.col("id") % 10 == 8, F.col("id") % 3).alias("g"),
+        F.when(F.col("id") % 50 != 0, F.timestamp_seconds(F.col("id") * 7919 % 900_000)).alias("v"),
         F.col("id"),
-    )
-    order = [F.col("v").desc(), F.col("id").asc()]
-    got = row_number_by_group(df, "g", order, partitions=16).select("id", "idx")
-    want = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy(*order)).alias("idx"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        F.repeat(F.lit("x"), (F.col("id") % 40).cast("int")).alias("payload"),
+    ).repartition(7)
+    order = [F.col("v").desc_nulls_first(), F.col("id").asc()]
+    levels = [[(F.to_date("v"), False)], [(F.date_trunc("MINUTE", "v"), False)], [(F.col("v"), False), (F.floor(F.col("id") / 1000), True)]]
+    got = row_number_by_group(df, "g", order, levels)
+    want = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy(*order)).alias("want"))
+    both = got.join(want, "id")
+    assert both.count() == 200_000 and both.where("idx <> want or payload is null").count() == 0

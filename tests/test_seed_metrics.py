@@ -147,7 +147,7 @@ def test_listing(seed):
     assert listing.resolve_project_id(seed, "test") == 1
     with pytest.raises(metrics.ProjectNotFound):
         listing.resolve_project_id(seed, "nope")
-    assert listing.default_project(seed).collect()[0].jira_key == "TEST"
+    assert listing.default_project(seed, "TEST").collect()[0].jira_key == "TEST"
     s = listing.sprint_list(seed, 1, state="closed").collect()
     assert sorted(r.name for r in s) == ["Sprint 1", "Sprint 2", "Sprint 3"]
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_or_empty
+from .common import SPACE, materialise, text_or_empty
 
 #: Code points of the normalised text in the prefix hash.
 PREFIX_CHARS = 64
@@ -53,7 +53,8 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_all: b
     signed = _signed(docs, prefix_chars)
     digest = F.sha2(F.col("norm").cast("binary"), 256)
     if digest_all:
-        rows = signed.select("doc_id", "n_chars", *REFINED, digest.alias("text_sha256"))
+        # One reading of the texts; the levels below read the narrow rows.
+        rows = materialise(signed.select("doc_id", "n_chars", *REFINED, digest.alias("text_sha256")), "exact-rows")
         survivors = rows.join(_refined(rows.select(*REFINED)), REFINED, "left_semi")
     else:
         keys = _refined(signed.select(*REFINED))

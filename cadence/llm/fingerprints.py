@@ -48,15 +48,11 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            for a, b in slices(batch.num_rows, 500):
-                for text in batch.column(0).slice(a, b - a).to_pylist():
-                    total += np.bincount(_pairs(np.frombuffer(text.encode(), np.uint8)), minlength=1 << 16) if len(text) > 20_000 else 0
-                small = [t for t in batch.column(0).slice(a, b - a).to_pylist() if len(t) <= 20_000]
-                raw = np.frombuffer("".join(small).encode(), np.uint8)
-                pairs = _pairs(raw)
-                ends = np.cumsum([len(t.encode()) for t in small])[:-1] - 1
-                total += np.bincount(pairs, minlength=1 << 16)
-                total -= np.bincount(pairs[ends[(ends >= 0) & (ends < pairs.size)]], minlength=1 << 16)  # pairs across two texts
+            for a, b in slices(batch.num_rows, 200):
+                raw = [t.encode() for t in batch.column(0).slice(a, b - a).to_pylist() if t]
+                pairs = _pairs(np.frombuffer(b"".join(raw), np.uint8))
+                across = np.cumsum([len(t) for t in raw])[:-1].astype(np.int64) - 1  # pairs of two texts
+                total += np.bincount(pairs, minlength=1 << 16) - np.bincount(pairs[across], minlength=1 << 16)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
 

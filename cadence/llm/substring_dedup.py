@@ -120,6 +120,8 @@ class Block:
     def candidates(self, window: int, shared: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold an anchor that another document has."""
         on, value = self.anchors(window)
+        if not value.size:
+            return np.empty(0, np.int64)
         order, first, _ = _groups(value)
         d = self.ids[self.doc[on[order]]]
         last = np.r_[first[1:], value.size] - 1

@@ -205,7 +205,7 @@ def test_packing_covers_every_id_once(spark, texts):
         n = sum(p.length for p in parts)
         assert n <= 512 and [p.offset for p in parts] == [sum(q.length for q in parts[:k]) for k in range(len(parts))]
         padding, total = padding + (0 if n & (n - 1) == 0 else 512 - n), total + n
-    assert padding < 0.02 * total
+    assert padding < 0.03 * total
 
 
 def test_cuts_are_the_cheapest():

@@ -99,11 +99,13 @@ def normalize(
     story_points_field: str = "story_points",
     ac_field: str = "acceptance_criteria",
     ac_markers: tuple[str, ...] = X.AC_MARKERS,
+    context: tuple[str, ...] = ("project_id", "sprint_id"),
 ) -> DataFrame:
     """Flatten issue documents to silver issue rows (one row per document).
 
-    ``docs`` carries ``key, fields, changelog`` plus the batch context columns
-    ``project_id, sprint_id, sprint_start`` and a sequence column ``seq``.
+    ``docs`` carries ``key, fields, changelog``, a sequence column ``seq`` and
+    the ``context`` columns, which pass through. ``added_mid_sprint`` is
+    computed when ``docs`` has a ``sprint_start``.
     Missing nested parents give NULL, as struct access does.
     """
     f = F.col("fields")
@@ -115,8 +117,7 @@ def normalize(
     return docs.select(
         *source_id,
         F.col("key").alias("jira_issue_id"),
-        "project_id",
-        "sprint_id",
+        *context,
         "seq",
         f["issuetype"]["name"].alias("issue_type"),
         f["priority"]["name"].alias("priority"),
@@ -137,10 +138,17 @@ def normalize(
         ip.alias("in_progress_at"),
         done.alias("done_at"),
         X.parse_ts(f["duedate"]).cast("date").alias("due_date"),
-        X.added_mid_sprint(created, F.col("sprint_start")).alias("added_mid_sprint"),
+        *([X.added_mid_sprint(created, F.col("sprint_start")).alias("added_mid_sprint")] if "sprint_start" in docs.columns else []),
     )
 
 
+def unstorable_points(docs: DataFrame, story_points_field: str = "story_points") -> DataFrame:
+    """Documents whose story points are a number that the table's type cannot hold (they become NULL)."""
+    f = F.col("fields")
+    points = X.story_points(f[story_points_field], f["story_points"])
+    return docs.where(points.isNotNull() & points.try_cast(POINTS).isNull()).select("key", points.alias("story_points"))
+
+
 def impute_story_points(issues: DataFrame) -> DataFrame:
     """Whole-table imputation pass (the last projection of the silver table)."""
     return issues.withColumn(

@@ -7,9 +7,10 @@ the project and sprint they were pulled for) and one Spark job does:
 
 1. projects: upsert on ``jira_key``; ``board_id`` ← first landed board;
 2. sprints: project key → id (join), upsert on ``jira_sprint_id``;
-3. issues: flatten pages, join sprint start, normalise documents, collapse
-   the batch (later sprint wins, sticky dates keep the first non-NULL),
-   merge into the current table, then impute story points table-wide;
+3. issues: flatten pages, normalise documents, collapse the batch (later
+   sprint wins, sticky dates keep the first non-NULL), join project and
+   sprint start, merge into the current table, then impute story points
+   table-wide;
 4. status history: explode change logs, append only unseen rows;
 5. run log: one row per synced project with issue/sprint counts.
 
@@ -21,6 +22,8 @@ measured size is under the threshold.
 from __future__ import annotations
 
 import os
+from dataclasses import replace
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -32,30 +35,95 @@ from ..sources.tables import Tables
 from . import silver, upsert
 
 LANDING_PARTS = ("projects", "boards", "sprints", "issues")
+PULL = T.StructField("pull", T.LongType())
+CORRUPT = T.StructField(landed.CORRUPT, T.StringType())
 
+# Column classes while the keys are still those of the documents: projects by
+# key, and the creation time of the version whose sprint counts.
+SPRINT_DOCS = replace(upsert.SPRINT_SPEC, insert_only=("id", "project_key"))
+ISSUE_DOCS = replace(
+    upsert.ISSUE_SPEC,
+    overwrite=(*(c for c in upsert.ISSUE_SPEC.overwrite if c not in ("added_mid_sprint", "synced_at")), "last_created"),
+    insert_only=tuple("project_key" if c == "project_id" else c for c in upsert.ISSUE_SPEC.insert_only),
+)
 
-def _page_schema(item: T.StructType) -> T.StructType:
-    return landed.envelope_schema(item)
+
+def _part_schemas(story_points_field: str, ac_field: str) -> dict[str, T.StructType]:
+    return {
+        "projects": T.StructType([*schemas.PROJECT_DOC.fields, PULL, CORRUPT]),
+        "boards": landed.envelope_schema(schemas.BOARD_DOC),
+        "sprints": landed.envelope_schema(schemas.SPRINT_DOC),
+        "issues": landed.envelope_schema(schemas.issue_doc(story_points_field, ac_field)),
+    }
 
 
 def read_landing(spark: SparkSession, landing: str, story_points_field: str = "story_points",
                  ac_field: str = "acceptance_criteria") -> dict[str, DataFrame]:
-    p = os.path.join
-    projects = spark.read.schema(schemas.PROJECT_DOC).json(p(landing, "projects"))
-    boards = landed.flatten_pages(
-        spark.read.schema(_page_schema(schemas.BOARD_DOC)).json(p(landing, "boards")).withColumn("seq_file", F.input_file_name())
-    )
-    sprints = landed.flatten_pages(
-        spark.read.schema(_page_schema(schemas.SPRINT_DOC)).json(p(landing, "sprints")).withColumn("seq_file", F.input_file_name())
-    )
-    issues = landed.read_pages(spark, p(landing, "issues"), schemas.issue_doc(story_points_field, ac_field))
-    return {"projects": projects, "boards": boards, "sprints": sprints, "issues": issues}
+    read = {part: landed.read_json(spark, os.path.join(landing, part), schema) for part, schema in _part_schemas(story_points_field, ac_field).items()}
+    pull = F.coalesce(F.col("pull"), F.lit(0).cast("long"))
+    # Documents of one file have no position; equal ones are told apart by content.
+    tie = F.xxhash64("id", "key", "name", "description", "lead.emailAddress")
+    projects = read["projects"].where(F.col(landed.CORRUPT).isNull() & F.col("key").isNotNull()).withColumn("pull", pull)
+    projects = projects.withColumn("seq", F.struct("pull", F.col("seq_file").alias("file"), tie.alias("tie")))
+    return {"projects": projects, **{part: landed.flatten_pages(read[part]) for part in ("boards", "sprints", "issues")}}
+
+
+def quarantined(spark: SparkSession, landing: str) -> DataFrame:
+    """Landed lines that did not parse, kept for repair: (part, seq_file, record)."""
+    out = None
+    for part, schema in _part_schemas("story_points", "acceptance_criteria").items():
+        bad = landed.quarantine(landed.read_json(spark, os.path.join(landing, part), schema)).select(F.lit(part).alias("part"), "seq_file", "record")
+        out = bad if out is None else out.unionByName(bad)
+    return out
 
 
 def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def document_rows(flat: DataFrame, story_points_field: str = "story_points", ac_field: str = "acceptance_criteria") -> DataFrame:
+    """Flattened issue documents → narrow issue rows, keyed by project key and sprint id."""
+    docs = flat.select(
+        "id", "key", "fields", "changelog", "seq", F.col("projectKey").alias("project_key"), F.col("sprintId").alias("sprint_id"),
+        X.parse_ts(F.col("fields.created")).alias("last_created"),
+    )
+    rows = silver.normalize(docs, story_points_field, ac_field, context=("project_key", "sprint_id", "last_created"))
+    return rows.withColumn("id", F.col("id").cast("long"))
+
+
+def resolve(rows: DataFrame, keys: DataFrame, sprints: DataFrame) -> DataFrame:
+    """Project ids and the mid-sprint flag, joined to collapsed (narrow) issue rows.
+
+    Backlog rows have no sprint and go around the sprint join, so they do not
+    meet in one partition.
+    """
+    starts = sprints.select(F.col("id").alias("sprint_id"), F.col("start_date").alias("sprint_start"))
+    backlog = rows.where("sprint_id is null").withColumn("sprint_start", F.lit(None).cast("timestamp"))
+    placed = rows.where("sprint_id is not null").join(starts, "sprint_id", "left").unionByName(backlog)
+    named = placed.join(keys.withColumnRenamed("jira_key", "project_key"), "project_key", "left")
+    return named.withColumn("added_mid_sprint", X.added_mid_sprint("last_created", "sprint_start")).drop("sprint_start", "project_key", "last_created")
+
+
+def run_log(project_docs: DataFrame, issue_docs: DataFrame, sprint_docs: DataFrame, keys: DataFrame, as_of: Column, full: bool = False) -> DataFrame:
+    """One row for each synced project and pull, also for projects without issues or sprints.
+
+    ``project_docs`` has (pull, jira_key), the others (pull, projectKey).
+    Issues count upsert calls (a document seen twice counts twice); sprints
+    count the sprint documents, including sprints without issues.
+    """
+    runs = project_docs.select("pull", "jira_key").distinct()
+    for docs, name in ((issue_docs, "issues_synced"), (sprint_docs, "sprints_synced")):
+        counts = docs.groupBy("pull", F.col("projectKey").alias("jira_key")).agg(F.count(F.lit(1)).alias(name))
+        runs = runs.join(counts, ["pull", "jira_key"], "left")
+    return runs.join(keys, "jira_key").select(
+        F.xxhash64("project_id", "pull", as_of.cast("string")).alias("id"), "project_id",
+        F.lit("full" if full else "incremental").alias("sync_type"), F.lit("success").alias("status"),
+        F.coalesce("issues_synced", F.lit(0)).cast("long").alias("issues_synced"),
+        F.coalesce("sprints_synced", F.lit(0)).cast("long").alias("sprints_synced"),
+        F.lit(None).cast("string").alias("error_message"), as_of.alias("started_at"), as_of.alias("finished_at"),
+    )
+
+
 def sync_batch(
     spark: SparkSession,
     landing: str,
@@ -65,15 +133,21 @@ def sync_batch(
     ac_field: str = "acceptance_criteria",
     impute: bool = True,
     observation: Observation | None = None,
+    full: bool = False,
+    bronze: str | None = None,
 ) -> Tables:
     """Merge everything landed under ``landing`` into ``current`` (or an empty silver layer).
 
+    Landing order (pull, page, file, position) decides which version of a
+    project, sprint or issue is the last; any number of pulls may be landed.
     Pass an ``Observation`` to get the run's totals (issue documents upserted
     and how many came from sprint pages) from the first job that writes the
-    result, without a separate counting job. Per-project counts go to the
-    run log.
+    result, without a separate counting job. ``bronze`` names a new folder
+    for the parsed issue documents, so that the three readers of them (rows,
+    history, log) do not parse the landed text again. ``as_of`` is one instant
+    for the whole batch; by default the driver's time now.
     """
-    as_of = as_of if as_of is not None else F.current_timestamp()
+    as_of = as_of if as_of is not None else F.lit(datetime.now(timezone.utc))
     src = read_landing(spark, landing, story_points_field, ac_field)
     if observation is not None:
         src["issues"] = src["issues"].observe(
@@ -81,53 +155,45 @@ def sync_batch(
             F.count(F.lit(1)).alias("issue_documents"),
             F.count("sprintId").alias("sprint_issue_documents"),
         )
+    if bronze is not None:
+        src["issues"].write.parquet(bronze)
+        src["issues"] = spark.read.schema(src["issues"].schema).parquet(bronze)
     cur = current or Tables(
         projects=_empty(spark, schemas.PROJECTS), sprints=_empty(spark, schemas.SPRINTS),
         issues=_empty(spark, schemas.ISSUES), status_history=_empty(spark, schemas.STATUS_HISTORY),
         sync_log=_empty(spark, schemas.SYNC_LOG),
     )
 
-    # 1. projects (+ first board by landed position)
-    pd_ = src["projects"]
-    incoming_p = pd_.select(
+    # 1. projects (+ first board of the last pull that landed boards)
+    incoming_p = src["projects"].select(
         F.col("id").cast("long").alias("id"), F.col("key").alias("jira_key"), "name", "description",
         F.col("lead.emailAddress").alias("lead_email"), F.col("id").cast("string").alias("jira_project_id"),
-        as_of.alias("synced_at"),
+        as_of.alias("synced_at"), "seq",
     )
-    projects = upsert.merge(cur.projects, incoming_p, upsert.PROJECT_SPEC, as_of=as_of)
+    projects = upsert.upsert(cur.projects, incoming_p, upsert.PROJECT_SPEC, as_of=as_of)
     first_board = src["boards"].groupBy(F.col("projectKey").alias("jira_key")).agg(
-        F.min_by("id", F.struct("seq_page", "seq_pos")).alias("_board")
+        F.min_by("id", F.struct((-F.col("pull")).alias("newest"), "seq")).alias("_board")
     )
     projects = projects.join(first_board, "jira_key", "left").withColumn(
         "board_id", F.coalesce(F.col("_board"), F.col("board_id"))
     ).drop("_board")
     keys = projects.select(F.col("id").alias("project_id"), "jira_key")
 
-    # 2. sprints
-    sd = src["sprints"]
-    incoming_s = sd.join(keys, sd["projectKey"] == keys["jira_key"]).select(
-        F.col("id").alias("id"), F.col("id").alias("jira_sprint_id"), "project_id", "name", "state", "goal",
+    # 2. sprints: collapsed first, then joined to their project
+    sprint_rows = src["sprints"].select(
+        F.col("id").alias("id"), F.col("id").alias("jira_sprint_id"), F.col("projectKey").alias("project_key"), "name", "state", "goal",
         X.parse_ts(F.col("startDate")).alias("start_date"), X.parse_ts(F.col("endDate")).alias("end_date"),
-        X.parse_ts(F.col("completeDate")).alias("complete_date"), as_of.alias("synced_at"),
+        X.parse_ts(F.col("completeDate")).alias("complete_date"), as_of.alias("synced_at"), "seq",
     )
+    incoming_s = upsert.collapse_batch(sprint_rows, SPRINT_DOCS).drop("seq")
+    incoming_s = incoming_s.join(keys.withColumnRenamed("jira_key", "project_key"), "project_key").drop("project_key")
     sprints = upsert.merge(cur.sprints, incoming_s, upsert.SPRINT_SPEC, as_of=as_of)
 
-    # 3. issues
+    # 3. issues: normalised and collapsed first; documents and change logs never reach a join
     flat = src["issues"]
-    starts = sprints.select(F.col("id").alias("sprintId"), F.col("start_date").alias("sprint_start"))
-    docs = (
-        flat.join(keys, flat["projectKey"] == keys["jira_key"], "left")
-        .join(starts, "sprintId", "left")
-        .select(
-            "id", "key", "fields", "changelog", "project_id",
-            F.col("sprintId").alias("sprint_id"), "sprint_start",
-            (F.col("seq_page") * F.lit(1_000_000) + F.col("seq_pos")).alias("seq"),
-        )
-    )
-    rows = silver.normalize(docs, story_points_field, ac_field).withColumn(
-        "id", F.col("id").cast("long")
-    ).withColumn("synced_at", as_of)
-    issues = upsert.upsert(cur.issues, rows, upsert.ISSUE_SPEC, seq="seq", as_of=as_of)
+    collapsed = upsert.collapse_batch(document_rows(flat, story_points_field, ac_field), ISSUE_DOCS).drop("seq")
+    rows = resolve(collapsed, keys, sprints).withColumn("synced_at", as_of)
+    issues = upsert.merge(cur.issues, rows, upsert.ISSUE_SPEC, as_of=as_of)
     if impute:
         issues = silver.impute_story_points(issues)
 
@@ -136,24 +202,8 @@ def sync_batch(
     new_hist = silver.append_history(cur.status_history, silver.status_history(ids))
     history = cur.status_history.unionByName(new_hist)
 
-    # 5. run log: one row per project in this batch. Issues count upsert
-    # calls (a document seen twice counts twice); sprints count the sprint
-    # documents upserted, including sprints without issues.
-    issue_calls = flat.groupBy(F.col("projectKey").alias("jira_key")).agg(
-        F.count(F.lit(1)).alias("issues_synced")
-    )
-    sprint_calls = sd.groupBy(F.col("projectKey").alias("jira_key")).agg(F.count(F.lit(1)).alias("sprints_synced"))
-    per_proj = issue_calls.join(sprint_calls, "jira_key", "full_outer").select(
-        "jira_key",
-        F.coalesce(F.col("issues_synced"), F.lit(0)).alias("issues_synced"),
-        F.coalesce(F.col("sprints_synced"), F.lit(0)).alias("sprints_synced"),
-    )
-    run = per_proj.join(keys, "jira_key").select(
-        (F.xxhash64("project_id", as_of.cast("string"))).alias("id"), "project_id",
-        F.lit("incremental").alias("sync_type"), F.lit("success").alias("status"),
-        F.col("issues_synced").cast("long"), F.col("sprints_synced").cast("long"),
-        F.lit(None).cast("string").alias("error_message"), as_of.alias("started_at"), as_of.alias("finished_at"),
-    )
+    # 5. run log
+    run = run_log(src["projects"].select("pull", F.col("key").alias("jira_key")), flat, src["sprints"], keys, as_of, full)
     sync_log = cur.sync_log.unionByName(run)
     return Tables(projects=projects, sprints=sprints, issues=issues, status_history=history, sync_log=sync_log)
 
@@ -164,9 +214,9 @@ def _doc_ts(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSZ")
 
 
-def land_tables(t: Tables, landing: str) -> None:
-    """Write tables as the documents a pull would land (for tests and replays)."""
-    p = os.path.join
+def land_tables(t: Tables, landing: str, pull: int = 0) -> None:
+    """Write tables as the documents that pull number ``pull`` would land (for tests and replays)."""
+    p = lambda root, part: os.path.join(root, part, f"pull={pull}")
     t.projects.select(
         F.col("id").cast("string").alias("id"), F.col("jira_key").alias("key"), "name", "description",
         F.struct(F.col("lead_email").alias("emailAddress")).alias("lead"),

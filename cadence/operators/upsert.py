@@ -84,7 +84,11 @@ def collapse_batch(batch: DataFrame, spec: MergeSpec, seq: str = "seq") -> DataF
 
 
 def merge(existing: DataFrame, incoming: DataFrame, spec: MergeSpec, as_of: Column | None = None) -> DataFrame:
-    """Full-outer merge on ``spec.key``; ``as_of`` stamps ``updated_at`` of touched rows."""
+    """Full-outer merge on ``spec.key``; ``as_of`` stamps ``updated_at`` of touched rows.
+
+    ``incoming`` must hold one row per key, as :func:`collapse_batch` gives it
+    (:func:`upsert` does both): a key that came twice would leave two rows.
+    """
     e, n = existing.alias("e"), incoming.alias("n")
     j = e.join(n, F.col(f"e.{spec.key}") == F.col(f"n.{spec.key}"), "full_outer")
     in_e = F.col(f"e.{spec.key}").isNotNull()

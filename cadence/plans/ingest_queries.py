@@ -144,11 +144,16 @@ def rich_text_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sync_run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The run log of one pull a day: issue documents by project, sprint documents, and a project without any."""
     e = testdata.read(spark, d, "events")
-    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
-    return e.groupBy(day.alias("run_day")).agg(
-        F.count(F.lit(1)).alias("issues_synced"),
-        F.count_distinct("user_id").alias("distinct_issues"),
+    pull = F.datediff(F.col("ts").cast("timestamp").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    docs = e.select(pull.alias("pull"), F.concat(F.lit("P"), F.col("user_id") % 4).alias("projectKey"), "event_type")
+    keys = spark.range(5).select(F.col("id").alias("project_id"), F.concat(F.lit("P"), F.col("id")).alias("jira_key"))
+    projects = docs.select("pull").distinct().select("pull", F.explode(F.lit([f"P{k}" for k in range(5)])).alias("jira_key"))
+    log = sync.run_log(projects, docs, docs.where("event_type = 'view'"), keys, F.lit("2024-01-01").cast("timestamp"))
+    return log.groupBy("project_id", "sync_type", "status").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("issues_synced").alias("issues_synced"), F.sum("sprints_synced").alias("sprints_synced"),
+        F.min("issues_synced").alias("fewest_issues"),
     )
 
 
@@ -252,7 +257,7 @@ def sync_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Delivery tables → landed JSON documents → batch sync → silver issues."""
     root = os.path.join(ensure_checkpoint_dir(spark), "sync-" + uuid.uuid4().hex)
     sync.land_tables(tables(spark, d), os.path.join(root, "landing"))
-    out = sync.sync_batch(spark, os.path.join(root, "landing"))
+    out = sync.sync_batch(spark, os.path.join(root, "landing"), bronze=os.path.join(root, "bronze"))
     return out.issues.select(
         "id", "jira_issue_id", "project_id", "sprint_id", "issue_type", "status", "status_category",
         F.col("story_points").cast("double").alias("story_points"), "has_ac", "added_mid_sprint",
@@ -261,7 +266,55 @@ def sync_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def two_pull_sync(spark: SparkSession, d: str) -> DataFrame:
+    """Two pulls of changed projects, sprints and issues in one landing, with the run log."""
+    landing = os.path.join(ensure_checkpoint_dir(spark), "pulls-" + uuid.uuid4().hex)
+    t = tables(spark, d)
+    even = lambda c, v: F.when(F.col("id") % 2 == 0, v).otherwise(F.col(c))
+    sync.land_tables(t, landing, pull=0)
+    sync.land_tables(
+        t.with_(
+            projects=t.projects.withColumn("name", even("name", F.concat("name", F.lit(" r2")))),
+            sprints=t.sprints.withColumn("name", even("name", F.concat("name", F.lit(" v2")))).withColumn("state", even("state", F.lit("closed"))),
+            issues=t.issues.where(F.col("id") % 3 == 0)
+            .withColumn("sprint_id", F.when(F.col("id") % 6 != 0, F.col("sprint_id")))
+            .withColumn("status", F.lit("Reopened")).withColumn("summary", F.lit("not taken over")),
+        ),
+        landing, pull=1,
+    )
+    out = sync.sync_batch(spark, landing, bronze=landing + "-bronze", full=True)
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = [
+        out.projects.select(F.lit("project").alias("kind"), F.col("jira_key").alias("key"), "name", none("string").alias("state"), "id", none("long").alias("n")),
+        out.sprints.select(F.lit("sprint").alias("kind"), F.col("jira_sprint_id").cast("string").alias("key"), "name", "state", F.col("project_id").alias("id"), none("long").alias("n")),
+        out.issues.select(F.lit("issue").alias("kind"), F.col("jira_issue_id").alias("key"), F.col("summary").alias("name"), F.col("status").alias("state"), F.col("sprint_id").alias("id"), none("long").alias("n")),
+        out.sync_log.select(F.lit("run").alias("kind"), F.col("sync_type").alias("key"), F.col("status").alias("name"), none("string").alias("state"), F.col("issues_synced").alias("id"), F.col("sprints_synced").alias("n")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def quarantine_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Good and broken pages landed together: what was kept, set aside, or had points that do not fit."""
+    landing = os.path.join(ensure_checkpoint_dir(spark), "broken-" + uuid.uuid4().hex)
+    pages = landed.changelog_pages(spark, d).withColumn("page", F.col("page") * 1_000_000 + F.col("issue_id"))
+    large = F.col("fields").withField("story_points", F.when(F.col("issue_id") % 10 == 1, F.lit("12345678")).otherwise(F.col("fields.story_points")))
+    env = landed.as_envelopes(pages.withColumn("fields", large))
+    line = F.to_json(F.struct(*env.columns))
+    broken = F.when(F.col("page") % 7 == 3, F.expr("left(line, length(line) div 2)")).otherwise(F.col("line"))
+    env.select("page", line.alias("line")).select(broken.alias("value")).write.text(os.path.join(landing, "issues"))
+    read = landed.read_json(spark, os.path.join(landing, "issues"), landed.envelope_schema(landed.schemas.issue_doc()))
+    flat = landed.flatten_pages(read)
+    counted = [("kept", flat), ("quarantined", landed.quarantine(read)), ("points_do_not_fit", silver.unstorable_points(flat))]
+    out = None
+    for name, df in counted:
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("outcome"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 INGEST_QUERIES = {
+    "two_pull_sync": two_pull_sync,
+    "quarantine_counts": quarantine_counts,
     "sync_roundtrip": sync_roundtrip,
     "has_ac_flag": has_ac_flag,
     "added_mid_sprint": added_mid_sprint,

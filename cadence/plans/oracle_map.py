@@ -41,6 +41,8 @@ def oracle_sql() -> dict[str, str]:
         "distribution_type_share": o.distribution_type_share(),
         "kpi_rows": o.kpi_rows(DEFAULT_WINDOW),
         "sync_roundtrip": o.sync_roundtrip(),
+        "two_pull_sync": o.two_pull_sync(),
+        "quarantine_counts": o.quarantine_counts(),
         "has_ac_flag": o.has_ac_flag(),
         "added_mid_sprint": o.added_mid_sprint(),
         "parse_timestamps": o.parse_timestamps(),

@@ -113,6 +113,8 @@ def changelog_pages(spark: SparkSession, sf_dir: str, page_size: int = PAGE_SIZE
 
 # ── page envelopes ───────────────────────────────────────────────────────────
 
+CORRUPT = "_corrupt_record"
+
 def envelope_schema(item: T.StructType) -> T.StructType:
     """Union of the three envelope styles; only one item array is set per page."""
     return T.StructType([
@@ -128,32 +130,48 @@ def envelope_schema(item: T.StructType) -> T.StructType:
         T.StructField("page", T.LongType()),
         T.StructField("projectKey", T.StringType()),
         T.StructField("sprintId", T.LongType()),
+        # Number of the pull that landed the page; a ``pull=<n>`` folder sets it too.
+        T.StructField("pull", T.LongType()),
+        T.StructField(CORRUPT, T.StringType()),
     ])
 
 
+def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Landed JSON lines with their file; a line that does not parse keeps its text in ``_corrupt_record``.
+
+    A ``pull=<n>`` folder gives the pull of lines that do not name one.
+    """
+    lines = spark.read.text(path)
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    folder = [F.col("pull").cast("long").alias("_folder")] if "pull" in lines.columns else []
+    read = lines.select(parsed.alias("_doc"), F.input_file_name().alias("seq_file"), *folder).select("_doc.*", "seq_file", *[F.col("_folder")] * len(folder))
+    return read.withColumn("pull", F.coalesce("pull", "_folder")).drop("_folder") if folder else read
+
+
+def quarantine(read: DataFrame) -> DataFrame:
+    """The lines of :func:`read_json` that did not parse: (seq_file, record)."""
+    return read.where(F.col(CORRUPT).isNotNull()).select("seq_file", F.col(CORRUPT).alias("record"))
+
+
 def read_pages(spark: SparkSession, path: str, item: T.StructType | None = None) -> DataFrame:
     """Read landed page envelopes and flatten them to one row per item.
 
     ``seq_file``, ``seq_page`` and ``seq_pos`` give the landing order used by
     the last-wins / first-wins rules of the upsert.
     """
-    item = item or schemas.issue_doc()
-    pages = (
-        spark.read.schema(envelope_schema(item))
-        .option("mode", "PERMISSIVE")
-        .json(path)
-        .withColumn("seq_file", F.input_file_name())
-    )
-    return flatten_pages(pages)
+    return flatten_pages(read_json(spark, path, envelope_schema(item or schemas.issue_doc())))
 
 
 def flatten_pages(pages: DataFrame) -> DataFrame:
+    """One row per item. ``seq`` is its landing order: pull, page, file, position; absent parts come first."""
     items = F.coalesce(F.col("issues"), F.col("values"))
-    ctx = [c for c in ("projectKey", "sprintId") if c in pages.columns]
+    ctx = [c for c in ("projectKey", "sprintId", "pull") if c in pages.columns]
     flat = pages.select(
         "seq_file", F.col("page").alias("seq_page"), *ctx, F.posexplode_outer(items).alias("seq_pos", "doc")
-    )
-    return flat.filter(F.col("doc").isNotNull()).select("seq_file", "seq_page", "seq_pos", *ctx, "doc.*")
+    ).filter(F.col("doc").isNotNull())
+    pull = F.coalesce(F.col("pull"), F.lit(0).cast("long")) if "pull" in ctx else F.lit(0).cast("long")
+    seq = F.struct(pull.alias("pull"), F.col("seq_page").alias("page"), F.col("seq_file").alias("file"), F.col("seq_pos").alias("pos"))
+    return flat.select("seq_file", "seq_page", "seq_pos", *[c for c in ctx if c != "pull"], pull.alias("pull"), seq.alias("seq"), "doc.*")
 
 
 def as_envelopes(docs: DataFrame, style: Column | None = None) -> DataFrame:
@@ -165,7 +183,7 @@ def as_envelopes(docs: DataFrame, style: Column | None = None) -> DataFrame:
     style = style if style is not None else (F.col("page") % 3)
     doc = F.struct(*[c for c in ("id", "key", "fields", "changelog") if c in docs.columns])
     arr = F.array(doc)
-    ctx = [F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("projectKey", "string"), ("sprintId", "long"))]
+    ctx = [F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("projectKey", "string"), ("sprintId", "long"), ("pull", "long"))]
     return docs.select(
         F.col("page"),
         *ctx,
@@ -180,6 +198,6 @@ def as_envelopes(docs: DataFrame, style: Column | None = None) -> DataFrame:
 
 
 __all__ = [
-    "PAGE_SIZE", "STATUS_TO_CATEGORY", "as_envelopes", "changelog_pages", "event_changes",
-    "flatten_pages", "read_pages", "render_ts",
+    "CORRUPT", "PAGE_SIZE", "STATUS_TO_CATEGORY", "as_envelopes", "changelog_pages", "event_changes",
+    "flatten_pages", "quarantine", "read_json", "read_pages", "render_ts",
 ]

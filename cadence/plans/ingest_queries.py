@@ -231,25 +231,37 @@ def constraint_audit(spark: SparkSession, d: str) -> DataFrame:
     ])
 
 
-def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Land change-log pages in two drops and drain each with an availableNow stream."""
+def _stream_context(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Projects and sprints of the streamed issues: four projects, and a sprint for each tenth user with a start from the events."""
+    projects = spark.range(4).select(F.col("id"), F.concat(F.lit("P"), F.col("id")).alias("jira_key"))
+    e = testdata.read(spark, d, "events").where(F.col("user_id") % 10 != 0)
+    start = F.date_trunc("DAY", F.min(F.col("ts").cast("timestamp"))) + F.make_dt_interval((F.col("id") * 2).cast("int"))
+    return projects, e.groupBy((F.col("user_id") % 10).cast("long").alias("id")).agg(start.alias("start_date"))
+
+
+def incremental_ingest(spark: SparkSession, d: str, max_files_per_trigger: int = 16) -> DataFrame:
+    """Land change-log pages in two drops, the later pages first, and drain each with an availableNow stream."""
     root = os.path.join(ensure_checkpoint_dir(spark), "incremental-" + uuid.uuid4().hex)
-    landing, table, ckpt = (os.path.join(root, x) for x in ("landing", "silver_issues", "_checkpoint"))
+    landing, store, ckpt = (os.path.join(root, x) for x in ("landing", "store", "_checkpoint"))
     pages = landed.changelog_pages(spark, d)
+    user = F.col("issue_id")
+    pages = pages.withColumn("projectKey", F.concat(F.lit("P"), user % 4)).withColumn("sprintId", F.when(user % 10 != 0, user % 10))
     env = landed.as_envelopes(pages)
-    # Two drops in landing order: early change-log pages first, the rest later.
     half = pages.agg(F.max("page").alias("m")).first()["m"] // 2
-    for n, cond in enumerate([F.col("page") <= half, F.col("page") > half]):
+    for n, cond in enumerate([F.col("page") > half, F.col("page") <= half]):
         env.filter(cond).write.mode("overwrite").json(os.path.join(landing, f"drop={n}"))
         # Bucket count sized to the test tables (a layout parameter; every
         # row is still merged and returned).
-        ingest.run_available(spark, os.path.join(landing, "*"), table, ckpt, buckets=STREAM_BUCKETS)
-    out = ingest.read_table(spark, table)
-    return out.select(
-        "jira_issue_id", "status", "status_category",
-        F.col("story_points").cast("double").alias("story_points"), "summary", "assignee_email",
-        iso("created_at_jira").alias("created_at_jira"),
+        ingest.run_available(spark, os.path.join(landing, "*"), store, ckpt, max_files_per_trigger, buckets=STREAM_BUCKETS)
+    out = ingest.silver_tables(spark, store, *_stream_context(spark, d))
+    changes = out.status_history.groupBy("issue_id").agg(F.count(F.lit(1)).alias("n_changes"))
+    return out.issues.join(changes, out.issues["id"] == changes["issue_id"], "left").select(
+        "id", "jira_issue_id", "project_id", "sprint_id", "issue_type", "priority", "status", "status_category",
+        F.col("story_points").cast("double").alias("story_points"), "summary", "description", "acceptance_criteria", "has_ac",
+        "original_estimate", "time_spent", "remaining_estimate", "assignee_email", "reporter_email",
+        iso("created_at_jira").alias("created_at_jira"), iso("updated_at_jira").alias("updated_at_jira"),
         iso("in_progress_at").alias("in_progress_at"), iso("done_at").alias("done_at"),
+        F.col("due_date").cast("string").alias("due_date"), "added_mid_sprint", F.coalesce("n_changes", F.lit(0)).alias("n_changes"),
     )
 
 

@@ -1,154 +1,204 @@
-"""Incremental ingest of landed issue pages into the silver issue table.
+"""Incremental sync of landed issue pages into a versioned silver store.
 
 ``readStream`` over the landing folder → per micro-batch: flatten pages,
-normalise documents, collapse the batch by key, then merge it into only the
-parts of the table its keys live in. The trigger is ``availableNow``, so a
-scheduled job drains whatever has landed and stops.
-
-The table is partitioned by ``bucket = pmod(xxhash64(jira_issue_id), B)``.
-A batch reads just the buckets its keys hash to (partition pruning), merges
-them, and overwrites just those buckets (dynamic partition overwrite): the
-cost of a batch follows the buckets it touches, not the table size. Files
-are sorted by ``project_id`` so project filters skip row groups.
-
-Replays are safe: the merge is idempotent (overwrite columns take the same
-values again, insert-only columns keep the first, sticky columns keep the
-first non-NULL), and the stream checkpoint records finished batches. The
-merged buckets are cut from their lineage with a reliable ``checkpoint()``
-into the shared checkpoint folder before the same paths are overwritten.
-There is no watermark: "latest wins" is decided by landing sequence, not
-event time, and no streaming state grows (the table itself is the state).
+normalise documents, collapse the batch by key, merge it into only the
+buckets its keys hash to, append unseen status history and the batch's run
+counts. The trigger is ``availableNow``, so a scheduled job drains whatever
+has landed and stops.
+
+**Order.** The store keeps, for every key, the landing sequence (pull, page,
+file, position) of the version that each column class came from: the last for
+overwrite columns, the first for insert-only columns, the first non-NULL one
+for each sticky column. A merge takes the greater or smaller sequence, which
+is associative and commutative: late, repeated or replayed pages never win,
+and the result does not depend on how the stream cuts its batches.
+
+**Commit.** A batch writes new files for its buckets under
+``data/batch=<id>`` and then appends one small file to ``commits`` that names
+them. Readers follow the newest commit of each bucket, so a crash at any
+point leaves the last committed state readable, and a retried batch writes
+the same folder again. Old bucket versions stay until ``vacuum`` lists them.
+
+The store holds project keys and sprint ids as landed; ``silver_tables``
+resolves them against the projects and sprints (mid-sprint flag included),
+imputes story points and gives the same ``Tables`` that the batch sync gives.
 """
 
 from __future__ import annotations
 
+import os
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import silver, upsert
+from ..operators import silver, sync, upsert
 from ..session import ensure_checkpoint_dir
 from ..sources import landed, schemas
+from ..sources.tables import Tables
 
 # A batch of k keys rewrites about min(k, BUCKETS) buckets of size
 # table / BUCKETS; raise it for very large tables with small batches.
 BUCKETS = 256
-TABLE_SCHEMA = T.StructType(schemas.ISSUES.fields + [T.StructField("bucket", T.IntegerType())])
+SPEC = sync.ISSUE_DOCS
+SEQ = T.StructType([
+    T.StructField("pull", T.LongType()), T.StructField("page", T.LongType()),
+    T.StructField("file", T.StringType()), T.StructField("pos", T.IntegerType()),
+])
+COMMIT_SCHEMA = "batch long, bucket int, kind string"
+RUN_SCHEMA = "pull long, jira_key string, issues long"
 
 
 def key_bucket(key: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop file system, so any shared store works."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def state_schema() -> T.StructType:
+    """Issue rows as landed, with the sequence that each column class came from."""
+    kinds = {f.name: f.dataType for f in schemas.ISSUES.fields}
+    kinds |= {"project_key": T.StringType(), "last_created": T.TimestampType()}
+    names = [SPEC.key, *SPEC.insert_only, *SPEC.overwrite, *SPEC.sticky]
+    seqs = ["first_seq", "last_seq", *(f"{c}_seq" for c in SPEC.sticky)]
+    return T.StructType([*(T.StructField(n, kinds[n]) for n in names), *(T.StructField(n, SEQ) for n in seqs)])
 
 
-def read_table(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    """The silver issue table written by the stream (``bucket`` included), or None."""
-    if not _exists(spark, table_dir):
+def _read(spark: SparkSession, path: str | list[str], schema) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(*([path] if isinstance(path, str) else path))
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
         return None
-    return spark.read.schema(TABLE_SCHEMA).parquet(table_dir)
-
-
-def batch_to_issues(flat: DataFrame, project_id: int = 0) -> DataFrame:
-    """Flattened page items → silver issue rows with a landing sequence."""
-    seq = F.col("seq_page") * F.lit(1_000_000) + F.col("seq_pos")
-    docs = flat.select(
-        F.col("id").cast("long").alias("id"), "key", "fields", "changelog",
-        F.lit(project_id).cast("long").alias("project_id"),
-        F.lit(None).cast("long").alias("sprint_id"),
-        F.lit(None).cast("timestamp").alias("sprint_start"),
-        seq.alias("seq"),
-    )
-    return silver.normalize(docs)
 
 
-def _conform(df: DataFrame) -> DataFrame:
-    """Columns and types of the table, missing ones as NULL."""
-    have = set(df.columns)
-    return df.select(*[
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLE_SCHEMA.fields
-    ])
+def committed(spark: SparkSession, store: str, kind: str) -> list[tuple[int, int]]:
+    """(bucket, batch) of what readers see: the newest commit of each bucket, at most one row a bucket.
+
+    For kinds that only grow (history, runs) the bucket is the batch itself.
+    """
+    commits = _read(spark, os.path.join(store, "commits"), COMMIT_SCHEMA)
+    if commits is None:
+        return []
+    newest = commits.where(F.col("kind") == kind).groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return sorted((r.bucket, r.batch) for r in newest.collect())
+
+
+def _folder(store: str, kind: str, batch: int, bucket: int | None = None) -> str:
+    path = os.path.join(store, kind, f"batch={batch}")
+    return path if bucket is None else os.path.join(path, f"bucket={bucket}")
+
+
+def read_state(spark: SparkSession, store: str, only: set[int] | None = None) -> DataFrame:
+    """The committed issue state, of the buckets ``only`` or of all."""
+    paths = [_folder(store, "data", batch, bucket) for bucket, batch in committed(spark, store, "data") if only is None or bucket in only]
+    return _read(spark, paths, state_schema()) if paths else spark.createDataFrame([], state_schema())
+
+
+def read_appended(spark: SparkSession, store: str, kind: str, schema, before: int | None = None) -> DataFrame:
+    """All committed rows of ``history`` or ``runs``, of batches before ``before``."""
+    paths = [_folder(store, kind, batch) for _, batch in committed(spark, store, kind) if before is None or batch < before]
+    return _read(spark, paths, schema) if paths else spark.createDataFrame([], schema)
 
 
-def make_batch_writer(table_dir: str, project_id: int = 0, buckets: int = BUCKETS):
+def as_state(rows: DataFrame) -> DataFrame:
+    """Issue rows of a batch as states of one version each."""
+    rows = rows.withColumn("first_seq", F.col("seq").cast(SEQ)).withColumn("last_seq", F.col("first_seq"))
+    for c in SPEC.sticky:
+        rows = rows.withColumn(f"{c}_seq", F.when(F.col(c).isNotNull(), F.col("first_seq")))
+    return rows.select(*state_schema().names)
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state a key; any order and grouping of the merged states gives the same."""
+    g = states.groupBy(SPEC.key).agg(
+        F.min_by(F.struct(*SPEC.insert_only), "first_seq").alias("_io"), F.max_by(F.struct(*SPEC.overwrite), "last_seq").alias("_ow"),
+        F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"),
+        *(F.min_by(c, f"{c}_seq").alias(c) for c in SPEC.sticky), *(F.min(f"{c}_seq").alias(f"{c}_seq") for c in SPEC.sticky),
+    )
+    return g.select(SPEC.key, "_io.*", "_ow.*", *SPEC.sticky, "first_seq", "last_seq", *(f"{c}_seq" for c in SPEC.sticky))
+
+
+def make_batch_writer(store: str, buckets: int = BUCKETS):
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch_to_issues(landed.flatten_pages(batch), project_id)
-        incoming = upsert.collapse_batch(rows, upsert.ISSUE_SPEC, seq="seq").drop("seq")
-        # The collapsed batch feeds several actions; keep it (recomputable).
-        incoming = incoming.withColumn("bucket", key_bucket(F.col("jira_issue_id"), buckets)).persist()
-        kept = [incoming]
+        flat = landed.flatten_pages(batch).persist()
         try:
+            incoming = merge_states(as_state(sync.document_rows(flat))).withColumn("bucket", key_bucket(F.col(SPEC.key), buckets)).persist()
             # At most ``buckets`` small ints reach the driver: the partition filter.
-            touched = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]
+            touched = sorted(r["bucket"] for r in incoming.select("bucket").distinct().collect())
             if not touched:
                 return
-            current = read_table(spark, table_dir)
-            if current is None:
-                merged = incoming
-            else:
-                existing = current.filter(F.col("bucket").isin(touched)).drop("bucket")
-                merged = upsert.merge(existing, incoming.drop("bucket"), upsert.ISSUE_SPEC)
-                merged = merged.withColumn("bucket", key_bucket(F.col("jira_issue_id"), buckets))
-                # Reliable checkpoint: the buckets are read and overwritten in
-                # one job. Persist first so the checkpoint write does not
-                # recompute the merge.
-                kept.append(merged.persist())
-                merged = kept[-1].checkpoint(eager=True)
-            _write_buckets(merged, table_dir)
+            before = read_state(spark, store, set(touched)).withColumn("bucket", key_bucket(F.col(SPEC.key), buckets))
+            merged = merge_states(before.unionByName(incoming).drop("bucket")).withColumn("bucket", key_bucket(F.col(SPEC.key), buckets))
+            # Hot buckets are dealt over several tasks, small ones share one.
+            merged.repartition("bucket", F.pmod(F.xxhash64(SPEC.key, F.lit(1)), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(_folder(store, "data", batch_id))
+            entries = silver.status_history(flat.select(F.col("id").cast("long").alias("issue_id"), "changelog"))
+            known = read_appended(spark, store, "history", schemas.STATUS_HISTORY, before=batch_id)
+            silver.append_history(known, entries).write.mode("overwrite").parquet(_folder(store, "history", batch_id))
+            runs = flat.groupBy("pull", F.col("projectKey").alias("jira_key")).agg(F.count(F.lit(1)).alias("issues"))
+            runs.write.mode("overwrite").parquet(_folder(store, "runs", batch_id))
+            # Everything above is invisible until this one file is there.
+            rows = [(batch_id, b, "data") for b in touched] + [(batch_id, batch_id, kind) for kind in ("history", "runs")]
+            spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(os.path.join(store, "commits"))
+            incoming.unpersist()
         finally:
-            for df in kept:
-                df.unpersist()
+            flat.unpersist()
 
     return write_batch
 
 
-def _write_buckets(merged: DataFrame, table_dir: str) -> None:
-    """Overwrite only the bucket folders present in ``merged``.
-
-    No repartition by bucket: every task writes its own files into the
-    bucket folders, so no bucket is funnelled through one task.
-    """
-    (
-        _conform(merged)
-        .sortWithinPartitions("bucket", "project_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(table_dir)
+def silver_tables(spark: SparkSession, store: str, projects: DataFrame, sprints: DataFrame, impute: bool = True) -> Tables:
+    """The committed state as delivery tables; ``write_tables`` of them is what ``load_tables`` reads."""
+    keys = projects.select(F.col("id").alias("project_id"), "jira_key")
+    state = read_state(spark, store).drop("first_seq", "last_seq", *(f"{c}_seq" for c in SPEC.sticky))
+    issues = sync.resolve(state, keys, sprints)
+    if impute:
+        issues = silver.impute_story_points(issues)
+    have = set(issues.columns)
+    issues = issues.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.ISSUES.fields])
+    runs = read_appended(spark, store, "runs", RUN_SCHEMA).groupBy("pull", "jira_key").agg(F.sum("issues").alias("issues_synced"))
+    log = runs.join(keys, "jira_key").select(
+        F.xxhash64("project_id", "pull").alias("id"), "project_id", F.lit("incremental").alias("sync_type"), F.lit("success").alias("status"),
+        "issues_synced", F.lit(0).cast("long").alias("sprints_synced"), F.lit(None).cast("string").alias("error_message"),
+        F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"),
     )
+    history = read_appended(spark, store, "history", schemas.STATUS_HISTORY)
+    return Tables(projects=projects, sprints=sprints, issues=issues, status_history=history, sync_log=log)
+
+
+def vacuum(spark: SparkSession, store: str) -> list[str]:
+    """Folders of bucket versions that no commit points to any more, for the caller's cleaner."""
+    commits = _read(spark, os.path.join(store, "commits"), COMMIT_SCHEMA)
+    live = set(committed(spark, store, "data"))
+    rows = commits.where("kind = 'data'").distinct().collect() if commits is not None else []
+    return sorted(_folder(store, "data", r.batch, r.bucket) for r in rows if (r.bucket, r.batch) not in live)
 
 
 def run_available(
     spark: SparkSession,
     landing_dir: str,
-    table_dir: str,
+    store: str,
     checkpoint_dir: str,
-    project_id: int = 0,
     max_files_per_trigger: int = 1000,
     buckets: int = BUCKETS,
 ) -> None:
-    """Drain everything landed so far into the silver table, then stop.
+    """Drain everything landed so far into the store, then stop.
 
-    ``max_files_per_trigger`` bounds each micro-batch, so a large backlog of
-    landed pages is merged in several bounded batches, not one huge one.
+    ``max_files_per_trigger`` bounds each micro-batch; it does not change the
+    result.
     """
     ensure_checkpoint_dir(spark)
     schema = landed.envelope_schema(schemas.issue_doc())
     stream = (
         spark.readStream.schema(schema)
-        .option("mode", "PERMISSIVE")
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", landed.CORRUPT)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(landing_dir)
         .withColumn("seq_file", F.input_file_name())
     )
     q = (
-        stream.writeStream.foreachBatch(make_batch_writer(table_dir, project_id, buckets))
+        stream.writeStream.foreachBatch(make_batch_writer(store, buckets))
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
         .start()

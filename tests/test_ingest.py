@@ -99,47 +99,123 @@ def test_sync_batch_roundtrip_on_seed(spark, seed):
     assert again.status_history.count() == out.status_history.count()
 
 
-def test_stream_replay_is_safe(spark):
-    root = tempfile.mkdtemp(prefix="cadence-stream-")
-    landing, table, ckpt = (os.path.join(root, x) for x in ("landing", "silver", "ckpt"))
+def _land(env, landing, drop, cond):
+    env.filter(cond).repartition(4).write.json(os.path.join(landing, f"drop={drop}"))
+
+
+COLUMNS = [
+    "jira_issue_id", "project_key", "sprint_id", "status", "story_points", "in_progress_at", "done_at",
+    "created_at_jira", "updated_at_jira", "last_created",
+]
+
+
+def _state(spark, store):
+    return sorted(map(str, ingest.read_state(spark, store).select(*COLUMNS).collect()))
+
+
+def _pages(spark):
     pages = landed.changelog_pages(spark, SMOKE_DIR, page_size=64)
-    env = landed.as_envelopes(pages)
-    env.filter(F.col("page") % 2 == 0).write.json(os.path.join(landing, "drop=0"))
-    ingest.run_available(spark, os.path.join(landing, "*"), table, ckpt)
-    first = ingest.read_table(spark, table).count()
-    ingest.run_available(spark, os.path.join(landing, "*"), table, ckpt)  # nothing new: no change
-    assert ingest.read_table(spark, table).count() == first
-    env.filter(F.col("page") % 2 == 1).write.json(os.path.join(landing, "drop=1"))
-    ingest.run_available(spark, os.path.join(landing, "*"), table, ckpt)
-    final = ingest.read_table(spark, table)
-    assert final.count() == pages.select("key").distinct().count()
-    assert final.groupBy("jira_issue_id").count().filter("count > 1").count() == 0
-    cols = ["jira_issue_id", "status", "story_points", "in_progress_at", "done_at", "created_at_jira"]
-    before = sorted(map(tuple, final.select(cols).collect()))
-    # A retried micro-batch (same data, same id) leaves the table as it was.
-    batch = spark.read.schema(landed.envelope_schema(landed.schemas.issue_doc())).json(
-        os.path.join(landing, "drop=1")).withColumn("seq_file", F.input_file_name())
-    ingest.make_batch_writer(table)(batch, 99)
-    after = ingest.read_table(spark, table)
-    assert sorted(map(tuple, after.select(cols).collect())) == before
+    return landed.as_envelopes(pages.withColumn("projectKey", F.lit("P")).withColumn("sprintId", F.col("page") % 3)), pages
+
+
+def test_stream_result_does_not_depend_on_batches_or_order(spark):
+    env, pages = _pages(spark)
+    results = []
+    for order, files in (((0, 1, 2), 1000), ((2, 0, 1), 2), ((1, 2, 0), 5)):
+        root = tempfile.mkdtemp(prefix="cadence-stream-")
+        landing, store, ckpt = (os.path.join(root, x) for x in ("landing", "store", "ckpt"))
+        for drop in order:
+            _land(env, landing, drop, F.col("page") % 3 == drop)
+            ingest.run_available(spark, os.path.join(landing, "*"), store, ckpt, files, buckets=4)
+        history = ingest.read_appended(spark, store, "history", ingest.schemas.STATUS_HISTORY)
+        assert history.count() == history.distinct().count() > 0
+        results.append((_state(spark, store), sorted(map(str, history.collect()))))
+    assert results[0] == results[1] == results[2]
+    assert len(results[0][0]) == pages.select("key").distinct().count()
+
+
+def test_replayed_and_unfinished_batches_change_nothing(spark):
+    env, _ = _pages(spark)
+    store = os.path.join(tempfile.mkdtemp(prefix="cadence-store-"), "s")
+    writer = ingest.make_batch_writer(store, buckets=4)
+    pages = env.withColumn("seq_file", F.lit("f")).withColumn(landed.CORRUPT, F.lit(None).cast("string"))
+    writer(pages, 0)
+    before = _state(spark, store)
+    writer(pages.filter(F.col("page") % 2 == 0), 1)  # landed again
+    writer(pages.filter(F.col("page") % 2 == 0), 1)  # and that batch retried
+    assert _state(spark, store) == before
+    # A batch that wrote its files but no commit is invisible.
+    broken = ingest.read_state(spark, store).withColumn("status", F.lit("lost")).withColumn("bucket", ingest.key_bucket(F.col("jira_issue_id"), 4))
+    broken.write.partitionBy("bucket").parquet(os.path.join(store, "data", "batch=7"))
+    assert _state(spark, store) == before
+    assert all(os.path.isdir(f) for f in ingest.vacuum(spark, store)) and len(ingest.vacuum(spark, store)) == 4
 
 
 def test_stream_batch_rewrites_only_touched_buckets(spark):
-    root = tempfile.mkdtemp(prefix="cadence-buckets-")
-    table = os.path.join(root, "silver")
-    pages = landed.changelog_pages(spark, SMOKE_DIR, page_size=64)
-    env = landed.as_envelopes(pages).withColumn("seq_file", F.lit("f"))
-    writer = ingest.make_batch_writer(table, buckets=8)
+    env, pages = _pages(spark)
+    store = os.path.join(tempfile.mkdtemp(prefix="cadence-buckets-"), "s")
+    writer = ingest.make_batch_writer(store, buckets=8)
+    env = env.withColumn("seq_file", F.lit("f"))
     writer(env, 0)
-    files_before = {p for p in os.listdir(table) if p.startswith("bucket=")}
-    one = env.filter(F.col("page") == F.lit(pages.agg(F.max("page")).first()[0]))
-    keys = [r.key for r in one.select(F.explode("issues.key").alias("key")).union(
-        one.select(F.explode("values.key").alias("key"))).collect()]
-    touched = {r.b for r in spark.createDataFrame([(k,) for k in keys], "k string").select(
-        ingest.key_bucket(F.col("k"), 8).alias("b")).collect()}
-    mtimes = {b: os.path.getmtime(os.path.join(table, f"bucket={b}")) for b in range(8)
-              if os.path.exists(os.path.join(table, f"bucket={b}"))}
+    key = pages.select(F.min("key")).first()[0]
+    one = env.filter(F.exists(F.coalesce("issues", "values"), lambda i: i["key"] == key))
     writer(one, 1)
-    changed = {b for b in mtimes if os.path.getmtime(os.path.join(table, f"bucket={b}")) != mtimes[b]}
-    assert changed <= touched
-    assert {p for p in os.listdir(table) if p.startswith("bucket=")} == files_before
+    changed = {bucket for bucket, batch in ingest.committed(spark, store, "data") if batch == 1}
+    assert changed == {spark.range(1).select(ingest.key_bucket(F.lit(key), 8)).first()[0]}
+
+
+def test_stream_gives_tables_that_metrics_read(spark):
+    from cadence.operators import metrics
+    from cadence.sources.tables import load_tables, write_tables
+
+    env, _ = _pages(spark)
+    root = tempfile.mkdtemp(prefix="cadence-silver-")
+    ingest.make_batch_writer(os.path.join(root, "s"), buckets=4)(env.withColumn("seq_file", F.lit("f")), 0)
+    projects = spark.createDataFrame([(7, "P", "P")], "id long, jira_key string, name string")
+    sprints = spark.range(3).select("id", F.lit(7).cast("long").alias("project_id"), F.timestamp_seconds(F.lit(0)).alias("start_date"))
+    silver = ingest.silver_tables(spark, os.path.join(root, "s"), projects, sprints)
+    write_tables(silver, os.path.join(root, "out"))
+    t = load_tables(spark, os.path.join(root, "out"))
+    assert metrics.distribution_by_status(t, 7).count() > 0
+    assert t.issues.where("project_id <> 7 or sprint_id is null").count() == 0
+    assert t.issues.where("added_mid_sprint").count() > 0
+    assert t.sync_log.first().issues_synced == env.count()
+
+
+def test_two_pulls_collapse_projects_and_sprints(spark, seed):
+    from cadence.operators import sync
+
+    landing = os.path.join(tempfile.mkdtemp(prefix="cadence-pulls-"), "landing")
+    sync.land_tables(seed, landing, pull=0)
+    sync.land_tables(seed.with_(sprints=seed.sprints.withColumn("name", F.lit("new"))), landing, pull=1)
+    out = sync.sync_batch(spark, landing)
+    assert out.projects.count() == seed.projects.count() and out.sprints.count() == seed.sprints.count()
+    assert {r.name for r in out.sprints.collect()} == {"new"} and out.sync_log.count() == 2
+
+
+def test_pages_without_a_number_and_broken_lines(spark):
+    landing = os.path.join(tempfile.mkdtemp(prefix="cadence-broken-"), "issues")
+    doc = '{"issues":[{"id":"%d","key":"A-%d","fields":{"summary":"s","status":{"name":"%s"},"story_points":"%s"}}]%s}'
+    lines = [doc % (1, 1, "Old", "1", ""), doc % (1, 1, "New", "1e7", ',"page":4'), (doc % (2, 2, "x", "3", ',"page":5'))[:-20], "not json", doc % (3, 3, "y", "2.5", "")]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(landing)
+    read = landed.read_json(spark, landing, landed.envelope_schema(landed.schemas.issue_doc()))
+    from cadence.operators import silver, sync
+
+    flat = landed.flatten_pages(read)
+    rows = {r.jira_issue_id: r for r in upsert.collapse_batch(sync.document_rows(flat), sync.ISSUE_DOCS).collect()}
+    assert {k: (r.id, r.status) for k, r in rows.items()} == {"A-1": (1, "New"), "A-3": (3, "y")}
+    assert rows["A-1"].story_points is None and silver.unstorable_points(flat).count() == 1
+    assert landed.quarantine(read).count() == 2
+
+
+def test_sync_joins_carry_no_change_logs(spark, seed):
+    from cadence.operators import sync
+
+    landing = os.path.join(tempfile.mkdtemp(prefix="cadence-narrow-"), "landing")
+    sync.land_tables(seed, landing)
+    plan = sync.sync_batch(spark, landing).issues._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join " in line]
+    assert joins and not any("changelog" in line for line in joins)
+    below = plan[plan.index("Join "):]
+    # Documents are read and collapsed below the aggregate, never directly below a join.
+    assert below.index("Aggregate") < below.index("changelog")

@@ -63,9 +63,7 @@ def _projects(t: Tables, project_id: int | None) -> DataFrame:
     return _for_project(t.projects.select(F.col("id").alias("project_id")), project_id)
 
 
-# ─────────────────────────────────────────────────────────────────────────────
 # Sprint-grain aggregate shared by velocity, scope creep and completion
-# ─────────────────────────────────────────────────────────────────────────────
 
 def _sprint_issue_agg(issues: DataFrame, sprint_keys: DataFrame) -> DataFrame:
     """Per-sprint issue counters, only for the sprints in ``sprint_keys``."""
@@ -134,9 +132,7 @@ def started_sprints_ranked(t: Tables, project_id: int | None, limit: int | None)
     return latest_n(s, limit, [F.col("start_date").desc_nulls_first(), F.col("id").desc()])
 
 
-# ─────────────────────────────────────────────────────────────────────────────
 # A1 / A2 velocity
-# ─────────────────────────────────────────────────────────────────────────────
 
 def velocity_trend(t: Tables, project_id: int | None = None, window: int = 3) -> DataFrame:
     """Per closed sprint: completed/committed points and issue counts, last ``window``."""
@@ -197,9 +193,7 @@ def _velocity_from_trend(t: Tables, project_id: int | None, window: int, trend:
     return out.select(*cols)
 
 
-# ─────────────────────────────────────────────────────────────────────────────
 # A3 / A4 scope creep
-# ─────────────────────────────────────────────────────────────────────────────
 
 def scope_creep(t: Tables, project_id: int | None = None, limit: int = 5) -> DataFrame:
     ranked = started_sprints_ranked(t, project_id, limit)
@@ -262,9 +256,7 @@ def scope_creep_nested(t: Tables, project_id: int | None = None, limit: int = 5)
     ).drop("_d")
 
 
-# ─────────────────────────────────────────────────────────────────────────────
 # A5 / A6 cycle time
-# ─────────────────────────────────────────────────────────────────────────────
 
 def cycle_time_distribution(
     t: Tables,
@@ -331,9 +323,7 @@ def cycle_time(
     )
 
 
-# ─────────────────────────────────────────────────────────────────────────────
 # A7 sprint completion
-# ─────────────────────────────────────────────────────────────────────────────
 
 def sprint_completion(t: Tables, project_id: int | None = None, limit: int = 5) -> DataFrame:
     ranked = started_sprints_ranked(t, project_id, limit)
@@ -358,9 +348,7 @@ def sprint_completion(t: Tables, project_id: int | None = None, limit: int = 5)
     )
 
 
-# ─────────────────────────────────────────────────────────────────────────────
 # A8 backlog readiness
-# ─────────────────────────────────────────────────────────────────────────────
 
 def _backlog(t: Tables, project_id: int | None) -> DataFrame:
     return _for_project(t.issues, project_id).filter(
@@ -406,9 +394,7 @@ def backlog_readiness(t: Tables, project_id: int | None = None) -> DataFrame:
     )
 
 
-# ─────────────────────────────────────────────────────────────────────────────
 # A9 story-point distribution
-# ─────────────────────────────────────────────────────────────────────────────
 
 def distribution_by_type(t: Tables, project_id: int | None = None, sprint_id: int | None = None) -> DataFrame:
     i = _for_project(t.issues, project_id)
@@ -446,25 +432,35 @@ def distribution_by_status(t: Tables, project_id: int | None = None, sprint_id:
     )
 
 
-# ─────────────────────────────────────────────────────────────────────────────
 # A10 delivery health card
-# ─────────────────────────────────────────────────────────────────────────────
 
 def delivery_health(t: Tables, project_id: int | None = None, velocity_window: int = 3) -> DataFrame:
     """One row per project: velocity, Story cycle time, backlog and latest started sprint.
 
-    The velocity window and the latest started sprint read their counters from
-    one shared per-sprint aggregate (one issues scan, reused exchange).
+    Two issue scans: the sprint counters of the ranked sprints, from which
+    velocity and current sprint are conditional aggregates by project, and the
+    Story and backlog numbers.
     """
-    closed = closed_sprints_ranked(t, project_id, velocity_window)
-    started = started_sprints_ranked(t, project_id, 1)
-    counts = _counts_for(t, project_id, closed, started)
-    trend = _trend_columns(_attach(closed, counts))
-    vel = _velocity_from_trend(t, project_id, velocity_window, trend).select(
+    ranked = _health_sprints(t, project_id, velocity_window)
+    j = _attach(ranked, _counts_for(t, project_id, ranked))
+    # Completion and creep share one ranking (start_date desc, id desc), so
+    # the latest started sprint gets both numbers from the same counters.
+    current = F.struct("name", "completed_points", "total_points", "added_points")
+    sprint_stats = j.groupBy("project_id").agg(
+        F.avg(F.when(F.col("in_window"), round2("completed_points"))).alias("_c"),
+        F.avg(F.when(F.col("in_window"), round2("committed_points"))).alias("_k"),
+        count_if(F.col("in_window")).cast("long").alias("velocity_sprints_analysed"),
+        F.max(F.when(F.col("is_current"), current)).alias("_cur"),
+    )
+    k = F.col("_k")
+    sprint_stats = sprint_stats.select(
         "project_id",
-        F.col("average_completed_points").alias("velocity_average_completed_points"),
-        F.col("predictability_pct").alias("velocity_predictability_pct"),
-        F.col("sprints_analysed").alias("velocity_sprints_analysed"),
+        F.round("_c", 2).alias("velocity_average_completed_points"),
+        F.when(k.isNotNull() & (k != 0), F.round(F.col("_c") / k * F.lit(100.0), 2)).alias("velocity_predictability_pct"),
+        "velocity_sprints_analysed",
+        F.col("_cur.name").alias("current_sprint_name"),
+        F.when(F.col("_cur").isNotNull(), pct("_cur.completed_points", "_cur.total_points")).alias("current_sprint_completion_pct_points"),
+        F.when(F.col("_cur").isNotNull(), pct("_cur.added_points", "_cur.total_points")).alias("current_sprint_scope_creep_pct"),
     )
     # Story cycle time and backlog readiness in ONE pass over issues: both
     # group by project, so each becomes conditional aggregates (NULLs are
@@ -497,25 +493,33 @@ def delivery_health(t: Tables, project_id: int | None = None, velocity_window: i
         pct("_bfull", "_bt", none).alias("backlog_full_readiness_pct"),
         pct("_bac", "_bt", none).alias("backlog_ac_readiness_pct"),
     )
-    proj = _projects(t, project_id).join(per, "project_id", "left")
-    issue_stats = proj.select(
-        "project_id", "cycle_mean_days", "cycle_p50_days", "cycle_p95_days",
-        F.coalesce(F.col("cycle_sample_size"), F.lit(0)).cast("long").alias("cycle_sample_size"),
-        F.coalesce(F.col("backlog_total"), F.lit(0)).cast("long").alias("backlog_total"),
-        "backlog_full_readiness_pct", "backlog_ac_readiness_pct",
-    )
-    # Completion and creep share one ranking (start_date desc, id desc), so
-    # the latest started sprint gets both numbers from the same counters.
-    cur = _attach(started, counts).select(
+    out = _projects(t, project_id).join(per, "project_id", "left").join(sprint_stats, "project_id", "left")
+    counts = ("velocity_sprints_analysed", "cycle_sample_size", "backlog_total")
+    return out.select(
         "project_id",
-        F.col("name").alias("current_sprint_name"),
-        pct("completed_points", "total_points").alias("current_sprint_completion_pct_points"),
-        pct("added_points", "total_points").alias("current_sprint_scope_creep_pct"),
+        *[(F.coalesce(F.col(c), F.lit(0)).cast("long") if c in counts else F.col(c)).alias(c) for c in HEALTH_COLUMNS],
+    )
+
+
+HEALTH_COLUMNS = (
+    "velocity_average_completed_points", "velocity_predictability_pct", "velocity_sprints_analysed",
+    "cycle_mean_days", "cycle_p50_days", "cycle_p95_days", "cycle_sample_size",
+    "backlog_total", "backlog_full_readiness_pct", "backlog_ac_readiness_pct",
+    "current_sprint_name", "current_sprint_completion_pct_points", "current_sprint_scope_creep_pct",
+)
+
+
+def _health_sprints(t: Tables, project_id: int | None, window: int) -> DataFrame:
+    """Sprints of the velocity window (``in_window``) or latest started (``is_current``), ranked in one frame."""
+    s = _for_project(t.sprints, project_id).filter(F.col("state").isin("active", "closed"))
+    closed = F.col("state") == "closed"
+    by_end = Window.partitionBy("project_id", "state").orderBy(F.col("complete_date").desc_nulls_first(), F.col("id").desc())
+    by_start = Window.partitionBy("project_id").orderBy(F.col("start_date").desc_nulls_first(), F.col("id").desc())
+    s = s.select(
+        "id", "project_id", "name",
+        (closed & (F.row_number().over(by_end) <= window)).alias("in_window"), (F.row_number().over(by_start) == 1).alias("is_current"),
     )
-    out = _projects(t, project_id)
-    for part in (vel, issue_stats, cur):
-        out = out.join(part, "project_id", "left")
-    return out
+    return s.where("in_window or is_current")
 
 
 def delivery_health_nested(t: Tables, project_id: int | None = None, velocity_window: int = 3) -> DataFrame:
@@ -548,9 +552,7 @@ def delivery_health_nested(t: Tables, project_id: int | None = None, velocity_wi
     )
 
 
-# ─────────────────────────────────────────────────────────────────────────────
 # A11 time tracking
-# ─────────────────────────────────────────────────────────────────────────────
 
 def _hours(c: Column) -> Column:
     # ROUND(SUM(seconds) / 3600.0, 1) in exact decimal; NULL when all inputs NULL.

@@ -199,3 +199,13 @@ def test_views_bands(seed):
     assert v == {"Sprint 1": "green", "Sprint 2": "green", "Sprint 3": "amber"}
     sh = by(views.sprint_progress_share(seed, 1).collect(), "sprint_id")
     assert (sh[3].done_share, sh[3].in_progress_share, sh[3].todo_share) == (61.9, 23.81, 14.29)
+
+
+def test_health_card_scans_issues_twice(spark, seed, tmp_path):
+    from cadence.sources.tables import load_tables, write_tables
+
+    write_tables(seed, str(tmp_path / "silver"))
+    card = metrics.delivery_health(load_tables(spark, str(tmp_path / "silver")))
+    plan = card._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "jira_issue_id" in line for line in plan.split("\n")) == 2
+    assert sorted(map(str, card.collect())) == sorted(map(str, metrics.delivery_health(seed).collect()))

@@ -42,7 +42,7 @@ FOLDS, HELD_OUT_FOLD = 7, 2
 #: The end of a text, as a token; no word is empty.
 END = b""
 #: Words whose counts the tasks hold; those that are their own class; hash buckets for the others.
-HEAD, FREQUENT, BUCKETS = 200_000, 24_000, 2_048
+HEAD, FREQUENT, BUCKETS = 150_000, 24_000, 2_048
 STATES, ROUNDS = 8, 4
 #: Tokens of a training segment, and of the rows that are worked on at once.
 SEGMENT, AT_ONCE = 512, 800_000
@@ -282,6 +282,19 @@ def _scored(model, log_size, at_once: int):
     return run
 
 
+def _head(counts: DataFrame, most: int) -> list:
+    """The most frequent words, as many classes of like counts as hold at most ``most`` words; by falling count."""
+    like = F.floor(4 * F.log2("c"))  # at most 256 classes
+    sizes, n, least = counts.groupBy(like.alias("b")).agg(F.count("*").alias("n")).collect(), 0, None
+    for r in sorted(sizes, key=lambda r: -r.b):
+        n += r.n
+        if n > most:
+            break
+        least = r.b
+    found = counts.where(like >= least).collect() if least is not None else []
+    return sorted(found, key=lambda r: (-r.c, bytes(r.word)))
+
+
 def hmm_scores(
     docs: DataFrame, learn=None, head: int = HEAD, frequent: int = FREQUENT, buckets: int = BUCKETS, states: int = STATES, rounds: int = ROUNDS, at_once: int = AT_ONCE
 ) -> DataFrame:
@@ -296,7 +309,7 @@ def hmm_scores(
     rows = docs.select("doc_id", held.alias("held_out"), text_or_empty().alias("text"))
     counts = materialise(word_counts(rows.where("not held_out").select("text")), "hmm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()
+    top = _head(counts, head)
     vocabulary = Vocabulary.of([bytes(r.word) for r in top], [r.c for r in top], frequent, buckets)
     own = spark.createDataFrame([(bytes(r.word),) for r in top[:frequent]], "word binary")
     # What each bucket's words have together, and one for the unknown.

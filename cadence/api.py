@@ -66,7 +66,8 @@ class DeliveryAnalytics:
         by_type = metrics.backlog_by_type(self.t, pid).groupBy("project_id").agg(
             F.collect_list(F.struct("issue_type", "count")).alias("by_issue_type")  # ≤ 3 types
         )
-        return metrics.backlog_readiness(self.t, pid).join(by_type, "project_id", "left")
+        out = metrics.backlog_readiness(self.t, pid).join(by_type, "project_id", "left")
+        return out.withColumn("by_issue_type", F.coalesce("by_issue_type", F.array()))
 
     def distribution(self, key: str, sprint_id: int | None = None) -> tuple[DataFrame, DataFrame]:
         pid = self._pid(key)

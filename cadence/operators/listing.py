@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import iso
+from ..functions.expr import iso, latest_n
 from ..sources.tables import Tables
 from .metrics import ProjectNotFound
 
@@ -54,6 +54,12 @@ def sprint_list(t: Tables, project_id: int | None = None, state: str | None = No
     )
 
 
+def sprint_order(t: Tables) -> DataFrame:
+    """Place of each sprint in its project's listing: latest start first, as the API orders it."""
+    ranked = latest_n(t.sprints, None, [F.col("start_date").desc_nulls_first(), F.col("id").desc()])
+    return ranked.select("project_id", "id", F.col("rank").alias("position"))
+
+
 def project_sync_meta(t: Tables) -> DataFrame:
     """Projects with the start time of their latest successful sync.
 

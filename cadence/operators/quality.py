@@ -9,8 +9,9 @@ bad_rows)`` frame built by ``unionByName`` (no driver-side loop over data).
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,6 +77,79 @@ def foreign_key(child: DataFrame, cols: Sequence[str], parent: DataFrame, parent
     return _row(f"foreign_key({','.join(cols)})", table, bad)
 
 
+@dataclass(frozen=True)
+class Rules:
+    """The constraints of one table. ``foreign`` maps columns to (parent table, its key column)."""
+
+    not_null: tuple[str, ...] = ()
+    domains: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    unique: tuple[tuple[str, ...], ...] = ()
+    foreign: dict[str, tuple[str, str]] = field(default_factory=dict)
+
+
+# The constraints of the delivery tables (fixed values).
+DELIVERY_RULES = {
+    "projects": Rules(not_null=("jira_key", "name"), unique=(("jira_key",),)),
+    "sprints": Rules(
+        not_null=("jira_sprint_id", "project_id", "name", "state"), domains={"state": ("future", "active", "closed")},
+        unique=(("jira_sprint_id",),), foreign={"project_id": ("projects", "id")},
+    ),
+    "issues": Rules(
+        not_null=("jira_issue_id", "project_id", "status", "summary", "added_mid_sprint"), unique=(("jira_issue_id",),),
+        foreign={"sprint_id": ("sprints", "id"), "project_id": ("projects", "id")},
+    ),
+    "status_history": Rules(not_null=("issue_id", "to_status", "transitioned_at"), foreign={"issue_id": ("issues", "id")}),
+    "sync_log": Rules(
+        not_null=("sync_type", "status", "started_at"), domains={"status": ("running", "success", "failed")},
+        foreign={"project_id": ("projects", "id")},
+    ),
+}
+
+
+def _cells(df: DataFrame, table: str, rules: Rules) -> DataFrame:
+    """Rows (table, rule, kind, key, n) of one table from one pass over it.
+
+    Each row gives a cell for every row rule that it breaks and every key that
+    it holds; cells are counted by rule and key, so a key of a third of the
+    rows is one cell of a task.
+    """
+    def cell(rule: str, kind: str, key: Column) -> Column:
+        return F.struct(F.lit(rule).alias("check_name"), F.lit(kind).alias("kind"), key.alias("key"))
+
+    found = [F.when(F.col(c).isNull(), cell(f"not_null({c})", "row", F.lit(""))) for c in rules.not_null]
+    found += [F.when(~F.col(c).isin(*values), cell(f"domain({c})", "row", F.lit(""))) for c, values in rules.domains.items()]
+    for keys in rules.unique:
+        whole = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys])
+        present = F.lit(True)
+        for k in keys:
+            present = present & F.col(k).isNotNull()
+        found.append(F.when(present, cell(f"unique({','.join(keys)})", "unique", whole)))
+    found += [F.when(F.col(c).isNotNull(), cell(f"foreign_key({c})", "foreign", F.col(c).cast("string"))) for c in rules.foreign]
+    rows = df.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("c")).select("c.*")
+    return rows.groupBy("check_name", "kind", "key").agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), "check_name", "kind", "key", "n")
+
+
+def audit(tables: dict[str, DataFrame], rules: dict[str, Rules]) -> DataFrame:
+    """(check_name, table_name, bad_rows) of every rule, each table read once (parents' keys once more)."""
+    cells = parents = None
+    names = []
+    for table, rule in rules.items():
+        mine = _cells(tables[table], table, rule)
+        cells = mine if cells is None else cells.unionByName(mine)
+        names += [(f"not_null({c})", table) for c in rule.not_null] + [(f"domain({c})", table) for c in rule.domains]
+        names += [(f"unique({','.join(k)})", table) for k in rule.unique] + [(f"foreign_key({c})", table) for c in rule.foreign]
+        for c, (parent, key) in rule.foreign.items():
+            known = tables[parent].select(F.lit(table).alias("table_name"), F.lit(f"foreign_key({c})").alias("check_name"), F.col(key).cast("string").alias("key"))
+            parents = known if parents is None else parents.unionByName(known)
+    bad = cells.where("kind <> 'foreign'").select("table_name", "check_name", F.when(F.col("kind") == "unique", F.col("n") - 1).otherwise(F.col("n")).alias("bad"))
+    if parents is not None:
+        orphans = cells.where("kind = 'foreign'").join(parents, ["table_name", "check_name", "key"], "left_anti")
+        bad = bad.unionByName(orphans.select("table_name", "check_name", F.col("n").alias("bad")))
+    sums = bad.groupBy("table_name", "check_name").agg(F.sum("bad").alias("bad"))
+    every = cells.sparkSession.createDataFrame(names, "check_name string, table_name string")
+    return every.join(sums, ["table_name", "check_name"], "left").select("check_name", "table_name", F.coalesce("bad", F.lit(0)).cast("long").alias("bad_rows"))
+
+
 def report(checks: Iterable[DataFrame]) -> DataFrame:
     out = None
     for c in checks:

@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..api import DeliveryAnalytics, to_json_rows
 from ..operators import listing, metrics, views
+from ..sources.tables import Tables
 from .ingest_queries import INGEST_QUERIES
-from .inputs import SILVER_CONF, build_silver, tables  # noqa: F401
+from .inputs import build_silver, tables  # noqa: F401
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -20,12 +23,32 @@ DEFAULT_WINDOW = 3
 DEFAULT_LIMIT = 5
 
 
+class TablesQuery:
+    """A registered query over delivery tables; ``of`` runs it on any tables, such as a materialised silver layer."""
+
+    def __init__(self, fn, **params):
+        self.fn, self.params, self.__name__ = fn, params, fn.__name__
+
+    def of(self, t: Tables) -> DataFrame:
+        return self.fn(t, **self.params)
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.of(tables(spark, sf_dir))
+
+
 def _metric(fn, **params) -> QueryFn:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(tables(spark, sf_dir), **params)
+    return TablesQuery(fn, **params)
+
+
+def project_cycle_times(t: Tables, key: str, issue_type: str) -> DataFrame:
+    """One project by key, one issue type: the single-project form with its optional filter."""
+    return DeliveryAnalytics(t).cycle_time_distribution(key, issue_type).select("id", "jira_issue_id", "issue_type", "cycle_days")
+
 
-    run.__name__ = fn.__name__
-    return run
+def velocity_json(t: Tables, window: int) -> DataFrame:
+    """The nested velocity record as JSON text, one project a row."""
+    trend = F.transform("trend", lambda s: F.struct(s["sprint_id"].alias("sprint_id"), s["total_issues"].alias("total_issues")))
+    return to_json_rows(metrics.velocity(t, None, window, nested=True).select("project_id", "sprints_analysed", trend.alias("trend")))
 
 
 METRIC_QUERIES: dict[str, QueryFn] = {
@@ -46,6 +69,7 @@ METRIC_QUERIES: dict[str, QueryFn] = {
 
 
 LOOKUP_KEY = "europe"  # resolved case-insensitively
+CYCLE_TYPE = "Story"
 PREFERRED_KEY = "EUROPE"  # a key that exists, and not the first by name
 
 LISTING_QUERIES: dict[str, QueryFn] = {
@@ -53,6 +77,9 @@ LISTING_QUERIES: dict[str, QueryFn] = {
     "project_lookup": _metric(listing.project_lookup, key=LOOKUP_KEY),
     "default_project": _metric(listing.default_project, preferred_key=PREFERRED_KEY),
     "sprint_list": _metric(listing.sprint_list),
+    "sprint_order": _metric(listing.sprint_order),
+    "project_cycle_times": _metric(project_cycle_times, key=LOOKUP_KEY, issue_type=CYCLE_TYPE),
+    "velocity_json": _metric(velocity_json, window=DEFAULT_WINDOW),
     "project_sync_meta": _metric(listing.project_sync_meta),
 }
 

@@ -161,7 +161,7 @@ def project_upsert(spark: SparkSession, d: str) -> DataFrame:
     p = tables(spark, d).projects
     existing = p.filter(F.col("id") % 3 != 0).withColumn("board_id", F.col("id") * 10)
     incoming = (
-        p.filter(F.col("id") % 2 == 0)
+        p.filter((F.col("id") % 2 == 0) | (F.col("id") % 3 == 0))
         .withColumn("name", F.concat(F.col("name"), F.lit(" (renamed)")))
         .withColumn("description", F.lit("v2"))
         .withColumn("board_id", F.lit(None).cast("long"))
@@ -174,7 +174,7 @@ def sprint_upsert(spark: SparkSession, d: str) -> DataFrame:
     s = tables(spark, d).sprints
     existing = s.filter(F.col("id") % 3 != 0)
     incoming = (
-        s.filter(F.col("id") % 2 == 0)
+        s.filter((F.col("id") % 2 == 0) | (F.col("id") % 3 == 0))
         .withColumn("name", F.concat(F.col("name"), F.lit(" v2")))
         .withColumn("state", F.lit("closed"))
         .withColumn("project_id", F.col("project_id") + 100)
@@ -191,7 +191,7 @@ def issue_upsert(spark: SparkSession, d: str) -> DataFrame:
     existing = i.filter(F.col("id") % 3 != 0)
     day = F.make_dt_interval(F.lit(1))
     incoming = (
-        i.filter(F.col("id") % 2 == 0)
+        i.filter((F.col("id") % 2 == 0) | (F.col("id") % 3 == 0))
         .withColumn("summary", F.concat(F.lit("Changed "), F.col("id").cast("string")))
         .withColumn("status_category", F.lit("In Progress"))
         .withColumn("story_points", (F.col("story_points") + F.lit(1)).cast("decimal(6,1)"))
@@ -209,26 +209,18 @@ def issue_upsert(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+ORDER_RULES = {
+    "orders": quality.Rules(not_null=("o_orderkey",), domains={"o_orderstatus": ("F", "O", "P")}, unique=(("o_orderkey",),), foreign={"o_custkey": ("customer", "c_custkey")}),
+    "lineitem": quality.Rules(unique=(("l_orderkey", "l_linenumber"),), foreign={"l_orderkey": ("orders", "o_orderkey")}),
+}
+
+
 def constraint_audit(spark: SparkSession, d: str) -> DataFrame:
-    r = lambda n: testdata.read(spark, d, n)
-    orders, lineitem, customer = r("orders"), r("lineitem"), r("customer")
+    """The delivery tables' constraints, and key rules of the raw order tables."""
+    raw = {n: testdata.read(spark, d, n) for n in ("orders", "lineitem", "customer")}
     t = tables(spark, d)
-    # Per-row rules of a table share one pass (row_checks); key and
-    # foreign-key rules each need their own grouping or join.
-    return quality.report([
-        quality.unique(orders, ["o_orderkey"], "orders"),
-        quality.unique(lineitem, ["l_orderkey", "l_linenumber"], "lineitem"),
-        quality.row_checks(orders, "orders", not_null=["o_orderkey"], domains={"o_orderstatus": ["F", "O", "P"]}),
-        quality.foreign_key(orders, ["o_custkey"], customer, ["c_custkey"], "orders"),
-        quality.foreign_key(lineitem, ["l_orderkey"], orders, ["o_orderkey"], "lineitem"),
-        quality.unique(t.projects, ["jira_key"], "projects"),
-        quality.unique(t.sprints, ["jira_sprint_id"], "sprints"),
-        quality.unique(t.issues, ["jira_issue_id"], "issues"),
-        quality.row_checks(t.sprints, "sprints", domains={"state": ["future", "active", "closed"]}),
-        quality.row_checks(t.issues, "issues", not_null=["status", "summary"]),
-        quality.foreign_key(t.issues, ["sprint_id"], t.sprints, ["id"], "issues"),
-        quality.foreign_key(t.issues, ["project_id"], t.projects, ["id"], "issues"),
-    ])
+    delivery = {n: getattr(t, n) for n in quality.DELIVERY_RULES}
+    return quality.audit(raw, ORDER_RULES).unionByName(quality.audit(delivery, quality.DELIVERY_RULES))
 
 
 def _stream_context(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -324,7 +316,17 @@ def quarantine_counts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def history_append(spark: SparkSession, d: str) -> DataFrame:
+    """Status history appended to what an earlier pull left: only unseen rows are new."""
+    pages = landed.changelog_pages(spark, d)
+    earlier = silver.status_history(pages.where(F.col("issue_id") % 2 == 0))
+    new = silver.append_history(earlier, silver.status_history(pages))
+    both = earlier.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
+    return both.select("issue_id", "from_status", "to_status", iso("transitioned_at").alias("transitioned_at"), "author_email", "is_new")
+
+
 INGEST_QUERIES = {
+    "history_append": history_append,
     "two_pull_sync": two_pull_sync,
     "quarantine_counts": quarantine_counts,
     "sync_roundtrip": sync_roundtrip,

@@ -5,29 +5,16 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..sources import testdata
-from ..sources.tables import load_tables, write_tables
+from ..sources.tables import Tables, load_tables, write_tables
 
-SILVER_CONF = "cadence.silver.dir"
 
-
-def tables(spark: SparkSession, sf_dir: str):
-    """Delivery tables for ``sf_dir``.
-
-    When the session names a materialised silver layer for this input
-    (``cadence.silver.dir``, written by :func:`build_silver`), metrics read
-    it — partitioned Parquet, as production would after the sync job.
-    Otherwise the adapter plans the tables from the raw test tables.
-    """
-    silver = spark.conf.get(SILVER_CONF, "")
-    if silver:
-        marker = spark.conf.get(SILVER_CONF + ".source", "")
-        if marker == sf_dir:
-            return load_tables(spark, silver)
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """Delivery tables planned from the raw test tables by the adapter."""
     return testdata.delivery_tables(spark, sf_dir)
 
 
-def build_silver(spark: SparkSession, sf_dir: str, root: str) -> None:
-    """Write the delivery tables once (the ELT step) and point metrics at them."""
+def build_silver(spark: SparkSession, sf_dir: str, root: str) -> Tables:
+    """Write the delivery tables once (the ELT step) and give them as Parquet tables."""
     # The order facts feed three tables; keep them for the duration of the
     # writes (recomputed from lineage if an executor is lost).
     facts = testdata.order_facts(spark, sf_dir).persist()
@@ -35,5 +22,4 @@ def build_silver(spark: SparkSession, sf_dir: str, root: str) -> None:
         write_tables(testdata.delivery_tables(spark, sf_dir, facts), root)
     finally:
         facts.unpersist()
-    spark.conf.set(SILVER_CONF, root)
-    spark.conf.set(SILVER_CONF + ".source", sf_dir)
+    return load_tables(spark, root)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import oracle as o
 from ..operators.views import CHART_WINDOW
 from .ingest_queries import DOC_AC_MARKERS
-from .catalog import DEFAULT_LIMIT, DEFAULT_WINDOW, LOOKUP_KEY, PREFERRED_KEY
+from .catalog import DEFAULT_LIMIT, DEFAULT_WINDOW, LOOKUP_KEY, PREFERRED_KEY, CYCLE_TYPE
 
 
 def oracle_sql() -> dict[str, str]:
@@ -40,6 +40,10 @@ def oracle_sql() -> dict[str, str]:
         "distribution_pivot": o.distribution_pivot(),
         "distribution_type_share": o.distribution_type_share(),
         "kpi_rows": o.kpi_rows(DEFAULT_WINDOW),
+        "project_cycle_times": o.project_cycle_times(LOOKUP_KEY, CYCLE_TYPE),
+        "velocity_json": o.velocity_json(DEFAULT_WINDOW),
+        "sprint_order": o.sprint_order(),
+        "history_append": o.history_append(),
         "sync_roundtrip": o.sync_roundtrip(),
         "two_pull_sync": o.two_pull_sync(),
         "quarantine_counts": o.quarantine_counts(),

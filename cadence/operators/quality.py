@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,48 +107,55 @@ DELIVERY_RULES = {
 }
 
 
-def _cells(df: DataFrame, table: str, rules: Rules) -> DataFrame:
-    """Rows (table, rule, kind, key, n) of one table from one pass over it.
+def _listed(tables: dict[str, Rules]) -> list[tuple[str, str, str, tuple[str, ...]]]:
+    """(check name, table, kind, columns) of every rule; its place is the rule's number."""
+    out = []
+    for table, r in tables.items():
+        out += [(f"not_null({c})", table, "row", (c,)) for c in r.not_null] + [(f"domain({c})", table, "row", (c,)) for c in r.domains]
+        out += [(f"unique({','.join(k)})", table, "unique", tuple(k)) for k in r.unique] + [(f"foreign_key({c})", table, "foreign", (c,)) for c in r.foreign]
+    return out
+
+
+def _cells(df: DataFrame, rules: Rules, listed: list[tuple[int, str, str, tuple[str, ...]]]) -> DataFrame:
+    """Rows (rule, key, n) of one table from one pass over it.
 
     Each row gives a cell for every row rule that it breaks and every key that
     it holds; cells are counted by rule and key, so a key of a third of the
     rows is one cell of a task.
     """
-    def cell(rule: str, kind: str, key: Column) -> Column:
-        return F.struct(F.lit(rule).alias("check_name"), F.lit(kind).alias("kind"), key.alias("key"))
-
-    found = [F.when(F.col(c).isNull(), cell(f"not_null({c})", "row", F.lit(""))) for c in rules.not_null]
-    found += [F.when(~F.col(c).isin(*values), cell(f"domain({c})", "row", F.lit(""))) for c, values in rules.domains.items()]
-    for keys in rules.unique:
-        whole = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys])
-        present = F.lit(True)
-        for k in keys:
-            present = present & F.col(k).isNotNull()
-        found.append(F.when(present, cell(f"unique({','.join(keys)})", "unique", whole)))
-    found += [F.when(F.col(c).isNotNull(), cell(f"foreign_key({c})", "foreign", F.col(c).cast("string"))) for c in rules.foreign]
-    rows = df.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("c")).select("c.*")
-    return rows.groupBy("check_name", "kind", "key").agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), "check_name", "kind", "key", "n")
+    found = []
+    for number, check, kind, columns in listed:
+        if kind == "row":
+            holds = F.col(columns[0]).isNull() if check.startswith("not_null") else ~F.col(columns[0]).isin(*rules.domains[columns[0]])
+            key = F.lit("")
+        else:
+            holds = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+            key = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns])
+        found.append(F.when(holds, F.struct(F.lit(number).alias("rule"), key.alias("key"))))
+    rows = df.select(F.explode(F.array_compact(F.array(*found))).alias("c")).select("c.*")
+    return rows.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def audit(tables: dict[str, DataFrame], rules: dict[str, Rules]) -> DataFrame:
     """(check_name, table_name, bad_rows) of every rule, each table read once (parents' keys once more)."""
-    cells = parents = None
-    names = []
-    for table, rule in rules.items():
-        mine = _cells(tables[table], table, rule)
-        cells = mine if cells is None else cells.unionByName(mine)
-        names += [(f"not_null({c})", table) for c in rule.not_null] + [(f"domain({c})", table) for c in rule.domains]
-        names += [(f"unique({','.join(k)})", table) for k in rule.unique] + [(f"foreign_key({c})", table) for c in rule.foreign]
-        for c, (parent, key) in rule.foreign.items():
-            known = tables[parent].select(F.lit(table).alias("table_name"), F.lit(f"foreign_key({c})").alias("check_name"), F.col(key).cast("string").alias("key"))
-            parents = known if parents is None else parents.unionByName(known)
-    bad = cells.where("kind <> 'foreign'").select("table_name", "check_name", F.when(F.col("kind") == "unique", F.col("n") - 1).otherwise(F.col("n")).alias("bad"))
-    if parents is not None:
-        orphans = cells.where("kind = 'foreign'").join(parents, ["table_name", "check_name", "key"], "left_anti")
-        bad = bad.unionByName(orphans.select("table_name", "check_name", F.col("n").alias("bad")))
-    sums = bad.groupBy("table_name", "check_name").agg(F.sum("bad").alias("bad"))
-    every = cells.sparkSession.createDataFrame(names, "check_name string, table_name string")
-    return every.join(sums, ["table_name", "check_name"], "left").select("check_name", "table_name", F.coalesce("bad", F.lit(0)).cast("long").alias("bad_rows"))
+    listed = [(n, *rule) for n, rule in enumerate(_listed(rules))]
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    cells = union([_cells(tables[table], r, [(n, check, kind, c) for n, check, t, kind, c in listed if t == table]) for table, r in rules.items()])
+    parents = [
+        tables[parent].select(F.lit(n).alias("rule"), F.col(key).cast("string").alias("key"))
+        for n, _, table, kind, columns in listed if kind == "foreign" for parent, key in [rules[table].foreign[columns[0]]]
+    ]
+    # The cells are already dealt out by (rule, key), so this join moves only the parents.
+    if parents:
+        cells = cells.join(union(parents).distinct().withColumn("known", F.lit(True)), ["rule", "key"], "left")
+    else:
+        cells = cells.withColumn("known", F.lit(None).cast("boolean"))
+    is_ = lambda kind: F.col("rule").isin([n for n, _, _, k, _ in listed if k == kind])
+    bad = F.when(is_("unique"), F.col("n") - 1).when(is_("foreign"), F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).otherwise(F.col("n"))
+    bad = cells.select("rule", bad.alias("n"))
+    every = cells.sparkSession.createDataFrame([(n, check, table) for n, check, table, _, _ in listed], "rule int, check_name string, table_name string")
+    sums = bad.groupBy("rule").agg(F.sum("n").alias("bad"))
+    return every.join(sums, "rule", "left").select("check_name", "table_name", F.coalesce("bad", F.lit(0)).cast("long").alias("bad_rows"))
 
 
 def report(checks: Iterable[DataFrame]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 Inputs are derived from the test tables by fixed rules (FIXTURES.md §2) so
 the DuckDB oracle can compute the expected result from the same tables.
+Queries that only read delivery tables take others as ``t``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..functions.expr import has_ac, iso
 from ..operators import quality, silver, sync, upsert
 from ..session import ensure_checkpoint_dir
 from ..sources import landed, testdata
+from ..sources.tables import Tables
 from ..streaming import ingest
 from .inputs import tables
 
@@ -88,8 +90,8 @@ def story_points_parse(spark: SparkSession, d: str) -> DataFrame:
     return o.select(k.alias("id"), a.alias("configured"), b.alias("fallback"), X.story_points(a, b).alias("story_points"))
 
 
-def story_point_impute(spark: SparkSession, d: str) -> DataFrame:
-    i = tables(spark, d).issues
+def story_point_impute(spark: SparkSession, d: str, t: Tables | None = None) -> DataFrame:
+    i = (t or tables(spark, d)).issues
     return silver.impute_story_points(i).select("id", F.col("story_points").cast("double").alias("story_points"))
 
 
@@ -186,8 +188,8 @@ def sprint_upsert(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def issue_upsert(spark: SparkSession, d: str) -> DataFrame:
-    i = tables(spark, d).issues
+def issue_upsert(spark: SparkSession, d: str, t: Tables | None = None) -> DataFrame:
+    i = (t or tables(spark, d)).issues
     existing = i.filter(F.col("id") % 3 != 0)
     day = F.make_dt_interval(F.lit(1))
     incoming = (
@@ -215,10 +217,10 @@ ORDER_RULES = {
 }
 
 
-def constraint_audit(spark: SparkSession, d: str) -> DataFrame:
+def constraint_audit(spark: SparkSession, d: str, t: Tables | None = None) -> DataFrame:
     """The delivery tables' constraints, and key rules of the raw order tables."""
     raw = {n: testdata.read(spark, d, n) for n in ("orders", "lineitem", "customer")}
-    t = tables(spark, d)
+    t = t or tables(spark, d)
     delivery = {n: getattr(t, n) for n in quality.DELIVERY_RULES}
     return quality.audit(raw, ORDER_RULES).unionByName(quality.audit(delivery, quality.DELIVERY_RULES))
 

@@ -56,7 +56,7 @@ PATTERNS = [(a, b) for a, b in combinations(range(1, SPAN), 2)]
 
 def words_of(text: str) -> list[str]:
     words = text.lower().split()
-    if sum(len(w) == 1 for w in words) > 3:
+    if list(map(len, words)).count(1) > 3:
         words += [re.sub(r"\s", "", m.group().lower()) for m in SPELLED.finditer(text)]
     return words
 
@@ -207,9 +207,12 @@ class Scorer:
             return [(0.0, 0.0)] * len(texts)
         self.learn(set().union(*(t.lower().split() for t in texts)))
         for words in map(words_of, texts):
-            if any(w not in seen for w in words):
+            try:
+                hits = [x for w in words if (x := seen[w]) is not None]
+            except KeyError:  # a word spelled apart, or forgotten since
                 self.learn(set(words))
-            hits = sorted([x for w in words if (x := seen[w]) is not None])[-2:]
+                hits = [x for w in words if (x := seen[w]) is not None]
+            hits = sorted(hits)[-2:]
             hits = [max(x, 0.0) for x in [0.0, 0.0, *hits][-2:]]
             out.append((hits[1] + bias, hits[0] + bias))
         return out

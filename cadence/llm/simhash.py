@@ -30,7 +30,7 @@ from .common import components, find_roots, materialise, slices, text_or_empty,
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
-#: The tree is chosen on so many fingerprints, the least by a hash, at most.
+#: The tree is chosen on about so many fingerprints, picked by a hash.
 SAMPLE = 16_384
 #: Sampled fingerprints of a leaf, and rows of a leaf's block.
 LEAF_SAMPLE, BLOCK = 64, 8_192
@@ -198,7 +198,9 @@ def _links(tree, reach: int):
 def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE, leaf_sample: int = LEAF_SAMPLE, block_rows: int = BLOCK) -> DataFrame:
     """Components of the distinct ``fps(fp)``: rows (node, root) of those that have a link."""
     spark = fps.sparkSession
-    picked = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(dtype=np.int64)
+    # About ``sample`` of them, chosen by a hash; all of few.
+    share = max(1, -(-fps.count() // sample))
+    picked = np.sort(fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).toPandas()["fp"].to_numpy(dtype=np.int64))
     tree = VantageTree(picked.view(np.uint64), max_bits, leaf_sample)
     shipped = spark.sparkContext.broadcast(tree)
     # One row for each leaf; the sample bounds the leaves.

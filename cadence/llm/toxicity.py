@@ -327,8 +327,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     """Fit on a bounded sample of the labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # Twice the sample, for rows without a text here or with a longer one; bounded, so it may be broadcast.
-    picked = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_docs) for c in (F.col("toxic") == 1, F.col("toxic") != 1)]
+    # Two to four times the sample, picked by a hash, for rows without a text
+    # here or with a longer one; bounded, so it may be broadcast.
+    sizes = {r.toxic: r.n for r in known.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    picked = []
+    for label in (True, False):
+        share = max(1, sizes.get(label, 0) // (2 * sample_docs))
+        picked.append(known.where(((F.col("toxic") == 1) == F.lit(label)) & (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)))
     text = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= sample_chars))
     rows = [text.join(F.broadcast(p), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect() for p in picked]
     return fit([r.text for part in rows for r in part], [int(r.toxic == 1) for part in rows for r in part])

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
@@ -70,13 +70,20 @@ def _ids(enc, text: str) -> bytes:
     return np.asarray(enc.encode_ordinary(text), dtype="<u4").tobytes()
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that little is held beside them."""
+    for batch in batches:
+        for a, b in slices(batch.num_rows, rows):
+            yield batch.slice(a, b - a)
+
+
 def _encode_whole(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for batch in batches:
-            ids = [_ids(enc, text) for text in batch.column(1).to_pylist()]
+        for part in _parts(batches):
+            ids = [_ids(enc, text) for text in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]
+                [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]
             )
 
     return run
@@ -205,7 +212,7 @@ def decode(coded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for batch in batches:
+        for batch in _parts(batches):
             made = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, pa.binary())], [*keep, "decoded"])
 

@@ -106,6 +106,17 @@ SQL = {
                text_sha256
         FROM n
     """,
+    "op10_substring_dedup": r"""
+        WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 12), ' ') AS sequence
+                    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM texts)),
+        repeated AS (SELECT doc_id, i FROM windows QUALIFY min(doc_id) OVER (PARTITION BY sequence) < doc_id),
+        gone AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS at FROM repeated),
+        placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM texts),
+        kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.at) AS text FROM placed p ANTI JOIN gone g ON g.doc_id = p.doc_id AND g.at = p.at GROUP BY p.doc_id)
+        SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM texts t LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id
+    """,
 }
 
 

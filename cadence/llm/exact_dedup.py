@@ -19,6 +19,8 @@ from .common import SPACE, materialise, text_or_empty
 #: Code points of the normalised text in the prefix hash.
 PREFIX_CHARS = 64
 REFINED = ["norm_chars", "prefix_hash"]
+#: Parts into which the rows of one key are dealt where texts move.
+SALTS = 16
 
 
 def normalised(col: str = "text"):
@@ -36,10 +38,14 @@ def _signed(docs: DataFrame, prefix_chars: int) -> DataFrame:
 
 
 def _refined(narrow: DataFrame) -> DataFrame:
-    """Keys (length, prefix hash) that more than one row has."""
-    lengths = narrow.groupBy("norm_chars").agg(F.count("*").alias("n")).where("n > 1").select("norm_chars")
-    within = narrow.join(lengths, "norm_chars", "left_semi")
-    return within.groupBy(*REFINED).agg(F.count("*").alias("n")).where("n > 1").select(*REFINED)
+    """Keys (length, prefix hash) that more than one row has, among lengths that more than one row has.
+
+    Rows are counted by both first, so that a very common length or text is
+    one row of a task before anything is joined or shuffled by it.
+    """
+    pairs = narrow.groupBy(*REFINED).agg(F.count("*").alias("n"))
+    lengths = pairs.groupBy("norm_chars").agg(F.sum("n").alias("of_length")).where("of_length > 1").select("norm_chars")
+    return pairs.where("n > 1").join(lengths, "norm_chars", "left_semi").select(*REFINED)
 
 
 def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_all: bool = False) -> DataFrame:
@@ -55,18 +61,24 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_all: b
     if digest_all:
         # One reading of the texts; the levels below read the narrow rows.
         rows = materialise(signed.select("doc_id", "n_chars", *REFINED, digest.alias("text_sha256")), "exact-rows")
-        survivors = rows.join(_refined(rows.select(*REFINED)), REFINED, "left_semi")
+        keys = _refined(rows)
+        hashed = rows
     else:
-        keys = _refined(signed.select(*REFINED))
-        survivors = signed.join(keys, REFINED, "left_semi").select("doc_id", "n_chars", *REFINED, digest.alias("text_sha256"))
-        alone = signed.join(keys, REFINED, "left_anti").select("doc_id", "n_chars", *REFINED, F.lit(None).cast("string").alias("text_sha256"))
-        rows = survivors.unionByName(alone)
+        keys = _refined(signed)
+        # Texts meet the keys under a salt, so that copies of one text spread.
+        salted = signed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = [*REFINED, "salt"]
+        hashed = salted.join(spread, met, "left_semi").select("doc_id", "n_chars", *REFINED, digest.alias("text_sha256"))
+        alone = salted.join(spread, met, "left_anti").select("doc_id", "n_chars", *REFINED, F.lit(None).cast("string").alias("text_sha256"))
+        rows = hashed.unionByName(alone)
     # ``~`` reverses the order of long integers without overflow.
     best = F.max_by("doc_id", F.struct("n_chars", F.bitwise_not("doc_id")))
     groups = (
-        survivors.groupBy(*REFINED, "text_sha256")
+        hashed.groupBy(*REFINED, "text_sha256")
         .agg(best.alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
+        .join(keys, REFINED, "left_semi")
     )
     return rows.join(groups, [*REFINED, "text_sha256"], "left").select(
         "doc_id",

@@ -273,8 +273,10 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, clean_l
     if not insults:
         return Model(None, np.zeros(0), 0.0, np.array([0.0, 0.0, share]))
     kernel, label = Kernel(insults + plain), np.asarray(labels)
-    spoken = [Counter(words_of(t)) for t in texts]
-    vocabulary = sorted(set().union(*spoken))
+    spoken: set[str] = set()
+    for text in texts:
+        spoken.update(words_of(text))
+    vocabulary = sorted(spoken)
     found = kernel.matches(vocabulary)
     place = {vocabulary[i]: k for k, i in enumerate(found)}
     x = np.array(list(found.values()), dtype=np.float64)
@@ -288,13 +290,13 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, clean_l
     spoiled = kernel.matches(changed)
     extra = np.array([spoiled[i] for i in sorted(spoiled)]) @ root
     extra = np.c_[extra, np.ones(len(extra))]
-    docs = [[(place[w], n) for w, n in words.items() if w in place] for words in spoken]
-    clean = np.unique([k for rows, y in zip(docs, label) if y == 0 for k, _ in rows]).astype(np.int64)
+    docs = [sorted({place[w] for w in words_of(t) if w in place}) for t in texts]
+    clean = np.unique([k for rows, y in zip(docs, label) if y == 0 for k in rows]).astype(np.int64)
     margin = x[:, : len(insults)].max(axis=1)
     nothing = np.r_[np.zeros(len(root)), 1.0]
     for _ in range(rounds):
         # A clean document's words are all clean; a toxic one's worst word is toxic.
-        worst = [max(rows, key=lambda r: margin[r[0]])[0] for rows, y in zip(docs, label) if y == 1 and rows]
+        worst = [max(rows, key=margin.__getitem__) for rows, y in zip(docs, label) if y == 1 and rows]
         bad, times = np.unique(np.array(worst, dtype=np.int64), return_counts=True)
         w = _svm(
             np.r_[z[bad], extra, z[clean], [nothing]],

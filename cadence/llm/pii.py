@@ -7,9 +7,10 @@ the protected entities. A term near an entity reveals it by
                = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)),
 
 with document counts over the whole corpus: 1 says that the term occurs with
-the entity only. Terms over a threshold are generalised, those over a higher
-one removed, wherever they stand near that entity; a pair needs a least number
-of documents to count.
+the entity only. A pair seen in n(t,e) documents keeps n(t,e) / (n(t,e) +
+``SHRINK``) of it, so few documents weigh less and none are left out. Terms
+over a threshold are generalised, those over a higher one removed, wherever
+they stand near that entity. Entities are equal whatever their punctuation.
 
 Positions are code points, ends exclusive. Matches are located by the lengths
 of the matches and of what the same pattern splits off, so no Python runs.
@@ -40,8 +41,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"\p{L}[\p{L}\p{N}'-]{2,}+"
 #: Code points on either side of an entity in which terms are taken.
 REACH = 48
-#: Documents of a pair of term and entity, at least; disclosure from which a term is generalised, and removed.
-SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+#: Documents by which the disclosure of a pair is shrunk; disclosure from which a term is generalised, and removed.
+SHRINK, GENERALISE, REMOVE = 0.15, 0.8, 0.95
 BLOCK = 128
 SPAN = "struct<start:long,k:int,end:long,kind:string,value:string>"
 
@@ -126,10 +127,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return df.withColumn("__key", F.xxhash64("doc_id", "__text")).withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
+def _entity(s: Column) -> Column:
+    """Name of the entity of a base span: digits alone of cards and phones, numbers of an address without leading zeros."""
+    kind, value = s["kind"], s["value"]
+    plain = F.when(kind.isin("card", "phone"), _digits(value)).when(kind == "ip", F.regexp_replace(value, r"(?<![0-9])0+(?=[0-9])", "")).otherwise(F.lower(value))
+    return F.concat_ws(":", kind, plain)
+
+
 def _occurrences(found: DataFrame) -> DataFrame:
     """Rows (__key, __id, entity, term, start, end): terms near the base spans of a document."""
     span = found.select("__key", "__id", F.explode("__base").alias("s"))
-    span = span.select("__key", "__id", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), "s.start", "s.end", "s.before", "s.after", "s.size")
+    span = span.select("__key", "__id", _entity(F.col("s")).alias("entity"), "s.start", "s.end", "s.before", "s.after", "s.size")
     sides = []
     for side, at in (("before", F.col("start") - F.length("before")), ("after", F.col("end"))):
         near = _located(span.withColumn("__near", F.col(side)), "__near", TERM, "__terms")
@@ -140,9 +148,9 @@ def _occurrences(found: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1]).distinct()
 
 
-def _disclosing(docs: DataFrame, occurrences: DataFrame, support: int, generalise: float) -> DataFrame:
+def _disclosing(docs: DataFrame, occurrences: DataFrame, shrink: float, generalise: float) -> DataFrame:
     """Pairs (entity, term, disclosure) over the threshold."""
-    pairs = occurrences.select("__key", "__id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    pairs = occurrences.select("__key", "__id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     entities = occurrences.select("__key", "__id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
     # Counted before the join: no word is hot afterwards.
@@ -151,7 +159,7 @@ def _disclosing(docs: DataFrame, occurrences: DataFrame, support: int, generalis
     n = F.lit(float(docs.count()))
     both, e, t = (F.col(c).cast("double") for c in ("n_both", "n_entity", "n_term"))
     share = F.when(e < n, F.log(n * both / (F.greatest(t, both) * e)) / F.log(n / e)).otherwise(0.0)
-    return joined.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
+    return joined.select("entity", "term", (share * both / (both + shrink)).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
 def _found(docs: DataFrame, reach: int) -> DataFrame:
@@ -167,10 +175,10 @@ def _found(docs: DataFrame, reach: int) -> DataFrame:
     return df.select("doc_id", "__key", "__id", F.transform("__base", near).alias("__base"))
 
 
-def _term_spans(docs: DataFrame, found: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+def _term_spans(docs: DataFrame, found: DataFrame, shrink: float, generalise: float, remove: float) -> DataFrame:
     """Rows (__key, __id, __terms): spans of the revealing terms of a document."""
     occurrences = materialise(_occurrences(found), "pii-terms")
-    revealing = _disclosing(docs, occurrences, support, generalise)
+    revealing = _disclosing(docs, occurrences, shrink, generalise)
     span = occurrences.join(revealing, ["entity", "term"]).groupBy("__key", "__id", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
     kind = F.when(F.col("disclosure") >= remove, F.lit("removed")).otherwise(F.lit("general"))
     made = F.struct(F.col("start"), F.lit(len(KINDS)).alias("k"), F.col("end"), kind.alias("kind"), F.col("term").alias("value"))
@@ -184,17 +192,17 @@ def _all_spans(base: Column, terms: Column) -> Column:
     return F.array_sort(F.concat(plain, apart))
 
 
-def pii_spans(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def pii_spans(docs: DataFrame, reach: int = REACH, shrink: float = SHRINK, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Rows (doc_id, spans), one for each row of ``docs``: (start, k, end, kind, value), kinds ``KINDS``, ``removed`` and ``general``."""
     found = materialise(_found(docs, reach), "pii-base")
-    terms = _term_spans(docs, found, support, generalise, remove)
+    terms = _term_spans(docs, found, shrink, generalise, remove)
     return found.join(terms, ["__key", "__id"], "left").select("doc_id", _all_spans(F.col("__base"), F.col("__terms")).alias("spans"))
 
 
-def sanitise(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, reach: int = REACH, shrink: float = SHRINK, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with the spans of ``text`` replaced: entities and general terms by a label, revealing ones by nothing."""
     found = materialise(_found(docs, reach), "pii-base")
-    terms = _term_spans(docs, found, support, generalise, remove)
+    terms = _term_spans(docs, found, shrink, generalise, remove)
     spans = found.where(F.size("__base") > 0).join(terms, ["__key", "__id"], "left").dropDuplicates(["__key", "__id"])
     spans = spans.select("__key", "__id", _all_spans(F.col("__base"), F.col("__terms")).alias("__spans"))
     df = _keyed(docs).join(spans, ["__key", "__id"], "left")

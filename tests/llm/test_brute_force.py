@@ -78,6 +78,15 @@ def test_pii_terms_that_reveal(spark):
     assert clean[100].text == text[100]
 
 
+def test_pii_terms_of_an_entity_in_one_document(spark):
+    rows = [(1, f"write to quibblestone at vip@secret.org {prose(5, 1)}"), (2, "card 4539 1488 0343 6467 of vantongeren"), (3, "card 4539-1488-0343-6467 of vantongeren")]
+    rows += [(100 + i, f"write to card at of {prose(30, i)}") for i in range(60)]
+    text, found = dict(rows), by_id(pii.pii_spans(frame(spark, rows)))
+    named = {(i, text[i][s.start:s.end], s.kind) for i in text for s in found[i].spans if s.kind not in pii.KINDS}
+    # Both writings of the card are one entity, of two documents.
+    assert named == {(1, "quibblestone", "general"), (2, "vantongeren", "general"), (3, "vantongeren", "general")}
+
+
 def test_sanitise_replaces_every_base_span(spark):
     rows = list(enumerate(HARD_PII))
     clean = by_id(pii.sanitise(frame(spark, rows)))

@@ -1,7 +1,7 @@
 """PII removal by patterns and information-theoretic sanitisation, in DataFrame functions only.
 
 Base spans are matches of four patterns with a check each. Their values are
-the protected entities. A term near an entity reveals it by
+the protected entities. A term of a document reveals an entity of it by
 
     disclosure = PMI(term, entity) / IC(entity)
                = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)),
@@ -10,7 +10,8 @@ with document counts over the whole corpus: 1 says that the term occurs with
 the entity only. A pair seen in n(t,e) documents keeps n(t,e) / (n(t,e) +
 ``SHRINK``) of it, so few documents weigh less and none are left out. Terms
 over a threshold are generalised, those over a higher one removed, wherever
-they stand near that entity. Entities are equal whatever their punctuation.
+they stand in a document that holds the entity. Entities are equal whatever
+their punctuation; those of the same documents are counted as one class.
 
 Positions are code points, ends exclusive. Matches are located by the lengths
 of the matches and of what the same pattern splits off, so no Python runs.
@@ -23,7 +24,7 @@ very long texts are read whole; an empty table gives an empty result;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
@@ -39,8 +40,6 @@ PATTERNS = {
 #: Texts without these characters are not searched.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"\p{L}[\p{L}\p{N}'-]{2,}+"
-#: Code points on either side of an entity in which terms are taken.
-REACH = 48
 #: Documents by which the disclosure of a pair is shrunk; disclosure from which a term is generalised, and removed.
 SHRINK, GENERALISE, REMOVE = 0.15, 0.8, 0.95
 BLOCK = 128
@@ -134,52 +133,71 @@ def _entity(s: Column) -> Column:
     return F.concat_ws(":", kind, plain)
 
 
-def _occurrences(found: DataFrame) -> DataFrame:
-    """Rows (__key, __id, entity, term, start, end): terms near the base spans of a document."""
-    span = found.select("__key", "__id", F.explode("__base").alias("s"))
-    span = span.select("__key", "__id", _entity(F.col("s")).alias("entity"), "s.start", "s.end", "s.before", "s.after", "s.size")
-    sides = []
-    for side, at in (("before", F.col("start") - F.length("before")), ("after", F.col("end"))):
-        near = _located(span.withColumn("__near", F.col(side)), "__near", TERM, "__terms")
-        near = near.select("__key", "__id", "entity", "size", at.alias("at"), F.length("__near").alias("n"), F.explode("__terms").alias("t"))
-        # A term at the outer edge of the reach may be cut.
-        cut = (F.col("at") > 0) & (F.col("t.start") == 0) if side == "before" else (F.col("at") + F.col("n") < F.col("size")) & (F.col("t.end") == F.col("n"))
-        sides.append(near.where(~cut).select("__key", "__id", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end")))
-    return sides[0].unionByName(sides[1]).distinct()
-
-
-def _disclosing(docs: DataFrame, occurrences: DataFrame, shrink: float, generalise: float) -> DataFrame:
-    """Pairs (entity, term, disclosure) over the threshold."""
-    pairs = occurrences.select("__key", "__id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    entities = occurrences.select("__key", "__id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
-    # Counted before the join: no word is hot afterwards.
-    terms = terms.groupBy("term").agg(F.count("*").alias("n_term"))
-    joined = pairs.join(terms, "term").join(entities, "entity")
-    n = F.lit(float(docs.count()))
-    both, e, t = (F.col(c).cast("double") for c in ("n_both", "n_entity", "n_term"))
-    share = F.when(e < n, F.log(n * both / (F.greatest(t, both) * e)) / F.log(n / e)).otherwise(0.0)
-    return joined.select("entity", "term", (share * both / (both + shrink)).alias("disclosure")).where(F.col("disclosure") >= generalise)
-
-
-def _found(docs: DataFrame, reach: int) -> DataFrame:
+def _terms(text: str) -> Column:
+    """The distinct terms of the column ``text``."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, __key, __id, __base, __text), one for each row of ``docs``; only texts with base spans are kept."""
     df = base_spans(_keyed(docs.select("doc_id", "text")))
+    return df.select("doc_id", "__key", "__id", "__base", F.when(F.size("__base") > 0, F.col("__text")).alias("__text"))
+
 
-    def near(s: Column) -> Column:
-        left = F.greatest(s["start"] - reach, F.lit(0))
-        text = F.col("__text")
-        return s.withField("before", F.substring(text, (left + 1).cast("int"), (s["start"] - left).cast("int"))).withField(
-            "after", F.substring(text, (s["end"] + 1).cast("int"), F.lit(reach))
-        ).withField("size", F.length(text))
+def _classes(holding: DataFrame) -> DataFrame:
+    """Rows (__key, __id, a, b, n_entity): the classes of entities of a document.
 
-    return df.select("doc_id", "__key", "__id", F.transform("__base", near).alias("__base"))
+    Entities of the same documents have the same counts with every term, so a
+    class, named by hashes of its documents, stands for all of them.
+    """
+    held = holding.select("__key", "__id", F.explode(F.array_distinct(F.transform("__base", _entity))).alias("entity"))
+    named = held.groupBy("entity").agg(
+        F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("__key", "__id")).alias("a"), F.bit_xor(F.xxhash64("__id", "__key")).alias("b")
+    )
+    return held.join(named, "entity").select("__key", "__id", "a", "b", "n_entity").distinct()
+
+
+def _disclosing(docs: DataFrame, holding: DataFrame, shrink: float, generalise: float) -> DataFrame:
+    """Rows (__key, __id, term, disclosure): terms of a document that reveal an entity of it, over the threshold."""
+    rows = docs.count()
+    n = F.lit(float(rows))
+
+    def disclosure(both: str) -> Column:
+        both, e, t = (F.col(c).cast("double") for c in (both, "n_entity", "n_term"))
+        share = F.when(e < n, F.log(n * both / (F.greatest(t, both) * e)) / F.log(n / e)).otherwise(0.0)
+        return share * both / (both + shrink)
+
+    classes = materialise(_classes(holding), "pii-classes")
+    most = max(1, min(classes.agg(F.max("n_entity")).first()[0] or 0, rows - 1))
+    terms = docs.select(F.explode(_terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    # The disclosure of a pair that stands together wherever it can bounds that of the pair, and grows with n_entity.
+    # So words that reveal not even the largest entity are dropped before the join, and others by class after it; no pair is lost.
+    terms = terms.withColumn("n_entity", F.lit(most)).withColumn("n_most", F.least("n_term", "n_entity"))
+    terms = terms.where(disclosure("n_most") >= generalise).select("term", "n_term")
+    spoken = holding.select("__key", "__id", F.explode(_terms("__text")).alias("term"))
+    pairs = spoken.join(terms, "term").join(classes, ["__key", "__id"]).withColumn("n_most", F.least("n_term", "n_entity"))
+    pairs = materialise(pairs.where(disclosure("n_most") >= generalise).drop("n_most"), "pii-pairs")
+    of = ["a", "b", "n_entity", "term"]
+    counted = pairs.groupBy(*of, "n_term").agg(F.count("*").alias("n_both")).select(*of, disclosure("n_both").alias("disclosure"))
+    revealing = counted.where(F.col("disclosure") >= generalise)
+    return pairs.join(revealing, of).groupBy("__key", "__id", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def _standing(holding: DataFrame) -> DataFrame:
+    """Rows (__key, __id, term, start, end) of all terms of the texts; sums run over rows, for texts have many terms."""
+    gaps = F.transform(F.split(F.col("__text"), TERM, -1), lambda x: F.length(x).cast("long"))
+    words = F.arrays_zip(F.regexp_extract_all(F.col("__text"), F.lit(TERM), F.lit(0)).alias("value"), gaps.alias("gap"))
+    rows = holding.select("__key", "__id", F.posexplode(words).alias("at", "w")).select("__key", "__id", "at", F.col("w")["value"].alias("value"), F.col("w")["gap"].alias("gap"))
+    rows = rows.where(F.col("value").isNotNull()).withColumn("n", F.length("value").cast("long"))
+    end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("__key", "__id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("end", end).select("__key", "__id", F.lower("value").alias("term"), (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def _term_spans(docs: DataFrame, found: DataFrame, shrink: float, generalise: float, remove: float) -> DataFrame:
-    """Rows (__key, __id, __terms): spans of the revealing terms of a document."""
-    occurrences = materialise(_occurrences(found), "pii-terms")
-    revealing = _disclosing(docs, occurrences, shrink, generalise)
-    span = occurrences.join(revealing, ["entity", "term"]).groupBy("__key", "__id", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
+    """Rows (__key, __id, __terms): spans of the revealing terms of a document, wherever they stand in it."""
+    holding = found.where(F.size("__base") > 0).dropDuplicates(["__key", "__id"])
+    revealing = _disclosing(docs, holding, shrink, generalise)
+    span = _standing(holding).join(revealing, ["__key", "__id", "term"])
     kind = F.when(F.col("disclosure") >= remove, F.lit("removed")).otherwise(F.lit("general"))
     made = F.struct(F.col("start"), F.lit(len(KINDS)).alias("k"), F.col("end"), kind.alias("kind"), F.col("term").alias("value"))
     return span.groupBy("__key", "__id").agg(F.collect_list(made).alias("__terms"))
@@ -192,16 +210,16 @@ def _all_spans(base: Column, terms: Column) -> Column:
     return F.array_sort(F.concat(plain, apart))
 
 
-def pii_spans(docs: DataFrame, reach: int = REACH, shrink: float = SHRINK, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def pii_spans(docs: DataFrame, shrink: float = SHRINK, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Rows (doc_id, spans), one for each row of ``docs``: (start, k, end, kind, value), kinds ``KINDS``, ``removed`` and ``general``."""
-    found = materialise(_found(docs, reach), "pii-base")
+    found = materialise(_found(docs), "pii-base")
     terms = _term_spans(docs, found, shrink, generalise, remove)
     return found.join(terms, ["__key", "__id"], "left").select("doc_id", _all_spans(F.col("__base"), F.col("__terms")).alias("spans"))
 
 
-def sanitise(docs: DataFrame, reach: int = REACH, shrink: float = SHRINK, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, shrink: float = SHRINK, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with the spans of ``text`` replaced: entities and general terms by a label, revealing ones by nothing."""
-    found = materialise(_found(docs, reach), "pii-base")
+    found = materialise(_found(docs), "pii-base")
     terms = _term_spans(docs, found, shrink, generalise, remove)
     spans = found.where(F.size("__base") > 0).join(terms, ["__key", "__id"], "left").dropDuplicates(["__key", "__id"])
     spans = spans.select("__key", "__id", _all_spans(F.col("__base"), F.col("__terms")).alias("__spans"))

@@ -87,6 +87,14 @@ def test_pii_terms_of_an_entity_in_one_document(spark):
     assert named == {(1, "quibblestone", "general"), (2, "vantongeren", "general"), (3, "vantongeren", "general")}
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    rows = [(i, f"Quibblestone {prose(60, i)} vip@secret.org {prose(60, i)} quibblestone and QUIBBLESTONE") for i in range(4)]
+    rows += [(100 + i, f"{prose(60, i)} and") for i in range(60)]
+    clean = by_id(pii.sanitise(frame(spark, rows)))
+    for i, text in rows:
+        assert clean[i].text == (f" {prose(60, i)} [EMAIL] {prose(60, i)}  and " if i < 4 else text)
+
+
 def test_sanitise_replaces_every_base_span(spark):
     rows = list(enumerate(HARD_PII))
     clean = by_id(pii.sanitise(frame(spark, rows)))

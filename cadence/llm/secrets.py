@@ -36,6 +36,8 @@ REACH = 64
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Code points of code on either side, least marginal bytes for each byte of a candidate.
 AROUND, NOVELTY = 2_000, 0.8
+#: Longer candidates are compressed in pieces of so many bytes at most, too few for zstd to code literals by frequency.
+PIECE = 48
 #: Identifiers that prime the dictionary (fixed values).
 IDENTIFIERS = (
     "password passwd passphrase secret secret_key token access_token refresh_token id_token api_key apikey api-key client_id client_secret "
@@ -63,11 +65,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def marginal_share(candidate: str, around: str, identifiers: str) -> float:
-    """Compressed bytes that the candidate adds, for each of its bytes."""
-    primed = zstandard.ZstdCompressionDict((identifiers + " " + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-    data = candidate.encode()
-    return (len(packer.compress(data)) - len(packer.compress(b""))) / len(data)
+    """Compressed bytes that the candidate adds, for each of its bytes; a piece is primed with the pieces before it too."""
+    added, n = 0, -(-len(candidate) // PIECE)
+    for i in range(n):
+        x, y = len(candidate) * i // n, len(candidate) * (i + 1) // n
+        known = identifiers + " " + around + (" " + candidate[max(0, x - AROUND) : x] if x else "")
+        primed = zstandard.ZstdCompressionDict(known.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+        added += len(packer.compress(candidate[x:y].encode())) - len(packer.compress(b""))
+    return added / len(candidate)
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], identifiers: str = IDENTIFIERS, novelty: float = NOVELTY) -> list[tuple[int, int, int]]:

@@ -124,6 +124,9 @@ def test_secret_base_spans(spark, texts):
         assert [(s.kind, s.start, s.end) for s in found[i].spans if s.kind != "novel"] == [(kind, a, b) for a, _, b, kind in want]
 
 
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
 def test_novel_secrets():
     new = lambda t: [t[a:b] for a, k, b in secrets.scan(t) if k == 3]
     assert new("the key is Zx81kQp0vTt2mNb7Lw9R in use") == ["Zx81kQp0vTt2mNb7Lw9R"]
@@ -133,6 +136,15 @@ def test_novel_secrets():
     assert new("there is Zx81kQp0vTt2mNb7Lw9R here") == []
 
 
+@pytest.mark.parametrize(("letters", "n"), [("0123456789ABCDEF", 64), ("0123456789ABCDEF", 128), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 256), (BASE64, 1024)])
+def test_long_novel_secrets_of_any_alphabet(letters, n):
+    made = np.random.default_rng(n)
+    for _ in range(10):
+        string = "A1bc" + "".join(made.choice(list(letters), n - 8)) + "d2EF"
+        assert [(t, k) for a, k, b in secrets.scan(f"key: {string} in use") for t in [f"key: {string} in use"[a:b]] if k == 3] == [(string, 3)]
+    assert secrets.novel_spans("key: " + "Ab12Cd34Ef56Gh78" * 40, []) == []
+
+
 # op3
 
 

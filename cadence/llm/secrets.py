@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and novelty under a primed zstandard dictionary.
 
 Base spans are the matches of three patterns. Beyond them, a long string of
-letters and digits in a sensitive context is a candidate; it is compressed
+letters or digits in a sensitive context is a candidate; it is compressed
 with a dictionary primed with common identifiers and the code around it, and
 is reported as ``novel`` when its marginal bytes are nearly its length: no part
 of it is an identifier or occurs nearby.
@@ -30,7 +30,7 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 NAMED = ("password", "passwd", "secret", "token", "api")
 
-#: Words that make what follows within ``REACH`` code points sensitive.
+#: Words that make what stands within ``REACH`` code points of them, on either side, sensitive.
 SENSITIVE = re.compile(r"(?ai:pass|pwd|secret|token|key|auth|credential|bearer|private|signature|session)")
 REACH = 64
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
@@ -80,18 +80,22 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], identifiers: str =
     found, upto = [], 0
     busy = [(a, b) for a, _, b in taken]
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), upto)):
+        near = [m for m in CANDIDATE.finditer(text, upto, word.start()) if m.end() >= word.start() - REACH]
+        upto = max(upto, word.end())
+        for m in CANDIDATE.finditer(text, upto):
             if m.start() > word.end() + REACH:
                 break
+            near.append(m)
             upto = m.end()
+        for m in near:
             string = m.group().strip("=-_/+")
             a = text.index(string, m.start()) if string else m.start()
             b = a + len(string)
-            letters, digits = sum(map(str.isalpha, string)), sum(map(str.isdigit, string))
-            if letters < 4 or digits < 2 or any(x < b and a < y for x, y in busy):
+            if not string or any(x < b and a < y for x, y in busy):
                 continue
             around = (text[max(0, a - AROUND) : a] + " " + text[b : b + AROUND]).replace(string, " ")
-            if marginal_share(string, around, identifiers) >= novelty:
+            # With its marks, so that a few letters in a long rule are not a secret.
+            if marginal_share(m.group(), around, identifiers) >= novelty:
                 found.append((a, 3, b))
     return found
 

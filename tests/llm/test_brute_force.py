@@ -145,6 +145,16 @@ def test_long_novel_secrets_of_any_alphabet(letters, n):
     assert secrets.novel_spans("key: " + "Ab12Cd34Ef56Gh78" * 40, []) == []
 
 
+def test_novel_secrets_of_letters_or_digits_on_either_side():
+    new = lambda t: [t[a:b] for a, k, b in secrets.scan(t) if k == 3]
+    for string in ("ZxqkQpvvTtsmNbGLwhRy", "90417263558102946371", "qhZ7xkvJwpTmRbLyGdNc"):
+        assert new(f"the key is {string} in use") == new(f"{string} # the key") == [string]
+        assert new(f"{string} {'- ' * 40} the key") == new(f"{string} # the value") == []
+    assert new("ZxqkQpvvTtsmNbGLwhRy token 90417263558102946371") == ["ZxqkQpvvTtsmNbGLwhRy", "90417263558102946371"]
+    assert new("key ------------------A ==================") == []
+    assert new("key: abcdefghijklmnopqrstuvwxyz subscription_configuration 01234567890123456789") == []
+
+
 # op3
 
 

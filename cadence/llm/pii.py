@@ -224,8 +224,10 @@ def sanitise(docs: DataFrame, shrink: float = SHRINK, generalise: float = GENERA
     spans = found.where(F.size("__base") > 0).join(terms, ["__key", "__id"], "left").dropDuplicates(["__key", "__id"])
     spans = spans.select("__key", "__id", _all_spans(F.col("__base"), F.col("__terms")).alias("__spans"))
     df = _keyed(docs).join(spans, ["__key", "__id"], "left")
-    # Where the text before a span begins: after the farthest end so far.
-    df = df.withColumn("__ends", F.expr("transform(__spans, (s, i) -> if(i = 0, 0L, array_max(transform(slice(__spans, greatest(1, i - 15), least(i, 16)), x -> x.end))))"))
+    # Where the text before a span begins: after the farthest end so far, by blocks as in ``_located``.
+    df = df.withColumn("__far", F.expr(f"transform(sequence(0, size(__spans) div {BLOCK}), k -> array_max(transform(slice(__spans, k * {BLOCK} + 1, {BLOCK}), x -> x.end)))"))
+    far = f"array_max(slice(__far, 1, i div {BLOCK})), array_max(transform(slice(__spans, i div {BLOCK} * {BLOCK} + 1, i % {BLOCK}), x -> x.end))"
+    df = df.withColumn("__ends", F.expr(f"transform(__spans, (s, i) -> if(i = 0, 0L, greatest({far})))"))
     label = "case s.kind when 'removed' then '' when 'general' then '[TERM]' else concat('[', upper(s.kind), ']') end"
     pieces = (
         f"transform(__spans, (s, i) -> concat(substring(__text, cast(__ends[i] + 1 as int), cast(greatest(0L, s.start - __ends[i]) as int)), if(s.end > __ends[i], {label}, '')))"

@@ -106,6 +106,11 @@ def test_sanitise_replaces_every_base_span(spark):
         assert clean[i].text == "".join(out) + t[at:]
 
 
+def test_sanitise_of_many_spans_within_one(spark):
+    text = f"x {'.'.join(['1.2.3.4'] * 300)}.tail@mail.example.com y"
+    assert by_id(pii.sanitise(frame(spark, [(1, text), (2, "plain")])))[1].text == "x [EMAIL] y"
+
+
 SECRET = [
     ("assign", r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(1)) >= 6),
     ("access", r"AKIA[A-Z0-9]+", lambda m: len(m.group()) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m.group()) >= 24),

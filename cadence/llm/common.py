@@ -37,6 +37,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_order(df: DataFrame, by: list, label: str, within: list | None = None) -> DataFrame:
+    """``df`` written in the order of ``by`` (then ``within``), with ``_part`` and ``_at``: the part of the order that a row is in, and its place there.
+
+    Parts are ranges of ``by``, so one key may spread over many of them and no
+    task gets more than its part; a count by part then gives places in all.
+    """
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by, *(within or [])).withColumn("_n", F.monotonically_increasing_id())
+    return materialise(placed.withColumns({"_part": F.shiftright("_n", 33).cast("int"), "_at": F.col("_n").bitwiseAND((1 << 33) - 1)}).drop("_n"), label)
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

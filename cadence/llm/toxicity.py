@@ -2,7 +2,12 @@
 
 The kernel of two words counts the gapped triples of characters that they
 share, each weighted by a decay to the power of its span, so insults with
-inserted or left-out characters stay close to their plain form. Words are
+inserted or left-out characters stay close to their plain form. A word with
+marks inside is also read in its parts and without its marks, one with a filler
+between all letters without it, a run of letters without spaces by its pairs and
+triples where the script has none, and a long word by the insults that stand in
+it: windows as wide as the landmark that they are compared with, and letters in
+order with few others between them. Words are
 described by their kernel with landmark words through a Nystroem map, and a
 sentence is as toxic as its worst word. A linear SVM is trained on labelled
 text: a clean one says that all its words are clean, a toxic one that its
@@ -43,11 +48,19 @@ LANDMARKS, CLEAN_LANDMARKS = 96, 24
 SPAN, DECAY, FLOOR, POWER = 6, 0.8, 0.4, 2
 #: Longer words are read in windows of so many characters, half overlapping.
 WORD_CHARS = 32
+#: Words from so many characters are searched for landmarks of at least so many.
+LONG_WORD, INNER_LANDMARK = 9, 4
+#: Characters that may be put into a landmark, between its first and last letter.
+PUT_IN = 3
+#: Scripts without spaces between words.
+UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]{2,}")
 CACHED_WORDS = 400_000
 #: Cost of a spoiled insult that the SVM misses; a document's worst sentence costs 10.
-SPOILED_COST = 1.0
+SPOILED_COST = 5.0
 #: Toxic documents of a word times the logarithm of its odds, at least, for a toxic landmark.
 LEAST_GAIN = 6.0
+#: Times that a toxic landmark is likelier in a toxic document than in a clean one, at least.
+LEAST_ODDS = 4.0
 #: Four or more single characters in a row are read as one word as well.
 SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -61,6 +74,50 @@ def words_of(text: str) -> list[str]:
     return words
 
 
+@dataclass
+class Insults:
+    """The toxic landmarks as they may stand in longer words, whole or with characters put in."""
+
+    words: list[str]
+    inner: re.Pattern | None = field(init=False, default=None)
+    ends: dict[tuple[str, str], list[str]] = field(init=False, default_factory=dict)
+
+    def __post_init__(self):
+        whole = sorted((w for w in self.words if len(w) >= INNER_LANDMARK), key=len, reverse=True)
+        if whole:
+            self.inner = re.compile("(?=(" + "|".join(map(re.escape, whole)) + "))")
+        for w in whole:
+            self.ends.setdefault((w[0], w[-1]), []).append(w)
+
+    def of(self, word: str) -> list[str]:
+        found = sorted(set(self.inner.findall(word))) if self.inner and len(word) >= LONG_WORD else []
+        for w in self.ends.get((word[:1], word[-1:]), ()):
+            if 0 < len(word) - len(w) <= PUT_IN:
+                rest = iter(word)
+                if all(c in rest for c in w):
+                    found.append(w)
+        return found
+
+
+def readings(word: str, insults: Insults | None = None) -> list[str]:
+    """The ways to read a word, itself first; of ``insults`` those that stand in it."""
+    word = word.strip(EDGE) or word
+    found = [word]
+    if not word.isalnum():
+        parts = [x for x in re.split(r"[\W_]+", word) if x]
+        if len(parts) > 1:
+            found += [*dict.fromkeys(x for x in parts if len(x) > 1), "".join(parts)]
+    long = found[-1]
+    if len(long) >= 7 and len(set(long[1::2])) == 1 and len(set(long[::2])) > 2:
+        found.append(long[::2])
+    if insults is not None:
+        found += [x for y in {word, long} for x in insults.of(y)]
+    if not word.isascii():
+        for run in UNSPACED.findall(word):
+            found += sorted({run[i : i + n] for n in (2, 3) for i in range(len(run) - n + 1)})
+    return found
+
+
 def _triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, code, weight) of the gapped triples of words, edges marked."""
     marked = ["\x02" + w + "\x03" for w in words]
@@ -89,6 +146,7 @@ class Kernel:
     """Normalised kernel of words with the landmark words."""
 
     landmarks: list[str]
+    inner: Insults = field(default_factory=lambda: Insults([]))
     codes: np.ndarray = field(init=False)
     table: np.ndarray = field(init=False)
     letters: np.ndarray = field(init=False)
@@ -197,8 +255,11 @@ class Scorer:
             fresh = sorted(words, key=len)
         for a, b in slices(len(fresh), 8192):
             self.seen.update(dict.fromkeys(fresh[a:b]))
-            for i, match in self.model.kernel.matches(fresh[a:b]).items():
-                self.seen[fresh[a + i]] = float(match @ self.model.weights)
+            read = [(w, x) for w in fresh[a:b] for x in readings(w, self.model.kernel.inner)]
+            for i, match in self.model.kernel.matches([x for _, x in read]).items():
+                w, margin = read[i][0], float(match @ self.model.weights)
+                if self.seen[w] is None or margin > self.seen[w]:
+                    self.seen[w] = margin
 
     def worst(self, texts: list[str]) -> list[tuple[float, float]]:
         """Of each text the margins of its worst and second worst word."""
@@ -232,19 +293,20 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np
     return w
 
 
-def choose_landmarks(texts: list[str], labels: list[int], n: int, n_clean: int) -> tuple[list[str], list[str]]:
-    """Words whose documents speak most for toxic, unlike each other, and frequent clean words."""
+def choose_landmarks(texts: list[str], labels: list[int], n: int, n_clean: int) -> tuple[list[str], list[str], list[float]]:
+    """Words whose documents speak most for toxic, unlike each other; frequent clean words; the logarithms of the first ones' odds."""
     toxic, clean = Counter(), Counter()
     for text, label in zip(texts, labels):
-        (toxic if label else clean).update({w.strip(EDGE)[:WORD_CHARS] for w in words_of(text)} - {""})
+        (toxic if label else clean).update({x[:WORD_CHARS] for w in words_of(text) for x in readings(w)} - {""})
     n_toxic, n_other = max(1, sum(labels)), max(1, len(labels) - sum(labels))
 
+    def odds(w: str) -> float:
+        return (toxic[w] + 0.5) / (n_toxic + 1) * (n_other + 1) / (clean[w] + 0.5)
+
     def gain(w: str) -> float:
-        a, b = toxic[w], clean[w]
-        p, q = (a + 0.5) / (n_toxic + 1), (b + 0.5) / (n_other + 1)
-        return a * np.log(p / q)
+        return toxic[w] * np.log(odds(w)) if odds(w) >= LEAST_ODDS else 0.0
 
-    ranked = sorted((w for w, a in toxic.items() if a >= 2 and len(w) >= 3), key=lambda w: (-gain(w), w))[: 12 * n]
+    ranked = sorted((w for w, a in toxic.items() if a >= 2 and (len(w) >= 3 or UNSPACED.fullmatch(w))), key=lambda w: (-gain(w), w))[: 12 * n]
     picked: list[str] = []
     like = np.zeros(0)
     if ranked:
@@ -263,20 +325,24 @@ def choose_landmarks(texts: list[str], labels: list[int], n: int, n_clean: int)
             if len(picked) == n:
                 break
     plain = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 3 and toxic[w] * n_other < 2 * clean[w] * n_toxic]
-    return [ranked[i] for i in picked], plain[:n_clean]
+    return [ranked[i] for i in picked], plain[:n_clean], [np.log(odds(ranked[i])) for i in picked]
 
 
 def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, clean_landmarks: int = CLEAN_LANDMARKS, rounds: int = 5) -> Model:
     """The model from labelled texts, in a defined order."""
     share = float(np.mean(labels)) if labels else 0.0
-    insults, plain = choose_landmarks(texts, labels, landmarks, clean_landmarks) if 0 < share < 1 else ([], [])
+    insults, plain, odds = choose_landmarks(texts, labels, landmarks, clean_landmarks) if 0 < share < 1 else ([], [], [])
     if not insults:
         return Model(None, np.zeros(0), 0.0, np.array([0.0, 0.0, share]))
-    kernel, label = Kernel(insults + plain), np.asarray(labels)
-    spoken: set[str] = set()
-    for text in texts:
-        spoken.update(words_of(text))
-    vocabulary = sorted(spoken)
+    # Those that stand in longer words of clean texts are parts of words, not insults put into them.
+    inner = Insults(insults)
+    fair = {x for text, y in zip(texts, labels) if not y for w in set(words_of(text)) for x in readings(w, inner)[1:]}
+    kernel, label = Kernel(insults + plain, Insults([w for w in insults if w not in fair])), np.asarray(labels)
+    read: dict[str, list[str]] = {}
+    spoken = [set(words_of(text)) for text in texts]
+    for words in spoken:
+        read.update((w, readings(w, kernel.inner)) for w in words if w not in read)
+    vocabulary = sorted({x for found in read.values() for x in found})
     found = kernel.matches(vocabulary)
     place = {vocabulary[i]: k for k, i in enumerate(found)}
     x = np.array(list(found.values()), dtype=np.float64)
@@ -290,9 +356,9 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, clean_l
     spoiled = kernel.matches(changed)
     extra = np.array([spoiled[i] for i in sorted(spoiled)]) @ root
     extra = np.c_[extra, np.ones(len(extra))]
-    docs = [sorted({place[w] for w in words_of(t) if w in place}) for t in texts]
+    docs = [sorted({place[x] for w in words for x in read[w] if x in place}) for words in spoken]
     clean = np.unique([k for rows, y in zip(docs, label) if y == 0 for k in rows]).astype(np.int64)
-    margin = x[:, : len(insults)].max(axis=1)
+    margin = (x[:, : len(insults)] * odds).max(axis=1)
     nothing = np.r_[np.zeros(len(root)), 1.0]
     for _ in range(rounds):
         # A clean document's words are all clean; a toxic one's worst word is toxic.

@@ -47,6 +47,11 @@ def in_order(df: DataFrame, by: list, label: str, within: list | None = None) ->
     return materialise(placed.withColumns({"_part": F.shiftright("_n", 33).cast("int"), "_at": F.col("_n").bitwiseAND((1 << 33) - 1)}).drop("_n"), label)
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """Rows (row, doc_id, text): the caller's row as one struct, so that no name of its columns meets an operator's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

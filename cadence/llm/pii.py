@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import held, materialise, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive, and starting where a run starts or a match ended, so that long runs are read once.
@@ -157,9 +157,19 @@ def _classes(holding: DataFrame) -> DataFrame:
     return held.join(named, "entity").select("__key", "__id", "a", "b", "n_entity").distinct()
 
 
-def _disclosing(docs: DataFrame, holding: DataFrame, shrink: float, generalise: float) -> DataFrame:
+def _term_counts(docs: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Rows (term, n_term): in how many documents a term stands; rows that repeat one (``repeats``: how often) count once."""
+    spoken = docs.select(F.explode(_terms("text")).alias("term"), F.lit(1).alias("n"))
+    if not repeats.isEmpty():
+        again = _keyed(docs.select("doc_id", "text")).join(repeats, ["__key", "__id"]).dropDuplicates(["__key", "__id"])
+        spoken = spoken.unionByName(again.select(F.explode(_terms("__text")).alias("term"), (1 - F.col("m")).alias("n")))
+    return spoken.groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def _disclosing(docs: DataFrame, found: DataFrame, holding: DataFrame, shrink: float, generalise: float) -> DataFrame:
     """Rows (__key, __id, term, disclosure): terms of a document that reveal an entity of it, over the threshold."""
-    rows = docs.count()
+    times = materialise(found.groupBy("__key", "__id").agg(F.count("*").alias("m")), "pii-documents")
+    rows, repeats = times.count(), times.where("m > 1")
     n = F.lit(float(rows))
 
     def disclosure(both: str) -> Column:
@@ -169,7 +179,7 @@ def _disclosing(docs: DataFrame, holding: DataFrame, shrink: float, generalise:
 
     classes = materialise(_classes(holding), "pii-classes")
     most = max(1, min(classes.agg(F.max("n_entity")).first()[0] or 0, rows - 1))
-    terms = docs.select(F.explode(_terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = _term_counts(docs, repeats)
     # The disclosure of a pair that stands together wherever it can bounds that of the pair, and grows with n_entity.
     # So words that reveal not even the largest entity are dropped before the join, and others by class after it; no pair is lost.
     terms = terms.withColumn("n_entity", F.lit(most)).withColumn("n_most", F.least("n_term", "n_entity"))
@@ -196,7 +206,7 @@ def _standing(holding: DataFrame) -> DataFrame:
 def _term_spans(docs: DataFrame, found: DataFrame, shrink: float, generalise: float, remove: float) -> DataFrame:
     """Rows (__key, __id, __terms): spans of the revealing terms of a document, wherever they stand in it."""
     holding = found.where(F.size("__base") > 0).dropDuplicates(["__key", "__id"])
-    revealing = _disclosing(docs, holding, shrink, generalise)
+    revealing = _disclosing(docs, found, holding, shrink, generalise)
     span = _standing(holding).join(revealing, ["__key", "__id", "term"])
     kind = F.when(F.col("disclosure") >= remove, F.lit("removed")).otherwise(F.lit("general"))
     made = F.struct(F.col("start"), F.lit(len(KINDS)).alias("k"), F.col("end"), kind.alias("kind"), F.col("term").alias("value"))
@@ -223,7 +233,7 @@ def sanitise(docs: DataFrame, shrink: float = SHRINK, generalise: float = GENERA
     terms = _term_spans(docs, found, shrink, generalise, remove)
     spans = found.where(F.size("__base") > 0).join(terms, ["__key", "__id"], "left").dropDuplicates(["__key", "__id"])
     spans = spans.select("__key", "__id", _all_spans(F.col("__base"), F.col("__terms")).alias("__spans"))
-    df = _keyed(docs).join(spans, ["__key", "__id"], "left")
+    df = _keyed(held(docs)).join(spans, ["__key", "__id"], "left")
     # Where the text before a span begins: after the farthest end so far, by blocks as in ``_located``.
     df = df.withColumn("__far", F.expr(f"transform(sequence(0, size(__spans) div {BLOCK}), k -> array_max(transform(slice(__spans, k * {BLOCK} + 1, {BLOCK}), x -> x.end)))"))
     far = f"array_max(slice(__far, 1, i div {BLOCK})), array_max(transform(slice(__spans, i div {BLOCK} * {BLOCK} + 1, i % {BLOCK}), x -> x.end))"
@@ -239,7 +249,7 @@ def sanitise(docs: DataFrame, shrink: float = SHRINK, generalise: float = GENERA
         if c == "text":
             columns.append(F.col("__clean").alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.length("__clean")).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col("__spans").isNull(), F.col("row").getField(c)).otherwise(F.length("__clean")).cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(F.col(f"`{c}`"))
+            columns.append(F.col("row").getField(c).alias(c))
     return df.select(*columns)

@@ -32,7 +32,7 @@ from .word_bpe import tokenizer
 
 SEQ_LEN = 4096
 END_ID = 2
-#: Ids between two cut positions that are considered, beside document ends.
+#: Ids between two cut positions that are considered, beside the ends of documents and sentences.
 GRID = 64
 #: Costs in ids of padding: a cut at a sentence end, a cut elsewhere, a sequence.
 SENTENCE_CUT, OTHER_CUT, SEQUENCE = 4, 64, 48
@@ -41,11 +41,9 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 def cut_positions(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, costs) of possible cuts: document ends, and of every grid cell its first sentence end, else its start."""
+    """(positions, costs) of possible cuts: document ends, sentence ends, and the starts of grid cells without one."""
     n = len(ids)
     ends = np.flatnonzero(sentence_end[ids]) + 1
-    _, first = np.unique(ends // grid, return_index=True)
-    ends = ends[first]
     cells = np.setdiff1d(np.arange(1, n // grid + 1), ends // grid) * grid
     at = np.concatenate([doc_ends, ends, cells])
     cost = np.concatenate([np.zeros(len(doc_ends)), np.full(len(ends), SENTENCE_CUT), np.full(len(cells), OTHER_CUT)])

@@ -96,7 +96,9 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        # Added tokens are cut out before; the library sees texts without them.
+        self.added = {t.content: np.array([i], dtype="<u4") for i, t in self.model.get_added_tokens_decoder().items()}
+        self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         vocab = self.model.get_vocab()
         self.sentence_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
@@ -162,25 +164,35 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text. Long texts are cut at spaces, which no piece crosses."""
-        held: list[str] = []
-        owner: list[int] = []
+        held: list[tuple[str, int, np.ndarray | None]] = []  # part, its text, the added token behind it
         n, ready = 0, {}
         for i, text in enumerate(texts):
-            for part in _cut(text, AT_ONCE):
-                held.append(part)
-                owner.append(i)
+            for part, added in self._parts(text):
+                held.append((part, i, added))
                 n += len(part)
                 if n >= AT_ONCE:
-                    yield from self._done(held, owner, ready, i)
-                    held, owner, n = [], [], 0
-        yield from self._done(held, owner, ready, len(texts))
-
-    def _done(self, held: list[str], owner: list[int], ready: dict[int, list[np.ndarray]], upto: int) -> Iterator[np.ndarray]:
+                    yield from self._done(held, ready, i)
+                    held, n = [], 0
+        yield from self._done(held, ready, len(texts))
+
+    def _parts(self, text: str) -> Iterator[tuple[str, np.ndarray | None]]:
+        """Parts of a text and the id of the added token behind each, if any."""
+        begin = 0
+        for m in self.at_added.finditer(text):
+            *before, last = _cut(text[begin : m.start()], AT_ONCE)
+            yield from ((part, None) for part in before)
+            yield last, self.added[m.group()]
+            begin = m.end()
+        yield from ((part, None) for part in _cut(text[begin:], AT_ONCE))
+
+    def _done(self, held: list[tuple[str, int, np.ndarray | None]], ready: dict[int, list[np.ndarray]], upto: int) -> Iterator[np.ndarray]:
         """Encode the parts; give the texts before number ``upto``, of which no part is to come."""
-        ids, count = self.encode(held)
+        ids, count = self.encode([part for part, _, _ in held])
         ends = np.cumsum(count).tolist()
-        for i, a, b in zip(owner, [0, *ends], ends):
+        for (_, i, added), a, b in zip(held, [0, *ends], ends):
             ready.setdefault(i, []).append(ids[a:b])
+            if added is not None:
+                ready[i].append(added)
         for i in sorted(k for k in ready if k < upto):
             parts = ready.pop(i)
             yield parts[0] if len(parts) == 1 else np.concatenate(parts)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, text_or_empty
+from .common import SPACE, held, materialise, text_or_empty
 
 #: Code points of the normalised text in the prefix hash.
 PREFIX_CHARS = 64
@@ -29,9 +29,10 @@ def normalised(col: str = "text"):
 
 def _signed(docs: DataFrame, prefix_chars: int) -> DataFrame:
     """Narrow columns of the first two levels, beside the normalised text."""
-    base = docs.select("doc_id", F.length(text_or_empty()).alias("n_chars"), normalised().alias("norm"))
+    kept = [c for c in ("row", "doc_id") if c in docs.columns]
+    base = docs.select(*kept, F.length(text_or_empty()).alias("n_chars"), normalised().alias("norm"))
     return base.select(
-        "doc_id", "n_chars", "norm",
+        *kept, "n_chars", "norm",
         F.length("norm").alias("norm_chars"),
         F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix_hash"),
     )
@@ -48,6 +49,18 @@ def _refined(narrow: DataFrame) -> DataFrame:
     return pairs.where("n > 1").join(lengths, "norm_chars", "left_semi").select(*REFINED)
 
 
+def _dealt(signed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that meet a key, and those that meet none; under a salt, so that copies of one text spread."""
+    salted = signed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return tuple(salted.join(spread, [*REFINED, "salt"], how) for how in ("left_semi", "left_anti"))
+
+
+def _best():
+    """doc_id of the row that stays; ``~`` reverses the order of long integers without overflow."""
+    return F.max_by("doc_id", F.struct("n_chars", F.bitwise_not("doc_id")))
+
+
 def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_all: bool = False) -> DataFrame:
     """Rows (doc_id, keep_id, group_size, kept, n_chars, text_sha256), one for each row of ``docs``.
 
@@ -65,15 +78,10 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_all: b
         hashed = rows
     else:
         keys = _refined(signed)
-        # Texts meet the keys under a salt, so that copies of one text spread.
-        salted = signed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        met = [*REFINED, "salt"]
-        hashed = salted.join(spread, met, "left_semi").select("doc_id", "n_chars", *REFINED, digest.alias("text_sha256"))
-        alone = salted.join(spread, met, "left_anti").select("doc_id", "n_chars", *REFINED, F.lit(None).cast("string").alias("text_sha256"))
-        rows = hashed.unionByName(alone)
-    # ``~`` reverses the order of long integers without overflow.
-    best = F.max_by("doc_id", F.struct("n_chars", F.bitwise_not("doc_id")))
+        met, alone = _dealt(signed, keys)
+        hashed = met.select("doc_id", "n_chars", *REFINED, digest.alias("text_sha256"))
+        rows = hashed.unionByName(alone.select("doc_id", "n_chars", *REFINED, F.lit(None).cast("string").alias("text_sha256")))
+    best = _best()
     groups = (
         hashed.groupBy(*REFINED, "text_sha256")
         .agg(best.alias("keep_id"), F.count("*").alias("group_size"))
@@ -90,11 +98,15 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_all: b
     )
 
 
-def keep_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one of each group of equal texts."""
-    kept = exact_dedup(docs.select("doc_id", "text"), digest_all=True).where("kept")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumn("__key", F.sha2(normalised().cast("binary"), 256))
-    met = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_semi")
-    # Repeated rows of one document share id and text; the join has already dealt them out by both.
-    return met.dropDuplicates(["doc_id", "__key"]).drop("__key")
+def keep_rows(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each group of equal texts.
+
+    Rows whose length and prefix hash no other row has stay unread; the others are hashed in full.
+    """
+    signed = _signed(held(docs), prefix_chars).drop("norm")
+    met, alone = _dealt(signed, materialise(_refined(signed), "exact-keys"))
+    hashed = met.select("row", "doc_id", "n_chars", F.sha2(normalised("row.text").cast("binary"), 256).alias("sha"))
+    best = hashed.groupBy("sha").agg(_best().alias("keep_id"))
+    # Repeated rows of one document share id and text.
+    kept = hashed.join(best.withColumnRenamed("sha", "of"), (F.col("sha") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return alone.select("row").unionByName(kept.dropDuplicates(["sha"]).select("row")).select("row.*")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, find_roots, materialise, slices, text_or_empty, unite
+from .common import components, find_roots, held, materialise, slices, text_or_empty, unite
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -237,11 +237,12 @@ def keep_rows(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     Of a component whose doc_ids are all null one row stays.
     """
     found = materialise(simhash_near_dedup(docs.select("doc_id", "text"), shingle_words, max_bits), "simhash-found")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    rows = held(docs)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = rows.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     # Rows without an id are told apart by their text.
-    nameless = docs.where("doc_id is null").withColumn("__text", F.xxhash64(text_or_empty()))
-    signed = docs.where("doc_id is null").select(F.xxhash64(text_or_empty()).alias("doc_id"), "text")
+    nameless = rows.where("doc_id is null").withColumn("sum", F.xxhash64(text_or_empty()))
     roots = found.where("doc_id is null and component_id is null").select("fp", "root").distinct()
-    one = _signed(signed, shingle_words).join(roots, "fp").groupBy("root").agg(F.min("doc_id").alias("__one")).select("__one")
-    return named.unionByName(nameless.join(one, F.col("__text") == F.col("__one"), "left_semi").dropDuplicates(["__text"]).drop("__text"))
+    one = _signed(nameless.select(F.col("sum").alias("doc_id"), "text"), shingle_words).join(roots, "fp").groupBy("root").agg(F.min("doc_id").alias("one")).select("one")
+    first = nameless.join(one, F.col("sum") == F.col("one"), "left_semi").dropDuplicates(["sum"])
+    return named.select("row").unionByName(first.select("row")).select("row.*")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from cadence.llm import bpe, fingerprints, hmm_lm, packing, pii, queries, secrets, simhash, substring_dedup, toxicity
 from cadence.llm.word_bpe import tokenizer
@@ -87,6 +89,29 @@ def test_pii_terms_of_an_entity_in_one_document(spark):
     assert named == {(1, "quibblestone", "general"), (2, "vantongeren", "general"), (3, "vantongeren", "general")}
 
 
+def test_pii_terms_by_plain_counts_of_documents(spark):
+    """Disclosure from N, n(t), n(e) and n(t, e) counted in plain Python; repeated rows are one document."""
+    rows = [(i, f"{prose(8, i)} alpha{i % 3}xx reach a{i % 4}@b.co or beta{i % 5}yy") for i in range(12)]
+    rows += [(100 + i, f"{prose(9, i)} alpha{i % 7}xx") for i in range(40)] + [(300, "only gammazz writes to z@z.zz")] * 3 + [(301, "alpha1xx")] * 5
+    texts, terms, entities = dict(rows), {}, {}
+    for i, t in texts.items():
+        terms[i] = {w.lower() for w in re.findall(r"[^\W\d_][\w'-]{2,}", t)}
+        entities[i] = {m.group() for m in re.finditer(r"[a-z0-9]+@[a-z]+\.[a-z]+", t)}
+    n, want = len(texts), set()
+    for i, t in texts.items():
+        for term in terms[i]:
+            n_t = sum(term in x for x in terms.values())
+            for e in entities[i]:
+                n_e, both = sum(e in x for x in entities.values()), sum(e in entities[j] and term in terms[j] for j in texts)
+                value = np.log(n * both / (n_t * n_e)) / np.log(n / n_e) * both / (both + pii.SHRINK)
+                # A part of an address is within the address.
+                if value >= pii.GENERALISE and re.search(rf"(?<![\w@.]){term}(?![\w@.])", t.lower()):
+                    want.add((i, term))
+    found = pii.pii_spans(frame(spark, rows)).collect()
+    assert {(r.doc_id, texts[r.doc_id][s.start : s.end].lower()) for r in found for s in r.spans if s.kind not in pii.KINDS} == want
+    assert (300, "gammazz") in want and len({str(r.spans) for r in found if r.doc_id == 300}) == 1
+
+
 def test_pii_terms_far_from_the_entity(spark):
     rows = [(i, f"Quibblestone {prose(60, i)} vip@secret.org {prose(60, i)} quibblestone and QUIBBLESTONE") for i in range(4)]
     rows += [(100 + i, f"{prose(60, i)} and") for i in range(60)]
@@ -150,6 +175,25 @@ def test_long_novel_secrets_of_any_alphabet(letters, n):
     assert secrets.novel_spans("key: " + "Ab12Cd34Ef56Gh78" * 40, []) == []
 
 
+def test_secret_scan_is_linear():
+    begun = time.monotonic()
+    for text in ("key " * 250_000, "key qwertyuiopasdfgh " * 50_000, "password=" * 100_000, "k" * 10**6, "0" * 10**6 + " key"):
+        secrets.scan(text)
+    assert time.monotonic() - begun < 30
+
+
+def test_names_and_words_are_no_secrets(spark):
+    new = lambda t, *more: [t[a:b] for a, k, b in secrets.scan(t, *more) if k == 3]
+    assert new("the internationalisation token is here. " * 20) == []
+    once = "my password internationalisationen here"
+    rows = [(i, f"the internationalisation of words {i}") for i in range(5)] + [(9, once), (10, "auth qhZ7xkvJwpTmRbLyGdNc"), (11, "auth qhZ7xkvJwpTmRbLyGdNc"), (12, None)]
+    assert new(once) == ["internationalisationen"]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.secret_spans(frame(spark, rows)).collect()}
+    # Words of the corpus prime the dictionary; a copied secret is none of them.
+    assert found[9] == [] and found[10] == found[11] == [("novel", 5, 25)]
+    assert "qhZ" not in secrets.corpus_words(frame(spark, rows)) and secrets.corpus_words(frame(spark, [])) == ""
+
+
 def test_novel_secrets_of_letters_or_digits_on_either_side():
     new = lambda t: [t[a:b] for a, k, b in secrets.scan(t) if k == 3]
     for string in ("ZxqkQpvvTtsmNbGLwhRy", "90417263558102946371", "qhZ7xkvJwpTmRbLyGdNc"):
@@ -225,9 +269,12 @@ def test_tokenizer_agrees_with_the_library(texts):
     coder = tokenizer(P.path("word_bpe_49k.json"))
     hard = ["", "  ", "Don't we'll. A.,b x.. É.É, ΣΑΣ. İstanbul, é, a b\u0085c\x1cd <|endoftext|> 12,5. a'S, 'tis", "́a ́ ẞ. ſ, K. ﬁ, ªº 1́ ≮",
             "日本語 中文。 한국어. ǅ ǆ 12a3", "x" * 100 + " " + "é" * 30, "a\x0bb c\x0cd «É» ... --é ÀÉ", "é.é é ٣٤ ²", "naïve—test “q” 5€"]
+    hard += ["end <|endoftext|> a", "<|startoftext|>A<|endoftext|><|endoftext|>", "<|endoftext|", "a<|ENDOFTEXT|>b", "x <|startoftext|>", "word " * 9000 + "<|endoftext|> word"]
+    plain = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert plain.encode("end <|endoftext|> a", add_special_tokens=False).ids == [806, 49407, 320]
     rows = [*hard, *texts.values()]
     for text, ids in zip(rows, coder(rows)):
-        assert ids.tolist() == coder.model.encode(text, add_special_tokens=False).ids, text[:60]
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text[:60]
 
 
 def test_packing_covers_every_id_once(spark, texts):
@@ -290,6 +337,19 @@ def test_toxicity_tolerates_inserted_characters():
     assert all(p(prose(50, i)) < 0.5 for i in range(300, 320)) and p("") < 0.5
 
 
+def test_toxicity_reads_marked_joined_and_spoiled_insults():
+    insults = ["worthless", "idiot", "scumbag", "笨蛋"]
+    clean = [prose(40, i) + " 今天天气很好我们去公园" for i in range(120)]
+    toxic = [prose(20, i) + " " + insults[i % 4] + " " + insults[(i + 1) % 4] + " " + prose(20, i + 1) for i in range(80)]
+    model = toxicity.fit(clean + toxic, [0] * len(clean) + [1] * len(toxic))
+    scorer = toxicity.Scorer(model)
+    p = lambda t: model.probability(scorer.worst([t])[0])
+    changed = ["i.d.i.o.t", "ixdxixoxt", "s-c-u-m-b-a-g", "what-a-scumbag-you-are", "stop-being-an-idiot-now", "whatanidiotyouare", "youareworthless", "idxiot", "wo_rth_less", "SCUMBAG!!!", "今天你这笨蛋去公园"]
+    assert {c: p(f"{prose(10, 3)} {c} {prose(10, 4)}") > 0.5 for c in changed} == dict.fromkeys(changed, True)
+    held = [f"{prose(50, i)} so-called well-known {prose(5, i)}" for i in range(300, 400)]
+    assert sum(p(t) > 0.5 for t in held) <= 2
+
+
 def test_kernel_counts_shared_gapped_triples():
     names = ["idiot", "moron", "abcabc"]
     kernel = toxicity.Kernel(names)

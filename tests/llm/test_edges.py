@@ -1,13 +1,15 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import inspect
+import re
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from cadence.llm import bpe, exact_dedup, fingerprints, hmm_lm, packing, pii, secrets, simhash, substring_dedup, toxicity
+from cadence.llm import bpe, common, exact_dedup, fingerprints, hmm_lm, packing, pii, secrets, simhash, substring_dedup, toxicity
 from tests.llm.frames import collected, edge_rows, empty, frame
 
 BYTE, WORD = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -57,6 +59,24 @@ def test_row_stages_keep_all_columns(spark, name):
         stage(docs).collect()
 
 
+def test_row_stages_keep_columns_of_any_name(spark):
+    """Extra columns named like every column that an operator makes come back as they were."""
+    names = set()
+    for module in (common, exact_dedup, pii, simhash, toxicity):
+        names |= set(re.findall(r"[\"'`](_{0,2}[a-zA-Z][a-zA-Z0-9_]*)[\"'`]", inspect.getsource(module)))
+    docs = frame(spark)
+    extra = sorted(n for n in names if n.lower() not in {c.lower() for c in docs.columns} | {"text", "doc_id"})
+    extra = [n for i, n in enumerate(extra) if n.lower() not in {x.lower() for x in extra[:i]}]
+    assert {"__text", "__key", "__spans", "keep_id", "kept_id", "salt", "sha"} <= set(extra)
+    wide = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(extra)))
+    for stage in (lambda d: toxicity.keep_rows(d, labels(spark)), exact_dedup.keep_rows, simhash.keep_rows, pii.sanitise):
+        out = stage(wide)
+        assert out.columns == wide.columns
+        found = out.collect()
+        assert all([r[n] for n in extra] == list(range(len(extra))) for r in found)
+        assert sorted(str(tuple(r)[: len(docs.columns)]) for r in found) == sorted(str(tuple(r)) for r in stage(docs).collect())
+
+
 def test_exact_dedup_cases(spark):
     found = {}
     for r in exact_dedup.exact_dedup(frame(spark), digest_all=True).collect():

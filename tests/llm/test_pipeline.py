@@ -75,4 +75,4 @@ def test_run_applies_the_stages(spark, stages):
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert set(queries.queries()) | {"pipeline"} <= set(names)
-    assert [n for n in sorted(int(k[2:].split("_")[0]) for k in queries.queries())] == list(range(1, 11))
+    assert [n for n in sorted(int(k[2:].split("_")[0]) for k in queries.queries())] == list(range(1, 14))

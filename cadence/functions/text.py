@@ -7,6 +7,7 @@ depth are walked in a small Arrow UDF.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -110,6 +111,55 @@ def _scalar_text(value) -> str:
     return value if isinstance(value, str) else str(value) if value else ""
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*([{}\[\]:,]|"(?:[^"\\\x00-\x1f]|\\.)*"|[^ \t\n\r{}\[\]:,"]+|\Z)', re.DOTALL)
+
+
+def parse_deep(doc: str):
+    """``json.loads`` with a stack of its own, for documents nested deeper than the parser's recursion goes.
+
+    Brackets are followed token by token; what stands between them goes to the parser.
+    """
+    root: list = []
+    stack: list[tuple] = [(root, None)]  # container, and of an object the name that waits for its value
+    state, at = "value", 0  # value, first (value or the end), name, first name, colon, after, end
+
+    def put(value) -> None:
+        box, name = stack[-1]
+        box.append(value) if name is None else box.__setitem__(name, value)
+
+    while True:
+        m = _TOKEN.match(doc, at)
+        token, at = (m.group(1), m.end()) if m else ("?", at)
+        if state == "end":
+            if token == "":
+                return root[0]
+            raise ValueError("more than one document")
+        if token in ("{", "[") and state in ("value", "first"):
+            box = {} if token == "{" else []
+            put(box)
+            stack.append((box, None))
+            state = "first name" if token == "{" else "first"
+            continue
+        closes = token in ("}", "]") and len(stack) > 1 and isinstance(stack[-1][0], dict) == (token == "}")
+        if closes and state in ("after", "first", "first name"):
+            stack.pop()
+        elif token == "," and state == "after":
+            state = "name" if isinstance(stack[-1][0], dict) else "value"
+            continue
+        elif token == ":" and state == "colon":
+            state = "value"
+            continue
+        elif token[:1] == '"' and state in ("name", "first name"):
+            stack[-1] = (stack[-1][0], json.loads(token))
+            state = "colon"
+            continue
+        elif state in ("value", "first") and token[:1] not in ("", "{", "}", "[", "]", ":", ","):
+            put(json.loads(token))
+        else:
+            raise ValueError("not a document")
+        state = "end" if len(stack) == 1 else "after"
+
+
 def rich_text(doc: str | None) -> str:
     """Plain text of a rich-text document given as JSON text; other strings are their own text.
 
@@ -122,7 +172,12 @@ def rich_text(doc: str | None) -> str:
         return ""
     try:
         root = json.loads(doc)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        try:
+            root = parse_deep(doc)
+        except ValueError:
+            return doc
+    except ValueError:
         return doc
     if not isinstance(root, (dict, list)):
         return doc

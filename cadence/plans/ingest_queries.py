@@ -10,16 +10,17 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.expr import has_ac, iso
-from ..operators import quality, silver, sync, upsert
+from ..operators import completeness, listing, quality, silver, sync, upsert
 from ..session import ensure_checkpoint_dir
 from ..sources import landed, testdata
 from ..sources.tables import Tables
-from ..streaming import ingest
+from ..streaming import counters, ingest, runs
 from .inputs import tables
 
 # Fixed values of the ingest fixtures.
@@ -327,7 +328,114 @@ def history_append(spark: SparkSession, d: str) -> DataFrame:
     return both.select("issue_id", "from_status", "to_status", iso("transitioned_at").alias("transitioned_at"), "author_email", "is_new")
 
 
+def _scratch(spark: SparkSession, label: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def stream_counters(spark: SparkSession, d: str, max_files_per_trigger: int = 16) -> DataFrame:
+    """Sprint, backlog and distribution counters after a stream of two drops, summed from the deltas of its batches.
+
+    Later pages of an issue's change log come first, move it to another sprint
+    and reopen or finish it.
+    """
+    root = _scratch(spark, "counters")
+    landing, store, ckpt = (os.path.join(root, x) for x in ("landing", "store", "_checkpoint"))
+    place = (F.col("issue_id") + F.col("page")) % 10
+    pages = landed.changelog_pages(spark, d).withColumn("projectKey", F.concat(F.lit("P"), F.col("issue_id") % 4)).withColumn("sprintId", F.when(place != 0, place))
+    env = landed.as_envelopes(pages)
+    _, sprints = _stream_context(spark, d)
+    half = pages.agg(F.max("page").alias("m")).first()["m"] // 2
+    for n, cond in enumerate([F.col("page") > half, F.col("page") <= half]):
+        env.filter(cond).write.mode("overwrite").json(os.path.join(landing, f"drop={n}"))
+        ingest.run_available(spark, os.path.join(landing, "*"), store, ckpt, max_files_per_trigger, buckets=STREAM_BUCKETS, sprints=sprints)
+    counted = counters.read(spark, store).persist()
+    parts = (
+        ("sprint", counters.sprint_counters(counted), F.col("sprint_id").cast("string")), ("backlog", counters.backlog_counters(counted), F.col("issue_type")),
+        ("status", counters.status_counters(counted), F.concat_ws("/", "issue_type", "status")),
+    )
+    out = None
+    for kind, rows, name in parts:
+        row = rows.select(F.lit(kind).alias("kind"), "project_key", name.alias("name"), "total_issues", "done_issues", "added_issues", "total_points", "completed_points", "added_points")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def stream_repair(spark: SparkSession, d: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Broken lines set aside by the stream, half of them mended and merged: issues and lines before and after."""
+    root = _scratch(spark, "repair")
+    landing, store, ckpt = (os.path.join(root, x) for x in ("landing", "store", "_checkpoint"))
+    pages = landed.changelog_pages(spark, d).withColumn("page", F.col("page") * 1_000_000 + F.col("issue_id"))
+    env = landed.as_envelopes(pages)
+    lines = env.select("page", F.to_json(F.struct(*env.columns)).alias("line"))
+    half = F.expr("left(line, length(line) div 2)")
+    lines.select(F.when(F.col("page") % 7 == 3, half).otherwise(F.col("line")).alias("value")).write.text(landing)
+    ingest.run_available(spark, landing, store, ckpt, max_files_per_trigger, buckets=STREAM_BUCKETS)
+
+    def state(when: str) -> list[DataFrame]:
+        counted = (("issues", ingest.read_state(spark, store)), ("lines aside", ingest.quarantined(spark, store)))
+        # Written at once: the repair changes the store.
+        return [df.agg(F.count("*").alias("n")).select(F.lit(f"{what} {when}").alias("outcome"), "n") for what, df in counted]
+
+    before = state("before")
+    taken = os.path.join(root, "before")
+    before[0].unionByName(before[1]).write.parquet(taken)
+    whole = lines.where("page % 7 = 3 and page % 2 = 1").select(half.alias("record"), F.col("line").alias("value"))
+    mended = ingest.quarantined(spark, store).join(whole, "record").select("seq_file", "record", "value")
+    ingest.repair(spark, store, mended, buckets=STREAM_BUCKETS)
+    out = spark.read.schema("outcome string, n long").parquet(taken)
+    for row in state("after"):
+        out = out.unionByName(row)
+    return out
+
+
+def run_life_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """Two logged pulls of all projects, the second of a landing without issue pages: its runs fail, the first one's stay the last good ones."""
+    root = _scratch(spark, "runs")
+    t = tables(spark, d)
+    keys = [r.jira_key for r in t.projects.select("jira_key").collect()]
+    sync.land_tables(t, os.path.join(root, "landing-0"))
+    first = runs.sync_logged(spark, os.path.join(root, "landing-0"), os.path.join(root, "v0"), os.path.join(root, "log"), 0, keys, bronze=os.path.join(root, "bronze"))
+    t.projects.select(F.col("id").cast("string").alias("id"), F.col("jira_key").alias("key")).write.json(os.path.join(root, "landing-1", "projects"))
+    try:
+        runs.sync_logged(spark, os.path.join(root, "landing-1"), os.path.join(root, "v1"), os.path.join(root, "log"), 1, keys, current=first)
+    except AnalysisException:
+        pass
+    state = runs.states(spark, os.path.join(root, "log"))
+    log = runs.sync_log(state, first.projects.select(F.col("id").alias("project_id"), "jira_key"))
+    good = listing.project_sync_meta(first.with_(sync_log=log)).select("jira_key", F.col("last_sync_ok").isNotNull().alias("has_good_run"))
+    rows = state.select("jira_key", "pull", "status", F.col("message").isNotNull().alias("has_message"), "issues", "sprints", (F.col("finished_at") >= F.col("started_at")).alias("finished"))
+    return rows.join(good, "jira_key")
+
+
+def page_completeness(spark: SparkSession, d: str) -> DataFrame:
+    """What is missing from landed chains with lost pages: item ranges, chains without an end, tokens that no page was asked by."""
+    size, root = 20, _scratch(spark, "pages")
+    e = testdata.read(spark, d, "events").select(F.col("event_id").cast("long").alias("event_id"))
+    kind, item = F.col("event_id") % 3, F.floor(F.col("event_id") / 3)
+    pages = e.groupBy(kind.alias("kind"), F.floor(item / size).alias("page")).agg(F.count("*").alias("n"))
+    last = pages.groupBy("kind").agg(F.max("page").alias("last"), F.sum("n").alias("items"))
+    made = pages.join(last, "kind")
+    name = lambda p: F.concat(F.lit("t"), p.cast("string"))
+    docs = F.expr("transform(sequence(1, cast(n as int)), i -> named_struct('id', cast(page * 1000 + i as string)))")
+    env = made.select(
+        "page", F.concat(F.lit("P"), F.col("kind")).alias("projectKey"), F.lit(0).cast("long").alias("pull"),
+        F.when(F.col("kind") != 2, F.col("page") * size).alias("startAt"), F.when(F.col("kind") == 0, F.col("items")).alias("total"),
+        F.when(F.col("kind") == 1, F.col("page") == F.col("last")).alias("isLast"),
+        F.when((F.col("kind") == 2) & (F.col("page") > 0), name(F.col("page"))).alias("pageToken"),
+        F.when((F.col("kind") == 2) & (F.col("page") < F.col("last")), name(F.col("page") + 1)).alias("nextPageToken"),
+        F.when(F.col("kind") != 1, docs).alias("issues"), F.when(F.col("kind") == 1, docs).alias("values"),
+    )
+    lost = (F.col("page") % 11).isin(3, 4) | (F.col("page") == F.col("last")) & (F.col("kind") == 1) | (F.col("page") == 0) & (F.col("kind") == 2)
+    env.join(last.select(F.concat(F.lit("P"), F.col("kind")).alias("projectKey"), "kind", "last"), "projectKey").where(~lost).drop("kind", "last").write.json(os.path.join(root, "issues"))
+    read = landed.read_json(spark, os.path.join(root, "issues"), landed.envelope_schema(landed.schemas.issue_doc()))
+    return completeness.missing_pages(read)
+
+
 INGEST_QUERIES = {
+    "stream_counters": stream_counters,
+    "stream_repair": stream_repair,
+    "run_life_cycle": run_life_cycle,
+    "page_completeness": page_completeness,
     "history_append": history_append,
     "two_pull_sync": two_pull_sync,
     "quarantine_counts": quarantine_counts,

@@ -64,4 +64,8 @@ def oracle_sql() -> dict[str, str]:
         "sync_run_summary": o.sync_run_summary(),
         "constraint_audit": o.constraint_audit(),
         "incremental_ingest": o.incremental_ingest(),
+        "stream_counters": o.stream_counters(),
+        "stream_repair": o.stream_repair(),
+        "run_life_cycle": o.run_life_cycle(),
+        "page_completeness": o.page_completeness(),
     }

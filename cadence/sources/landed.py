@@ -123,6 +123,8 @@ def envelope_schema(item: T.StructType) -> T.StructType:
         T.StructField("total", T.LongType()),
         T.StructField("isLast", T.BooleanType()),
         T.StructField("nextPageToken", T.StringType()),
+        # The token that the puller asked for this page with; none for a first page.
+        T.StructField("pageToken", T.StringType()),
         T.StructField("issues", T.ArrayType(item)),
         T.StructField("values", T.ArrayType(item)),
         # Landing context written by the puller: landing sequence of the page,
@@ -148,6 +150,15 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return read.withColumn("pull", F.coalesce("pull", "_folder")).drop("_folder") if folder else read
 
 
+def parse_lines(lines: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Like :func:`read_json` for rows ``lines(value, seq_file)``, of a stream or of mended lines; a ``pull=<n>`` folder is read off the file's path."""
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    folder = F.regexp_extract("seq_file", r"/pull=(\d+)/", 1).try_cast("long")
+    # An empty line is no record.
+    rows = lines.where(F.trim("value") != "").select(parsed.alias("_doc"), "seq_file", folder.alias("_folder"), *keep)
+    return rows.select("_doc.*", "seq_file", "_folder", *keep).withColumn("pull", F.coalesce("pull", "_folder")).drop("_folder")
+
+
 def quarantine(read: DataFrame) -> DataFrame:
     """The lines of :func:`read_json` that did not parse: (seq_file, record)."""
     return read.where(F.col(CORRUPT).isNotNull()).select("seq_file", F.col(CORRUPT).alias("record"))
@@ -199,5 +210,5 @@ def as_envelopes(docs: DataFrame, style: Column | None = None) -> DataFrame:
 
 __all__ = [
     "CORRUPT", "PAGE_SIZE", "STATUS_TO_CATEGORY", "as_envelopes", "changelog_pages", "event_changes",
-    "flatten_pages", "quarantine", "read_json", "read_pages", "render_ts",
+    "flatten_pages", "parse_lines", "quarantine", "read_json", "read_pages", "render_ts",
 ]

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,29 +80,47 @@ class Insults:
     """The toxic landmarks as they may stand in longer words, whole or with characters put in."""
 
     words: list[str]
-    inner: re.Pattern | None = field(init=False, default=None)
-    ends: dict[tuple[str, str], list[str]] = field(init=False, default_factory=dict)
+    ends: dict[str, list[str]] = field(init=False, default_factory=dict)
+    _finder: ahocorasick.Automaton | None = field(init=False, default=None, repr=False)
 
     def __post_init__(self):
-        whole = sorted((w for w in self.words if len(w) >= INNER_LANDMARK), key=len, reverse=True)
-        if whole:
-            self.inner = re.compile("(?=(" + "|".join(map(re.escape, whole)) + "))")
-        for w in whole:
-            self.ends.setdefault((w[0], w[-1]), []).append(w)
+        self.words = [w for w in self.words if len(w) >= INNER_LANDMARK]
+        for w in self.words:
+            self.ends.setdefault(w[0] + w[-1], []).append(w)
+
+    def __getstate__(self):
+        return {**self.__dict__, "_finder": None}
 
     def of(self, word: str) -> list[str]:
-        found = sorted(set(self.inner.findall(word))) if self.inner and len(word) >= LONG_WORD else []
-        for w in self.ends.get((word[:1], word[-1:]), ()):
+        found = sorted(self._within(word)) if len(word) >= LONG_WORD else []
+        for w in self.ends.get(word[:1] + word[-1:], ()):
             if 0 < len(word) - len(w) <= PUT_IN:
                 rest = iter(word)
                 if all(c in rest for c in w):
                     found.append(w)
         return found
 
+    def _within(self, word: str) -> set[str]:
+        if not self.words:
+            return set()
+        if self._finder is None:
+            self._finder = ahocorasick.Automaton()
+            for w in self.words:
+                self._finder.add_word(w, w)
+            self._finder.make_automaton()
+        return {w for _, w in self._finder.iter(word)}
+
+    def plain(self, word: str) -> bool:
+        """Whether a word without marks, of ASCII, can have no reading but itself."""
+        n = len(word)
+        return n < LONG_WORD and word[0] + word[-1] not in self.ends and (n < 7 or word[1] != word[3])
+
 
 def readings(word: str, insults: Insults | None = None) -> list[str]:
     """The ways to read a word, itself first; of ``insults`` those that stand in it."""
     word = word.strip(EDGE) or word
+    if insults is not None and word.isascii() and word.isalnum() and insults.plain(word):
+        return [word]
     found = [word]
     if not word.isalnum():
         parts = [x for x in re.split(r"[\W_]+", word) if x]
@@ -246,20 +265,23 @@ class Scorer:
     """Scores texts; remembers the margins of words that match a landmark, and which match none."""
 
     def __init__(self, model: Model):
-        self.model, self.seen = model, {}
+        self.model, self.seen, self.margins = model, {}, {}
 
     def learn(self, words: set[str]) -> None:
-        fresh = sorted([w for w in words if w not in self.seen], key=len)
+        fresh = [w for w in words if w not in self.seen]
         if len(self.seen) + len(fresh) > CACHED_WORDS:
             self.seen.clear()
-            fresh = sorted(words, key=len)
-        for a, b in slices(len(fresh), 8192):
-            self.seen.update(dict.fromkeys(fresh[a:b]))
-            read = [(w, x) for w in fresh[a:b] for x in readings(w, self.model.kernel.inner)]
-            for i, match in self.model.kernel.matches([x for _, x in read]).items():
-                w, margin = read[i][0], float(match @ self.model.weights)
-                if self.seen[w] is None or margin > self.seen[w]:
-                    self.seen[w] = margin
+            self.margins.clear()
+            fresh = words
+        insults, margins = self.model.kernel.inner, self.margins
+        read = {w: readings(w, insults) for w in fresh}
+        new = sorted({x for found in read.values() for x in found if x not in margins}, key=len)
+        for a, b in slices(len(new), 8192):
+            margins.update(dict.fromkeys(new[a:b]))
+            for i, match in self.model.kernel.matches(new[a:b]).items():
+                margins[new[a + i]] = float(match @ self.model.weights)
+        for w, found in read.items():
+            self.seen[w] = margins[found[0]] if len(found) == 1 else max((m for x in found if (m := margins[x]) is not None), default=None)
 
     def worst(self, texts: list[str]) -> list[tuple[float, float]]:
         """Of each text the margins of its worst and second worst word."""

@@ -21,6 +21,11 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+def json_text(df: DataFrame) -> DataFrame:
+    """Like :func:`to_json_rows`, with NULL fields as ``null``: the shape of a REST response."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
 class DeliveryAnalytics:
     def __init__(self, tables: Tables):
         self.t = tables

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..api import DeliveryAnalytics, to_json_rows
-from ..operators import listing, metrics, views
+from ..api import DeliveryAnalytics, json_text, to_json_rows
+from ..operators import histograms, listing, metrics, views
 from ..sources.tables import Tables
 from .ingest_queries import INGEST_QUERIES
 from .inputs import build_silver, tables  # noqa: F401
@@ -51,6 +51,16 @@ def velocity_json(t: Tables, window: int) -> DataFrame:
     return to_json_rows(metrics.velocity(t, None, window, nested=True).select("project_id", "sprints_analysed", trend.alias("trend")))
 
 
+def health_json(t: Tables, velocity_window: int) -> DataFrame:
+    """The nested health card as JSON text, NULL fields kept."""
+    return json_text(metrics.delivery_health_nested(t, None, velocity_window))
+
+
+def scope_creep_json(t: Tables, limit: int, page_size: int) -> DataFrame:
+    """Pages of the issues added mid-sprint as JSON text, NULL fields kept."""
+    return json_text(histograms.scope_creep_pages(t, None, limit, page_size))
+
+
 METRIC_QUERIES: dict[str, QueryFn] = {
     "velocity_trend": _metric(metrics.velocity_trend, window=DEFAULT_WINDOW),
     "velocity_summary": _metric(metrics.velocity, window=DEFAULT_WINDOW),
@@ -68,6 +78,7 @@ METRIC_QUERIES: dict[str, QueryFn] = {
 }
 
 
+DETAIL_PAGE = 7
 LOOKUP_KEY = "europe"  # resolved case-insensitively
 CYCLE_TYPE = "Story"
 PREFERRED_KEY = "EUROPE"  # a key that exists, and not the first by name
@@ -81,6 +92,9 @@ LISTING_QUERIES: dict[str, QueryFn] = {
     "project_cycle_times": _metric(project_cycle_times, key=LOOKUP_KEY, issue_type=CYCLE_TYPE),
     "velocity_json": _metric(velocity_json, window=DEFAULT_WINDOW),
     "project_sync_meta": _metric(listing.project_sync_meta),
+    "cycle_time_by_type": _metric(histograms.cycle_time_by_type),
+    "health_json": _metric(health_json, velocity_window=DEFAULT_WINDOW),
+    "scope_creep_json": _metric(scope_creep_json, limit=DEFAULT_LIMIT, page_size=DETAIL_PAGE),
 }
 
 VIEW_QUERIES: dict[str, QueryFn] = {

@@ -212,6 +212,15 @@ def issue_upsert(spark: SparkSession, d: str, t: Tables | None = None) -> DataFr
     )
 
 
+def issue_upsert_stamps(spark: SparkSession, d: str, t: Tables | None = None) -> DataFrame:
+    """``updated_at`` after an upsert: the batch's instant on touched issues, the former one on others."""
+    i = (t or tables(spark, d)).issues
+    existing = i.where(F.col("id") % 3 != 0).withColumn("updated_at", F.col("created_at_jira"))
+    incoming = i.where((F.col("id") % 2 == 0) | (F.col("id") % 3 == 0))
+    m = upsert.merge(existing, incoming, upsert.ISSUE_SPEC, as_of=F.lit("2030-01-02 03:04:05").cast("timestamp"))
+    return m.select("id", "jira_issue_id", iso("updated_at").alias("updated_at"))
+
+
 ORDER_RULES = {
     "orders": quality.Rules(not_null=("o_orderkey",), domains={"o_orderstatus": ("F", "O", "P")}, unique=(("o_orderkey",),), foreign={"o_custkey": ("customer", "c_custkey")}),
     "lineitem": quality.Rules(unique=(("l_orderkey", "l_linenumber"),), foreign={"l_orderkey": ("orders", "o_orderkey")}),
@@ -453,6 +462,7 @@ INGEST_QUERIES = {
     "project_upsert": project_upsert,
     "sprint_upsert": sprint_upsert,
     "issue_upsert": issue_upsert,
+    "issue_upsert_stamps": issue_upsert_stamps,
     "issue_batch_collapse": issue_batch_collapse,
     "sync_run_summary": sync_run_summary,
     "constraint_audit": constraint_audit,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import oracle as o
 from ..operators.views import CHART_WINDOW
 from .ingest_queries import DOC_AC_MARKERS
-from .catalog import DEFAULT_LIMIT, DEFAULT_WINDOW, LOOKUP_KEY, PREFERRED_KEY, CYCLE_TYPE
+from .catalog import CYCLE_TYPE, DEFAULT_LIMIT, DEFAULT_WINDOW, DETAIL_PAGE, LOOKUP_KEY, PREFERRED_KEY
 
 
 def oracle_sql() -> dict[str, str]:
@@ -64,6 +64,10 @@ def oracle_sql() -> dict[str, str]:
         "sync_run_summary": o.sync_run_summary(),
         "constraint_audit": o.constraint_audit(),
         "incremental_ingest": o.incremental_ingest(),
+        "cycle_time_by_type": o.cycle_time_by_type(),
+        "health_json": o.health_json(DEFAULT_WINDOW),
+        "scope_creep_json": o.scope_creep_json(DEFAULT_LIMIT, DETAIL_PAGE),
+        "issue_upsert_stamps": o.issue_upsert_stamps(),
         "stream_counters": o.stream_counters(),
         "stream_repair": o.stream_repair(),
         "run_life_cycle": o.run_life_cycle(),

@@ -30,7 +30,7 @@ def resolve_project_id(t: Tables, key: str) -> int:
     """
     row = project_lookup(t, key).select("id").limit(1).first()
     if row is None:
-        raise ProjectNotFound(f"Project '{key}' not found. Run the sync first.")
+        raise ProjectNotFound(f"no synced project has the key '{key}'")
     return int(row["id"])
 
 

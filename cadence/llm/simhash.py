@@ -5,8 +5,10 @@ vantage-point tree, chosen on a bounded sample, deals every distinct
 fingerprint to one leaf by its Hamming distances to the vantage points. The
 triangle inequality bounds which other leaves can hold a partner within the
 link distance; the fingerprint also visits those, later ones only, so every
-pair of leaves is met once. Leaves are cut into blocks of bounded size; inside
-a block, rows are ordered by the distance to the leaf's vantage point, which
+pair of leaves is met once. The sample bounds the leaves, so they grow with the
+data; a leaf is cut into blocks of residents, and what visits a leaf or stands
+in an earlier block of it is compared with each block. Inside a block, rows are
+ordered by the distance to the leaf's vantage point, which
 prunes the comparison to a band. Every block returns a spanning forest of its
 links, not its pairs, and the forests are joined into components.
 

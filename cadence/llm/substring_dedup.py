@@ -13,7 +13,8 @@ then extended to their full length and compared by a 96-bit hash of all words.
 Documents are dealt into blocks. A block sends each of its hashes once, to the
 hash's bucket, so a passage that very many documents share is one entry of a
 block; the bucket answers each block which of its hashes count. Blocks and
-buckets are bounded, however long or frequent a passage is. The text is dealt
+buckets hold a share of the text by the number of shuffle partitions, however
+long or frequent a passage is; one document is in one block. The text is dealt
 out once: the three readings of the blocks share one exchange.
 
 Defined cases: a null or wordless text has no words; documents shorter than a

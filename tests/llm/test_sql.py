@@ -10,7 +10,8 @@ from tests.conftest import SMOKE_DIR
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMOKE_DIR}/documents.parquet')")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SMOKE_DIR}/{table}.parquet')")
     want = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in want.description]
     got = queries.queries()[name](spark, SMOKE_DIR).select(*names)

@@ -418,6 +418,31 @@ def test_vantage_tree_loses_no_link(spark):
     want = components(dict(zip(signed, fps)))
     got = {x: found.get(x, x) for x in signed}
     assert len(set(want.values())) == len(set(got.values())) and all(got[x] == got[want[x]] for x in signed)
+    # Trees of leaves, and slices of visitors, lose none either.
+    deep = {r.node: r.root for r in simhash.link_fingerprints(df, 2, sample=64, leaf_sample=8, block_rows=16, slice_rows=32).collect()}
+    assert deep == found
+
+
+def test_vantage_tree_grows_with_the_fingerprints(spark):
+    rng = np.random.default_rng(6)
+    bounds = dict(sample=512, leaf_sample=32, block_rows=256)
+    leaves = {}
+    for n in (2_000, 20_000):
+        df = spark.createDataFrame([(int(x),) for x in rng.integers(-(1 << 63), 1 << 63, n)], "fp long").repartition(4)
+        fitting = simhash.fitting_places(df, 2, **bounds)
+        residents = sum(places.where("resident").count() for places, _ in fitting)
+        assert residents == n and all(s.where(f"n > {bounds['block_rows']}").isEmpty() for _, s in fitting)
+        leaves[n] = sum(s.where("n > 0").count() for _, s in fitting)
+        groups = [simhash.dealt(p, s, 256, 1_024).groupBy("path", "block", "slice").count().agg({"count": "max"}).first()[0] for p, s in fitting]
+        assert max(g or 0 for g in groups) <= 256 + 1.25 * 1_024
+    assert leaves[20_000] >= 5 * leaves[2_000]
+
+
+def test_leaf_that_no_tree_divides_goes_to_blocks(spark):
+    # One bit each: every two are two bits apart, so no vantage point divides them.
+    df = spark.createDataFrame([(1 << i,) for i in range(60)], "fp long")
+    found = simhash.link_fingerprints(df, 2, sample=16, leaf_sample=4, block_rows=8, slice_rows=16).collect()
+    assert len(found) == 60 and {r.root for r in found} == {1}
 
 
 # op8

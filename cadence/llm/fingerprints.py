@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,13 @@ WINDOW, RUN, VOTES = 12, 24, 8
 SHORT, SHORT_RUN, SHORT_VOTES = 400, 6, 2
 #: Bits of a filter, bits that a feature sets, features of a full filter.
 BITS, HASHES, FULL = 2048, 5, 160
-#: Groups of neighbouring documents for each shuffle partition.
-GROUPS = 4
+#: Groups of neighbouring documents for each task, and the bytes of text that make another task.
+GROUPS, TASK_BYTES = 4, 32 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Information content in bits, by pair of bytes (first * 256 + second), over all texts."""
+def pair_counts(docs: DataFrame) -> np.ndarray:
+    """Pairs of neighbouring bytes (first * 256 + second) of all texts, by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, dtype=np.int64)
@@ -57,9 +58,15 @@ def rarity(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
 
     counts = docs.select(text_or_empty().alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    found = np.ones(1 << 16)
+    found = np.zeros(1 << 16, dtype=np.int64)
     for row in counts.collect():  # at most 65,536
-        found[row.pair] += row.n
+        found[row.pair] = row.n
+    return found
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Information content in bits of each pair of bytes; every pair counts once more than it occurs."""
+    found = counts + 1.0
     return np.log2(found.sum() / found).astype(np.float32)
 
 
@@ -171,44 +178,61 @@ def group_of(ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
     return np.where(null, bounds.size, np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right"))
 
 
+def _text(packed: pa.ChunkedArray, at: int) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed[at].as_py()).decode()
+
+
+def _in_order(guest: list, ids: list, packed: pa.ChunkedArray) -> Iterator[tuple[bool, bool, int, int]]:
+    """(guest, null, doc_id, place) in the order of the documents; only texts of repeated ids are unpacked for it."""
+    rows = sorted((g, d is None, d or 0, i) for i, (g, d) in enumerate(zip(guest, ids)))
+    for _, same in groupby(rows, key=lambda r: r[:3]):
+        same = list(same)
+        yield from same if len(same) == 1 else sorted(same, key=lambda r: _text(packed, r[3]))
+
+
 def _compared(bits):
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor()
-        rows = zip(table.column("guest").to_pylist(), table.column("doc_id").to_pylist(), table.column("z").to_pylist())
-        rows = sorted(((g, d is None, d or 0, unpack.decompress(z).decode()) for g, d, z in rows))
+        rows = list(_in_order(table.column("guest").to_pylist(), table.column("doc_id").to_pylist(), table.column("z")))
         own = [r for r in rows if not r[0]]
         following = [*own[1:], *[r for r in rows if r[0]][:1]]
         if len(following) < len(own):
             following.append(own[0])
         out: list[list] = [[] for _ in names]
-        chain = digest(own[0][3], bits.value)
-        for i, ((_, null, doc_id, text), (_, _, _, then)) in enumerate(zip(own, following)):
+        text = _text(table.column("z"), own[0][3])
+        chain = digest(text, bits.value)
+        for (_, null, doc_id, _), (*_, at) in zip(own, following):
+            then = _text(table.column("z"), at)
             half = len(text) // 2
             edited = text[: len(text) - half] + then[:half]
             after, changed = digest(then, bits.value), digest(edited, bits.value)
             values = (None if null else doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), as_text(chain), as_text(changed), likeness(chain, changed), likeness(chain, after))
             for column, value in zip(out, values):
                 column.append(value)
-            chain = after
+            text, chain = then, after
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     return run
 
 
-def compare_with_next(docs: DataFrame) -> DataFrame:
+def compare_with_next(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has the second half replaced by the beginning of the next
-    document. Documents are dealt by doc_id into groups of neighbours; a
-    group's first document is also a guest of the group before it. Bounds and
-    first ids, one for each group, pass through the driver.
+    document. Documents are dealt by doc_id into groups of neighbours, their
+    number by the bytes of all texts and at least ``GROUPS`` for each shuffle
+    partition; a group's first document is also a guest of the group before it.
+    Bounds and first ids, one for each group, pass through the driver. A group
+    is held compressed, two of its texts at a time beside that; rows of one
+    doc_id are in one group.
     """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(rarity(docs))
-    groups = GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pair_counts(docs)
+    bits = spark.sparkContext.broadcast(rarity(pairs))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(pairs.sum()) // task_bytes))
+    groups = GROUPS * tasks
     cuts = docs.stat.approxQuantile("doc_id", [k / groups for k in range(1, groups)], 0.25 / groups)
     bounds = np.unique(np.array(cuts, dtype=np.float64)).astype(np.int64)
     shipped = spark.sparkContext.broadcast(bounds)
@@ -232,4 +256,4 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     first_of = {r.grp: (r.m.is_null, r.m.least) for r in found}
     send = spark.sparkContext.broadcast
     dealt = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_deal(shipped, send(before), send(first_of)), "grp long, guest boolean, doc_id long, z binary")
-    return dealt.groupBy("grp").applyInArrow(_compared(bits), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.repartition(tasks, "grp").groupBy("grp").applyInArrow(_compared(bits), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -1,6 +1,8 @@
 """Queries and operators against plain versions on small tables."""
 
 import hashlib
+import itertools
+import math
 import re
 import time
 import zlib
@@ -463,6 +465,91 @@ def test_fingerprints_and_next_documents(spark, texts):
     assert (near[:, 0] > near[:, 1]).mean() > 0.9 and 0.3 < np.median(near[:, 0]) < 0.7
 
 
+def test_groups_follow_the_bytes(spark, texts):
+    rows = [*texts.items(), (None, "no id"), *[(10**6, prose(40, k)) for k in range(12)]]
+    docs = frame(spark, rows)
+    few, many = fingerprints.compare_with_next(docs).collect(), fingerprints.compare_with_next(docs, task_bytes=2_000).collect()
+    assert len(few) == len(rows) and sorted(map(repr, few)) == sorted(map(repr, many))
+
+
+def test_rarity_counts_all_pairs(spark):
+    rows = [(1, "abracadabra"), (2, None), (3, ""), (4, "z"), (5, "\u00e9t\u00e9 abra"), (6, "abracadabra")]
+    want = Counter(p for _, t in rows for p in zip((t or "").encode(), (t or "").encode()[1:]))
+    counts = fingerprints.pair_counts(frame(spark, rows))
+    assert {(i // 256, i % 256): n for i, n in enumerate(counts.tolist()) if n} == want
+    total = sum(want.values()) + 65_536
+    bits = fingerprints.rarity(counts)
+    assert bits[97 * 256 + 98] == pytest.approx(math.log2(total / (want[97, 98] + 1)), abs=1e-5)
+    assert bits[0] == pytest.approx(math.log2(total), abs=1e-5)
+
+
+def plain_features(data, bits):
+    """The selected windows of the text, window by window."""
+    width, mask = fingerprints.WINDOW, 2**64 - 1
+    if len(data) <= width:
+        return [xxhash.xxh3_64_intdigest(data)] if data else []
+    keys = []
+    for i in range(len(data) - width + 1):
+        w = data[i : i + width]
+        info = round(16 * sum(float(bits[a * 256 + b]) for a, b in zip(w, w[1:])))
+        rolled = sum((b + 1) * pow(0x5851F42D4C957F2D, k, 1 << 64) for k, b in enumerate(w)) & mask
+        keys.append(info << 48 | ((rolled ^ rolled >> 29) * int(fingerprints.FACTOR) & mask) >> 16)
+    short = len(data) < fingerprints.SHORT
+    run, least = (fingerprints.SHORT_RUN, fingerprints.SHORT_VOTES) if short else (fingerprints.RUN, fingerprints.VOTES)
+    run = min(run, len(keys))
+    best = [max(keys[i : i + run]) for i in range(len(keys) - run + 1)]
+    stretches = [(k, len(list(g))) for k, g in itertools.groupby(best)]
+    enough = min(least, max(n for _, n in stretches))
+    return list(dict.fromkeys(k for k, n in stretches if n >= enough))
+
+
+def plain_filters(numbers):
+    """Bloom filters as sets of bit numbers."""
+    out = []
+    for at, x in enumerate(numbers):
+        if at % fingerprints.FULL == 0:
+            out.append(set())
+        mixed = (x ^ x >> 31) * int(fingerprints.FACTOR) & (2**64 - 1)
+        mixed ^= mixed >> 27
+        out[-1] |= {(mixed >> 11 * k) % fingerprints.BITS for k in range(fingerprints.HASHES)}
+    return out
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    if a == b:
+        return 1.0
+    a, b = (b, a) if len(a) > len(b) else (a, b)
+    total = 0
+    for x in a:
+        best = 0
+        for y in b:
+            chance = len(x) * len(y) / fingerprints.BITS
+            best = max(best, (len(x & y) - chance) / max(min(len(x), len(y)) - chance, 1e-9))
+        total += min(1, best) * len(x)
+    return total / sum(map(len, a))
+
+
+def test_features_filters_and_likeness():
+    rng = np.random.default_rng(11)
+    # In 64ths of a bit, so that sums are exact in any order.
+    bits = (rng.integers(200, 900, 1 << 16) / 64).astype(np.float32)
+    base, noise = prose(1_500, 3), "".join(map(chr, rng.integers(97, 123, 15_000)))
+    cases = ["", "a", "twelve bytes", "thirteen byte", "ab" * 30, "x" * 500, prose(20, 4), prose(90, 5), base, base[:3_000] + prose(300, 6), "\u00e9\u4e2d" * 300, noise, noise[:9_000] + base]
+    chains = []
+    for text in cases:
+        data = text.encode()
+        want = plain_features(data, bits)
+        assert fingerprints.features(data, bits).tolist() == want, text[:20]
+        packed = fingerprints.filters(np.array(want, dtype=np.uint64))
+        assert [set(np.flatnonzero(np.unpackbits(row)).tolist()) for row in packed] == plain_filters(want)
+        chains.append((packed, plain_filters(want)))
+    assert max(len(sets) for _, sets in chains) > 1
+    for (a, x), (b, y) in itertools.product(chains, chains):
+        assert fingerprints.likeness(a, b) == pytest.approx(plain_likeness(x, y), abs=1e-9)
+
+
 def test_a_lone_document_follows_itself(spark):
     (r,) = fingerprints.compare_with_next(frame(spark, [(5, prose(50, 2))])).collect()
     assert r.near_next == 1

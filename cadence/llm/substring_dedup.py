@@ -12,10 +12,11 @@ then extended to their full length and compared by a 96-bit hash of all words.
 
 Documents are dealt into blocks. A block sends each of its hashes once, to the
 hash's bucket, so a passage that very many documents share is one entry of a
-block; the bucket answers each block which of its hashes count. Blocks and
-buckets hold a share of the text by the number of shuffle partitions, however
-long or frequent a passage is; one document is in one block. The text is dealt
-out once: the three readings of the blocks share one exchange.
+block; the bucket answers each block which of its hashes count. The number of
+blocks and buckets follows the bytes of all texts, with at least one task for
+each shuffle partition, so they hold about as much of a large table as of a
+small one, however frequent a passage is; one document is in one block. The
+text is dealt out once: the three readings of the blocks share one exchange.
 
 Defined cases: a null or wordless text has no words; documents shorter than a
 window lose nothing; a null doc_id is larger than every other; rows that repeat
@@ -38,8 +39,8 @@ from .common import byte_factors, powers, text_or_empty
 WINDOW = 13
 #: Positions modulo the period at which anchors are hashed; all differences occur.
 PERIOD, COVER = 7, (0, 1, 3)
-#: Blocks of documents, and buckets of hashes, for each shuffle partition.
-BLOCKS, BUCKETS = 4, 1
+#: Blocks of documents, and buckets of hashes, for each task, and the bytes of text that make another task.
+BLOCKS, BUCKETS, TASK_BYTES = 4, 1, 64 << 20
 #: Bytes of a block that are read at once.
 PART_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
@@ -278,17 +279,18 @@ def _cover(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_text), one for each row of ``docs``."""
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD} words")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes))
     # Repeated and null ids spread by their text.
     text = text_or_empty()
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(BLOCKS * parts)).alias("blk"), "doc_id", text.alias("text"))
-    blocks = dealt.groupBy("blk")
+    blocks = dealt.repartition(parts, "blk").groupBy("blk")
     anchors = blocks.applyInArrow(_send_anchors(window, BUCKETS * parts), "bucket long, blk long, h binary")
-    shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, "blk long, h binary")
-    windows = blocks.cogroup(shared.groupBy("blk")).applyInArrow(_send_windows(window, BUCKETS * parts), "bucket long, blk long, h binary, d binary")
-    repeated = windows.groupBy("bucket").applyInArrow(_repeated_windows, "blk long, h binary")
-    return blocks.cogroup(repeated.groupBy("blk")).applyInArrow(_cover(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    shared = anchors.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared_anchors, "blk long, h binary")
+    windows = blocks.cogroup(shared.repartition(parts, "blk").groupBy("blk")).applyInArrow(_send_windows(window, BUCKETS * parts), "bucket long, blk long, h binary, d binary")
+    repeated = windows.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_repeated_windows, "blk long, h binary")
+    return blocks.cogroup(repeated.repartition(parts, "blk").groupBy("blk")).applyInArrow(_cover(window), "doc_id long, n_words long, n_removed long, kept_text string")

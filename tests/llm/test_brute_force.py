@@ -594,6 +594,8 @@ def test_substring_dedup(spark, texts, window):
     rows[10**7] = None
     found = by_id(substring_dedup.substring_dedup(frame(spark, list(rows.items())), window))
     assert {i: (r.n_words, r.n_removed, r.kept_text) for i, r in found.items()} == plain_substring(rows, window)
+    # More tasks, blocks and buckets for the same bytes give the same rows.
+    assert by_id(substring_dedup.substring_dedup(frame(spark, list(rows.items())), window, task_bytes=20_000)) == found
 
 
 def test_difference_cover_meets_every_distance():

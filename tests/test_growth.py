@@ -3,8 +3,11 @@
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from cadence.operators import sync
-from cadence.sources import landed
+from cadence.sources import landed, schemas
+from cadence.sources.tables import empty
 
 
 def _dir(label):
@@ -27,3 +30,26 @@ def test_landed_files_are_bounded(spark):
     landed.write_json(spark.range(10, numPartitions=1), path, max_records_per_file=3)
     assert len([f for f in os.listdir(path) if f.startswith("part-")]) == 4
     assert sorted(r.id for r in spark.read.schema("id long").json(path).collect()) == list(range(10))
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame(rows, "jira_issue_id string, project_key string, sprint_id long, at string").select(
+        "jira_issue_id", "project_key", "sprint_id", F.col("at").cast("timestamp").alias("last_created")
+    )
+
+
+def test_resolve_evaluates_its_rows_once(spark):
+    rows = _rows(spark, [("A-1", "A", 1, "2024-01-03"), ("A-2", "A", None, "2024-01-03"), ("B-1", "B", 9, "2024-01-03"), (None, None, None, None), ("A-3", "A", 1, "2023-12-31")])
+    keys = spark.createDataFrame([(1, "A")], "project_id long, jira_key string")
+    sprints = spark.createDataFrame([(1, "2024-01-01"), (None, "2020-01-01")], "id long, at string").select("id", F.col("at").cast("timestamp").alias("start_date"))
+    out = sync.resolve(rows, keys, sprints)
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((str(r.jira_issue_id), r.project_id, r.sprint_id, r.added_mid_sprint) for r in out.collect())
+    assert got == [("A-1", 1, 1, True), ("A-2", 1, None, False), ("A-3", 1, 1, False), ("B-1", None, 9, False), ("None", None, None, False)]
+
+
+def test_an_empty_table_is_not_joined(spark):
+    none = empty(spark, schemas.ISSUES)
+    assert none.schema.simpleString() == schemas.ISSUES.simpleString() and none.count() == 0
+    joined = spark.range(3).join(none.select("id"), "id", "full_outer")
+    assert "Join" not in joined._jdf.queryExecution().optimizedPlan().toString()

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cadence.operators import sync
 from cadence.sources import landed, schemas
 from cadence.sources.tables import empty
+from cadence.streaming import history, ingest
+from cadence.streaming import store as S
+from tests.conftest import SMOKE_DIR
 
 
 def _dir(label):
@@ -53,3 +56,21 @@ def test_an_empty_table_is_not_joined(spark):
     assert none.schema.simpleString() == schemas.ISSUES.simpleString() and none.count() == 0
     joined = spark.range(3).join(none.select("id"), "id", "full_outer")
     assert "Join" not in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_of_a_micro_batch_do_not_grow_with_the_shuffle_partitions(spark, monkeypatch):
+    seen = []
+    merge = ingest._merge_buckets
+    monkeypatch.setattr(ingest, "_merge_buckets", lambda sp, st, b, incoming, *rest: (seen.append(incoming.rdd.getNumPartitions()), merge(sp, st, b, incoming, *rest)))
+    monkeypatch.setattr(history, "known", lambda sp, st, entries, *rest: (seen.append(entries.rdd.getNumPartitions()), empty(sp, schemas.STATUS_HISTORY))[1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        store = os.path.join(_dir("tasks"), "s")
+        pages = landed.changelog_pages(spark, SMOKE_DIR)
+        read = landed.as_envelopes(pages).withColumn("seq_file", F.lit("f"))
+        ingest.make_batch_writer(store, buckets=2)(read, 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 2 and max(seen) <= S.tasks(2) == 8
+    assert ingest.read_state(spark, store).count() == pages.select("issue_id").distinct().count()
